@@ -68,7 +68,8 @@ def _strip_sent(documents: DataFrame, hashes: np.ndarray, text_col: str) -> Data
     """``text_col`` without the lines in ``hashes``, with ``line_count`` and ``lines_cut``, in one pass over the rows."""
     known = documents.sparkSession.sparkContext.broadcast(frozenset(hashes.tolist()))
     schema = T.StructType([*documents.schema.fields, T.StructField("_lines", T.LongType()), T.StructField("_cut", T.LongType())])
-    place = documents.columns.index(text_col)
+    names = list(documents.columns)
+    place = names.index(text_col)
 
     def run(batches):
         cut = known.value
@@ -88,7 +89,7 @@ def _strip_sent(documents: DataFrame, hashes: np.ndarray, text_col: str) -> Data
                 n_lines.append(len(lines))
             columns = list(batch.columns)
             columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_cut, pa.int64())], names=[*documents.columns, "_lines", "_cut"])
+            yield pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_cut, pa.int64())], names=[*names, "_lines", "_cut"])
 
     return documents.mapInArrow(run, schema)
 
