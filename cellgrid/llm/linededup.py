@@ -129,17 +129,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = rf"""
 WITH pieces AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS at
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents WHERE length(text) > 0),
 wordy AS (SELECT * FROM pieces WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 spread AS (SELECT line FROM wordy GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
 marked AS (
-  SELECT p.doc_id, p.line, p.at, s.line IS NOT NULL AS shared
+  SELECT p.doc_id, p.line, p.pos, s.line IS NOT NULL AS shared
   FROM pieces p LEFT JOIN spread s ON p.line = s.line),
 summed AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (shared) AS n_shared,
          2 * coalesce(sum(length(line)) FILTER (shared), 0) <= sum(length(line)) AS furniture,
-         string_agg(line, chr(10) ORDER BY at) FILTER (NOT shared) AS rest
+         string_agg(line, chr(10) ORDER BY pos) FILTER (NOT shared) AS rest
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
        CASE WHEN furniture THEN n_shared ELSE 0 END::BIGINT AS n_removed,
