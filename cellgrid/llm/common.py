@@ -31,13 +31,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a kernel sees at once; a batch of Spark's is cut into pieces of this many.
+PIECE = 1_000
+
+
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch of ``df``."""
+    """Apply a function of Arrow rows to all rows of ``df``, in pieces, which bounds what a worker holds besides its batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield kernel(batch)
+            for start in range(0, batch.num_rows, PIECE):
+                yield kernel(batch.slice(start, PIECE))
 
     return df.mapInArrow(run, schema)
 

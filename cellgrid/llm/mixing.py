@@ -26,7 +26,7 @@ from cellgrid.llm.common import staged, table
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = "mix-1"
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
