@@ -5,7 +5,7 @@ where no match of the splitting pattern can cross:
 
 * between a character that is no white space and one that is: every alternative of the pattern
   that takes both kinds starts with the white space;
-* between a letter and a digit, either way round.
+* between an ASCII letter and an ASCII digit, either way round.
 
 A stretch without such a place (a run of one million dots, say) is split by the pattern here,
 and each match goes through the library's merge routine by itself, so that neither the pattern
@@ -34,7 +34,7 @@ from cellgrid.llm.common import arrow_map, table
 CHUNK = 65_536
 #: A chunk that stays longer than this is split by the pattern before it meets the library.
 LONGEST = 4 * CHUNK
-SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
 @lru_cache(maxsize=4)

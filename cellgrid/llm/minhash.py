@@ -270,6 +270,39 @@ def _labelled(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return full.select(*rows.columns, "component_id").unionByName(rows.filter("node IS NULL").withColumn("component_id", F.col("doc_id")))
 
 
+def keep_one(documents: DataFrame, **options) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least id, with the columns of ``documents``.
+
+    Documents with an empty set are in no group and all stay. Of rows that repeat the kept
+    document's id in one group, one stays. A group that has no id at all keeps one row too.
+    """
+    id_col, text_col, width = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("width", WIDTH)))
+    found = near_duplicates(documents, **options)
+    dropped = staged(found.filter("node IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "node"), "dropped")
+    repeats = found.filter("node IS NOT NULL AND doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeats = staged(repeats, "repeated-ids")
+    same_id = F.col(id_col).eqNullSafe(F.col("_id"))
+    if repeats.isEmpty():
+        once = dropped.select(F.col("doc_id").alias("_id")).distinct()
+        return documents.join(once, same_id, "left_anti")
+    # Ids are no keys here: sets are taken again for the rows whose id repeats or is dropped.
+    unclear = dropped.select("doc_id").unionByName(repeats).distinct().select(F.col("doc_id").alias("_id"))
+    rows = documents.join(unclear, same_id, "left_semi").withColumn("_row", F.struct(*documents.columns))
+    kind = documents.select(F.struct(*documents.columns).alias("_row")).schema["_row"].dataType.simpleString()
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(text, width) for text in utf8_rows(batch.column(0))]
+        return pa.record_batch([pa.array([digest(x) if len(x) else None for x in sets], pa.binary()), batch.column(1)], names=["node", "_row"])
+
+    keyed = arrow_map(rows.select(F.col(text_col).alias("text"), "_row"), kernel, f"node binary, _row {kind}")
+    empty = keyed.filter("node IS NULL").select("_row")
+    stay = keyed.filter("node IS NOT NULL").join(dropped.distinct(), (F.col("_row")[id_col].eqNullSafe(F.col("doc_id"))) & (keyed["node"] == dropped["node"]), "left_anti")
+    comps = found.filter("node IS NOT NULL").select(F.col("node").alias("_node"), "component_id").distinct()
+    stay = stay.join(comps, F.col("node") == F.col("_node")).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("_of")).agg(F.first("_row").alias("_row"))
+    kept = empty.unionByName(stay.select("_row")).select(*[F.col("_row")[c].alias(c) for c in documents.columns])
+    return documents.join(unclear, same_id, "left_anti").unionByName(kept)
+
+
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

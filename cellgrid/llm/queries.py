@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from cellgrid.llm.bpe_codec import op10_bpe_codec
 from cellgrid.llm.linededup import OP1_SQL, op1_line_dedup
+from cellgrid.llm.minhash import op5_minhash_neardup
 from cellgrid.llm.mixing import OP9_SQL, op9_mix_sources
+from cellgrid.llm.prefix_tokens import op3_prefix_token_counts
+from cellgrid.llm.quality import op8_quality_classifier
+from cellgrid.llm.rules import op6_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op5_minhash_neardup": op5_minhash_neardup,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_mix_sources": op9_mix_sources,
     "op10_bpe_codec": op10_bpe_codec,
 }
