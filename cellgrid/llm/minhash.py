@@ -279,7 +279,7 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     id_col, text_col, width = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("width", WIDTH)))
     found = near_duplicates(documents, **options)
     dropped = staged(found.filter("node IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "node"), "dropped")
-    repeats = found.filter("node IS NOT NULL AND doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeats = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     repeats = staged(repeats, "repeated-ids")
     same_id = F.col(id_col).eqNullSafe(F.col("_id"))
     if repeats.isEmpty():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cellgrid.llm.bpe_codec import op10_bpe_codec
 from cellgrid.llm.linededup import OP1_SQL, op1_line_dedup
+from cellgrid.llm.media import op2_media_sniffing
 from cellgrid.llm.minhash import op5_minhash_neardup
 from cellgrid.llm.mixing import OP9_SQL, op9_mix_sources
 from cellgrid.llm.prefix_tokens import op3_prefix_token_counts
@@ -12,6 +13,7 @@ from cellgrid.llm.rules import op6_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_media_sniffing": op2_media_sniffing,
     "op3_prefix_token_counts": op3_prefix_token_counts,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_quality_rules": op6_quality_rules,
