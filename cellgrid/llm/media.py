@@ -157,12 +157,15 @@ def bmp_end(data: bytes, at: int, marks: Marks) -> int | None:
 
 
 def pdf_end(data: bytes, at: int, marks: Marks) -> int | None:
-    """A version, a cross-reference pointer and the end mark after it."""
-    if not data[at + 5 : at + 6].isdigit():
+    """A version line, a cross-reference pointer into the file and the end mark after it, with no other file's header between."""
+    if not re.match(rb"%PDF-\d\.\d[\r\n]", data[at : at + 9]):
         return None
     place = marks.next(b"startxref", at)
     end = marks.next(b"%%EOF", place) if place >= 0 else -1
-    if end < 0 or end - place > 64 or not data[place + 9 : end].strip().isdigit():
+    if end < 0 or end - place > 64 or 0 <= marks.next(b"%PDF-", at + 1) < place:
+        return None
+    pointer = data[place + 9 : end].strip()
+    if not pointer.isdigit() or int(pointer) > place - at:
         return None
     return end + 5
 
