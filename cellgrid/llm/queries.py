@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cellgrid.llm.bpe_codec import op10_bpe_codec
+from cellgrid.llm.html_extract import op4_html_extraction
 from cellgrid.llm.linededup import OP1_SQL, op1_line_dedup
 from cellgrid.llm.media import op2_media_sniffing
 from cellgrid.llm.minhash import op5_minhash_neardup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_sniffing": op2_media_sniffing,
     "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op4_html_extraction": op4_html_extraction,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
