@@ -11,6 +11,7 @@ from cellgrid.llm.mixing import OP9_SQL, op9_mix_sources
 from cellgrid.llm.prefix_tokens import op3_prefix_token_counts
 from cellgrid.llm.quality import op8_quality_classifier
 from cellgrid.llm.rules import op6_quality_rules
+from cellgrid.llm.secret_scan import op7_secret_scan
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mix_sources": op9_mix_sources,
     "op10_bpe_codec": op10_bpe_codec,
