@@ -45,8 +45,9 @@ SKETCH_BITS = 1024
 LEAST_ESTIMATE = 0.6
 #: Nodes in a block of the comparison in blocks.
 BLOCK = 512
-#: Candidates of one node that are confirmed in one round; the others follow in later rounds.
+#: Candidates of one node that are confirmed in the first round; the others follow, in each round ``MORE`` times as many as in all before.
 AT_ONCE = 2
+MORE = 8
 
 _RANDOM = np.random.default_rng(20240501)
 _FACTORS = (_RANDOM.integers(0, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -201,6 +202,7 @@ def rest_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: fl
 
 def _linked(candidates: DataFrame, edges: DataFrame | None, labels: DataFrame | None, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Confirm candidates, nearest first, until none is left whose ends are in different components."""
+    at_once = AT_ONCE
     while True:
         open_ = candidates
         if labels is not None:
@@ -209,9 +211,10 @@ def _linked(candidates: DataFrame, edges: DataFrame | None, labels: DataFrame |
             open_ = open_.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
         rank = F.row_number().over(Window.partitionBy("a").orderBy("off", "b"))
         open_ = staged(open_.withColumn("rank", rank), "pairs")
-        now = open_.filter(F.col("rank") <= AT_ONCE)
+        now = open_.filter(F.col("rank") <= at_once)
         found = staged(confirmed(now, sets), "links")
-        candidates = open_.filter(F.col("rank") > AT_ONCE).drop("rank")
+        candidates = open_.filter(F.col("rank") > at_once).drop("rank")
+        at_once *= MORE
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             labels = staged(connected_components(edges), "labels")
