@@ -59,8 +59,8 @@ def ranksum_u(spark, sf_dir):
 @query(
     "ks_stat", "E12 D02",
     f"""WITH e AS (SELECT gene, x, count(*) FILTER (cluster = 'BUILDING') AS a, count(*) FILTER (cluster = 'MACHINERY') AS b FROM entries JOIN cells USING (cell) WHERE cluster IN {TWO} AND gene <= 200 GROUP BY ALL),
-    g AS (SELECT gene, abs(sum(a) OVER u / sum(a) OVER t - sum(b) OVER u / sum(b) OVER t) AS gap FROM e WINDOW u AS (PARTITION BY gene ORDER BY x), t AS (PARTITION BY gene))
-    SELECT gene, round(max(gap), 6) AS d FROM g GROUP BY gene HAVING max(gap) IS NOT NULL""",
+    h AS (SELECT gene, sum(a) OVER u AS ua, sum(a) OVER t AS ta, sum(b) OVER u AS ub, sum(b) OVER t AS tb FROM e WINDOW u AS (PARTITION BY gene ORDER BY x), t AS (PARTITION BY gene))
+    SELECT gene, round(max(abs(ua / ta - ub / tb)), 6) AS d FROM h WHERE ta > 0 AND tb > 0 GROUP BY gene""",
     matrix=True,
 )
 def ks_stat(spark, sf_dir):
