@@ -223,7 +223,7 @@ def _linked(candidates: DataFrame, edges: DataFrame | None, labels: DataFrame |
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_ESTIMATE) -> DataFrame:
-    """doc_id, n_shingles, node and component_id of each row of ``documents``."""
+    """doc_id, n_shingles, node (the set), comp (a node that stands for its group) and component_id of each row of ``documents``."""
     prints = staged(fingerprints(documents, width, id_col, text_col), "fingerprints")
     short = prints.select("doc_id", "n_shingles", "node")
     nodes = staged(
@@ -247,10 +247,10 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
         sets = _sets_of(documents, nodes, ends, width, id_col, text_col)
         edges, labels = _linked(rest, edges, labels, sets)
     if labels is None:
-        return _labelled(short, nodes.select("node", "least_id"))
+        return _labelled(short, nodes.select("node", F.col("node").alias("comp"), F.col("least_id").alias("component_id")))
     of = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_of = of.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    return _labelled(short, of.join(least_of, "comp").select("node", F.col("component_id").alias("least_id")))
+    return _labelled(short, of.join(least_of, "comp").select("node", "comp", "component_id"))
 
 
 def _fresh(rest: DataFrame, tried: DataFrame) -> DataFrame:
@@ -268,9 +268,10 @@ def _sets_of(documents: DataFrame, nodes: DataFrame, ends: DataFrame, width: int
 
 
 def _labelled(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows with their node's least id as component_id; rows without a node are on their own."""
-    full = rows.filter("node IS NOT NULL").join(ids.select("node", F.col("least_id").alias("component_id")), "node")
-    return full.select(*rows.columns, "component_id").unionByName(rows.filter("node IS NULL").withColumn("component_id", F.col("doc_id")))
+    """Rows with comp and component_id of their node; rows without a node are on their own."""
+    full = rows.filter("node IS NOT NULL").join(ids, "node")
+    alone = rows.filter("node IS NULL").withColumn("comp", F.lit(None).cast("binary")).withColumn("component_id", F.col("doc_id"))
+    return full.select(*rows.columns, "comp", "component_id").unionByName(alone)
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
@@ -300,8 +301,8 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     keyed = arrow_map(rows.select(F.col(text_col).alias("text"), "_row"), kernel, f"node binary, _row {kind}")
     empty = keyed.filter("node IS NULL").select("_row")
     stay = keyed.filter("node IS NOT NULL").join(dropped.distinct(), (F.col("_row")[id_col].eqNullSafe(F.col("doc_id"))) & (keyed["node"] == dropped["node"]), "left_anti")
-    comps = found.filter("node IS NOT NULL").select(F.col("node").alias("_node"), "component_id").distinct()
-    stay = stay.join(comps, F.col("node") == F.col("_node")).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("_of")).agg(F.first("_row").alias("_row"))
+    comps = found.filter("node IS NOT NULL").select(F.col("node").alias("_node"), "comp").distinct()
+    stay = stay.join(comps, F.col("node") == F.col("_node")).groupBy("comp").agg(F.first("_row").alias("_row"))
     kept = empty.unionByName(stay.select("_row")).select(*[F.col("_row")[c].alias(c) for c in documents.columns])
     return documents.join(unclear, same_id, "left_anti").unionByName(kept)
 
