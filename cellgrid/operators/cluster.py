@@ -60,7 +60,45 @@ def modularity(labels: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarr
     return float(inside - ((np.bincount(labels, degree) / total) ** 2).sum())
 
 
-def communities(nodes: DataFrame, edges: DataFrame, weight: str = "w", resolution: float = 1.0, min_cells: int = 10, folder: str = "") -> DataFrame:
+def surprise_of(inside: float, edges: float, pairs_inside: float, pairs: float) -> float:
+    """Asymptotic surprise: edges times the divergence of the share of inner edges from the share of inner pairs."""
+    q, e = inside / edges, pairs_inside / pairs
+    part = lambda x, y: 0.0 if x <= 0 else (np.inf if y <= 0 else x * np.log(x / y))
+    return edges * (part(q, e) + part(1 - q, 1 - e))
+
+
+def surprise_communities(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Communities of greatest surprise by moves of single nodes from singletons, until none gains."""
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, x in zip(src.tolist(), dst.tolist(), w.tolist(), strict=True):
+        if i != j:
+            near[i][j] = near[i].get(j, 0.0) + x
+            near[j][i] = near[j].get(i, 0.0) + x
+    edges, pairs = sum(sum(d.values()) for d in near) / 2, n * (n - 1) / 2
+    label, size = list(range(n)), [1] * n
+    if not edges:
+        return np.arange(n)
+    inside, inner_pairs, rng, moved = 0.0, 0.0, np.random.default_rng(seed), True
+    while moved:
+        moved = False
+        for i in rng.permutation(n).tolist():
+            to: dict[int, float] = {}
+            for j, x in near[i].items():
+                to[label[j]] = to.get(label[j], 0.0) + x
+            own = label[i]
+            base_in, base_pairs = inside - to.get(own, 0.0), inner_pairs - (size[own] - 1)
+            value = lambda c: surprise_of(base_in + to.get(c, 0.0), edges, base_pairs + (size[c] - (c == own)), pairs)  # noqa: B023, E731
+            sign = lambda c: value(c) if (base_in + to.get(c, 0.0)) / edges >= (base_pairs + size[c] - (c == own)) / pairs else -value(c)  # noqa: B023, E731
+            best = max(sorted(to), key=sign, default=own)
+            if sign(best) > sign(own) + 1e-9:
+                size[own] -= 1
+                size[best] += 1
+                inside, inner_pairs = base_in + to[best], base_pairs + size[best] - 1
+                label[i], moved = best, True
+    return np.unique(label, return_inverse=True)[1]
+
+
+def communities(nodes: DataFrame, edges: DataFrame, weight: str = "w", resolution: float = 1.0, min_cells: int = 10, folder: str = "", method: str = "louvain") -> DataFrame:
     """(id, label) by community search in each connected component of more than ``min_cells`` nodes, one task a component; smaller ones get -1."""
     from cellgrid.operators.graph import components
 
@@ -73,7 +111,8 @@ def communities(nodes: DataFrame, edges: DataFrame, weight: str = "w", resolutio
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([frame["src"], frame["dst"]]), return_inverse=True)
         half = len(frame)
-        label = louvain(len(ids), flat[:half], flat[half:], frame["w"].to_numpy(), resolution)
+        ends = flat[:half], flat[half:], frame["w"].to_numpy()
+        label = surprise_communities(len(ids), *ends) if method == "surprise" else louvain(len(ids), *ends, resolution)
         return pd.DataFrame({"id": ids, "comp": frame["comp"].iloc[0], "local": label})
 
     found = once.join(side, "src").join(big.select("comp").distinct(), "comp", "left_semi").groupBy("comp").applyInPandas(search, "id long, comp long, local long")

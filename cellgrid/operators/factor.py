@@ -191,3 +191,80 @@ def permuted(values: DataFrame, seed: int = 1) -> DataFrame:
     dealt = values.select("gene", "v", F.row_number().over(Window.partitionBy("gene").orderBy(F.xxhash64("cell", F.lit(seed)), "cell")).alias("k"))
     cells = own.select("gene", "cell", "k")
     return cells.join(dealt, ["gene", "k"]).select("cell", "gene", "v")
+
+
+def harmonized(points: DataFrame, clusters: int = 8, rounds: int = 5, sigma: float = 0.5, ridge: float = 1.0, seed: int = 1) -> DataFrame:
+    """(id, batch, v) with each batch's shift within soft clusters taken out.
+
+    A round assigns points softly to a fixed number of centres, sums each batch's offsets from the
+    centres, weighted and shrunk by ``ridge``, and subtracts them. Only centres and offsets, clusters
+    by batches of them, reach the driver.
+    """
+    first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(clusters).collect()
+    centre, shifts = np.array([r["v"] for r in first], float), []
+    k, width = centre.shape
+
+    def soft(z: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        d = ((z[:, None, :] - middle[None]) ** 2).sum(2)
+        share = np.exp(-(d - d.min(1, keepdims=True)) / (sigma * max(d.mean(), 1e-12)))
+        return share / share.sum(1, keepdims=True)
+
+    def corrected(frame: pd.DataFrame, steps: list) -> np.ndarray:
+        z = np.array(frame["v"].tolist(), float).reshape(len(frame), width)
+        for middle, offset in steps:
+            own = np.array([offset.get(b, np.zeros((k, width))) for b in frame["batch"]])
+            z = z - (soft(z, middle)[:, :, None] * own).sum(1)
+        return z
+
+    for _ in range(rounds):
+        steps, middle = list(shifts), centre.copy()
+
+        def sums(frames, steps=steps, middle=middle):
+            for frame in frames:
+                z = corrected(frame, steps)
+                share = soft(z, middle)
+                for batch in frame["batch"].unique():
+                    on = (frame["batch"] == batch).to_numpy()
+                    yield pd.DataFrame({"batch": batch, "k": np.arange(k), "n": share[on].sum(0), "s": list(share[on].T @ z[on])})
+
+        found = points.mapInPandas(sums, "batch string, k long, n double, s array<double>")
+        table = found.groupBy("batch", "k").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(width)]).toPandas()
+        s, n, offset = np.zeros((k, width)), np.zeros(k), {}
+        for r in table.itertuples(index=False):
+            s[r.k] += r[3:]
+            n[r.k] += r.n
+        centre = s / np.maximum(n, 1e-12)[:, None]
+        for r in table.itertuples(index=False):
+            offset.setdefault(r.batch, np.zeros((k, width)))[r.k] = (np.array(r[3:]) - r.n * centre[r.k]) / (r.n + ridge)
+        shifts.append((middle, offset))
+
+    final = list(shifts)
+
+    def apply(frames):
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "batch": frame["batch"], "v": list(corrected(frame, final))})
+
+    return points.select("id", F.col("batch").cast("string").alias("batch"), "v").mapInPandas(apply, "id long, batch string, v array<double>")
+
+
+def variance_trend(moments: DataFrame, bins: int = 200, penalty: float = 1.0) -> DataFrame:
+    """Adds ``score``: log2 CV less its trend over log2 mean, by kernel ridge regression with width gamma = 1000 / genes.
+
+    The regression sees at most ``bins`` mean points, weighted by their genes, however many genes there are.
+    """
+    ok = moments.filter("mean > 0 AND sd > 0").select("gene", F.log2("mean").alias("m"), F.log2(F.col("sd") / F.col("mean")).alias("cv"))
+    low, high, n = ok.agg(F.min("m"), F.max("m"), F.count("*")).first()
+    if not n:
+        return ok.withColumn("score", F.lit(0.0))
+    width = max(high - low, 1e-9) / bins
+    table = ok.groupBy(F.least(F.floor((F.col("m") - low) / width), F.lit(bins - 1)).alias("b")).agg(F.avg("m").alias("x"), F.avg("cv").alias("y"), F.count("*").alias("w")).orderBy("b").toPandas()
+    x, y, gamma = table["x"].to_numpy(), table["y"].to_numpy(), 1000.0 / n
+    kernel = np.exp(-gamma * (x[:, None] - x[None]) ** 2)
+    middle = float(np.average(y, weights=table["w"]))
+    alpha = np.linalg.solve(kernel + np.diag(penalty / table["w"].to_numpy()), y - middle)
+
+    @F.pandas_udf("double")
+    def trend(m: pd.Series) -> pd.Series:
+        return pd.Series(np.exp(-gamma * (m.to_numpy()[:, None] - x[None]) ** 2) @ alpha + middle)
+
+    return ok.withColumn("score", F.col("cv") - trend("m"))

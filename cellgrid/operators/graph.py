@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrid.model import div0
-from cellgrid.operators.stats import lgamma
+from cellgrid.operators.stats import digamma, lgamma
 
 #: Points in a block of the exact neighbour search.
 BLOCK = 1024
@@ -218,3 +219,29 @@ def mad_outliers(df: DataFrame, group: str, columns: list[str], threshold: float
     out = d.join(F.broadcast(mad), group)
     score = F.when(F.col("_mad") == 0, 0.0).otherwise(0.6745 * F.col("_d") / F.col("_mad"))
     return out.withColumn("outlier", score > threshold).drop("_d", "_mad", *[f"_m_{c}" for c in columns])
+
+
+def poisson_proximity(p: str, q: str, a: float, b: float) -> Column:
+    """Log Bayes factor that two count vectors have one profile, under a gamma prior (a, b) on each rate."""
+    n = F.size(p).cast("double")
+    sx, sy = (F.aggregate(c, F.lit(0.0), lambda s, x: s + x) for c in (p, q))
+    c = sy / sx
+    both, own_x, own_y = b + b * c + 1, b * c + 1, b + 1
+    prior = n * (math.lgamma(a) + a * F.log(own_x * own_y / both))
+    sums = sx * (F.log(c) + F.log(b / both) - F.log(b * c / own_x)) + sy * (F.log(b / both) - math.log(b / own_y))
+    return prior + sums + _sum(p, q, lambda x, y: lgamma(x + y + a) - lgamma(x + a) - lgamma(y + a))
+
+
+def gamma_divergence(p_shape: Column, p_rate: Column, q_shape: Column, q_rate: Column) -> Column:
+    """Kullback-Leibler divergence in bits between two gamma distributions."""
+    nats = (p_shape - q_shape) * digamma(p_shape) - lgamma(p_shape) + lgamma(q_shape) + q_shape * (F.log(p_rate) - F.log(q_rate)) + p_shape * (q_rate - p_rate) / p_rate
+    return nats / math.log(2)
+
+
+def correlation_knn(points: DataFrame, k: int) -> DataFrame:
+    """Nearest neighbours by correlation distance: half the squared distance of centred vectors of length 1."""
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    centred = points.withColumn("_m", mean).withColumn("v", F.transform("v", lambda x: x - F.col("_m")))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = centred.withColumn("_n", norm).select("id", F.transform("v", lambda x: F.when(F.col("_n") == 0, 0.0).otherwise(x / F.col("_n"))).alias("v"))
+    return exact_knn(unit, unit, k).withColumn("d", F.col("d") * F.col("d") / 2)

@@ -211,3 +211,28 @@ def mad_outlier(spark, sf_dir):
 def factor_norm(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumn("a", F.transform("v", F.abs)).withColumn("a", g._shares("a"))
     return v.select(F.col("id").alias("vec_id"), r6(F.aggregate(F.slice("a", 1, 8), F.lit(0.0), lambda s, x: s + x)).alias("head"))
+
+
+@query(
+    "poisson_proximity", "M06",
+    f"""WITH {PROF}, ct AS (SELECT label, list_transform(v, lambda x: floor(x * 3)) AS p, list_sum(list_transform(v, lambda x: floor(x * 3))) AS s FROM pf),
+    z AS (SELECT a.label AS a, b.label AS b, a.s AS sx, b.s AS sy, b.s / a.s AS c, list_sum(list_transform({ZIP}, lambda t: lgamma(2 + t[1] + t[2]) - lgamma(2 + t[1]) - lgamma(2 + t[2]))) AS g FROM ct a JOIN ct b ON a.label < b.label)
+    SELECT a::BIGINT AS a, b::BIGINT AS b, round(64 * lgamma(2) + 64 * 2 * ln((0.5e0 * c + 1) * 1.5e0 / (1.5e0 + 0.5e0 * c)) + sx * (ln(c) + ln(0.5e0 / (1.5e0 + 0.5e0 * c)) - ln(0.5e0 * c / (0.5e0 * c + 1))) + sy * (ln(0.5e0 / (1.5e0 + 0.5e0 * c)) - ln(0.5e0 / 1.5e0)) + g, 4) AS f FROM z""",
+)
+def poisson_proximity(spark, sf_dir):
+    return profile_pairs(spark, sf_dir, counts=True).select("a", "b", r6(g.poisson_proximity("p", "q", 2.0, 0.5), 4).alias("f"))
+
+
+@query("gamma_divergence", "M03")
+def gamma_divergence(spark, sf_dir):
+    c = order_matrix(spark, sf_dir).entries.groupBy("gene").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).filter("v > 0")
+    return c.select("gene", r6(g.gamma_divergence(F.col("m") * F.col("m") / F.col("v"), F.col("m") / F.col("v"), F.lit(2.0), F.lit(0.1)), 5).alias("kl"))
+
+
+@query(
+    "correlation_knn", "G14",
+    """WITH u AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) t(i)), r AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1 - corr(a.x, b.x) AS d FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL)
+    SELECT src, dst, round(d, 5) AS d FROM r QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(sqrt(2 * d), 9), dst) <= 4""",
+)
+def correlation_knn(spark, sf_dir):
+    return g.correlation_knn(vectors(spark, sf_dir).select("id", "v"), 4).select("src", "dst", r6(F.col("d"), 5).alias("d"))

@@ -121,6 +121,27 @@ def tsne(spark, sf_dir):
     return embed.embed(vectors(spark, sf_dir).filter("id < 300"), early=50, late=100)
 
 
+@query("variance_selection", "E05")
+def variance_selection(spark, sf_dir):
+    m = order_matrix(spark, sf_dir)
+    scored = factor.variance_trend(qc.gene_moments(m.entries, "x", m.n_cells()))
+    return scored.withColumn("by", F.round("score", 6)).orderBy(F.col("by").desc(), "gene").limit(200).select("gene", F.col("by").alias("score"))
+
+
+@query("surprise", "C07")
+def surprise(spark, sf_dir):
+    edges = knn(spark, sf_dir).withColumn("w", F.lit(1.0))
+    labels = cluster.communities(vectors(spark, sf_dir), edges, folder=folder(spark), method="surprise")
+    return cluster.polish(labels, edges.select("src", "dst"), 5)
+
+
+@query("harmony", "D03")
+def harmony(spark, sf_dir):
+    p = vectors(spark, sf_dir).select("id", (F.col("id") % 3).cast("string").alias("batch"), F.slice("v", 1, 8).alias("v"))
+    out = factor.harmonized(p)
+    return out.groupBy("batch").agg(*[r6(F.avg(F.col("v")[j]), 5).alias(f"m{j}") for j in range(8)])
+
+
 @query("rf_transfer", "N06 N08")
 def rf_transfer(spark, sf_dir):
     """Labels from a random forest trained on four fifths of the vectors; uncertain where no class reaches .6."""

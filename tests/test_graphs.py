@@ -159,3 +159,38 @@ def test_tsne_keeps_groups_apart(blobs):
     centre = [y[o : o + 25].mean(0) for o in (0, 25, 50)]
     spread = max(np.linalg.norm(y[o : o + 25] - c, axis=1).mean() for o, c in zip((0, 25, 50), centre, strict=True))
     assert min(np.linalg.norm(a - b) for a, b in itertools.combinations(centre, 2)) > 2 * spread
+
+
+def test_surprise_finds_cliques():
+    edges = [(a + o, b + o) for o in (0, 6, 12) for a, b in itertools.combinations(range(6), 2)] + [(5, 6), (11, 12)]
+    src, dst = np.array(edges).T
+    labels = cluster.surprise_communities(18, src, dst, np.ones(len(src)))
+    assert all(len(set(labels[o : o + 6])) == 1 for o in (0, 6, 12)) and len(set(labels)) == 3
+
+
+def test_harmonized_batches_meet(spark):
+    rng = np.random.default_rng(6)
+    base = np.concatenate([rng.normal(0, 0.2, (60, 2)), rng.normal(5, 0.2, (60, 2))])
+    rows = [(i, "ab"[i % 2], [float(x) for x in v + (1.0 if i % 2 else 0.0)]) for i, v in enumerate(base)]
+    out = factor.harmonized(spark.createDataFrame(rows, "id long, batch string, v array<double>"), clusters=4)
+    got = {r.id: np.array(r.v) for r in out.collect()}
+    gap = lambda s: np.linalg.norm(np.mean([s(i) for i in range(0, 60, 2)], axis=0) - np.mean([s(i) for i in range(1, 60, 2)], axis=0))
+    assert gap(lambda i: got[i]) < 0.4 * gap(lambda i: np.array(rows[i][2]))
+    assert np.linalg.norm(got[0] - got[100]) > 3
+
+
+def test_variance_trend_ranks_noisy_genes(spark):
+    rows = [(k, 1.0 + k / 10, (1.0 + k / 10) ** 0.5 * (3.0 if k == 50 else 1.0)) for k in range(200)] + [(500, 0.0, 0.0)]
+    scored = factor.variance_trend(spark.createDataFrame(rows, "gene long, mean double, sd double"))
+    assert scored.count() == 200 and scored.orderBy(F.col("score").desc()).first().gene == 50
+
+
+def test_gamma_divergence_equals_the_integral(spark):
+    import math
+
+    t = np.linspace(1e-6, 60, 600_001)
+    density = lambda a, r: r**a / math.gamma(a) * t ** (a - 1) * np.exp(-r * t)
+    p, q = density(2.5, 1.2), density(3.0, 0.7)
+    want = np.trapezoid(p * np.log2(p / q), t)
+    got = spark.range(1).select(graph.gamma_divergence(F.lit(2.5), F.lit(1.2), F.lit(3.0), F.lit(0.7))).first()[0]
+    assert got == pytest.approx(want, abs=1e-4)
