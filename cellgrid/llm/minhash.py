@@ -9,11 +9,11 @@
    bucket's leader, not all pairs. Leaders follow one order in all buckets, so a node meets
    few different ones.
 4. Candidates whose bitmaps are too far apart (six standard errors beyond the threshold) go;
-   the rest are confirmed on full shingle sets, best estimate first, and only while their ends
-   are in different components.
+   the rest are confirmed on full shingle sets.
 5. Buckets whose nodes are then still in several components get the exact way for the rest:
    their nodes outside the largest component meet all others of other components in blocks,
-   where the bitmaps are compared in numpy, and what passes is confirmed in the same way.
+   where the bitmaps are compared in numpy. What passes is confirmed in the same way: each
+   node's nearest ones first, the others only where their ends are then still apart.
 
 A pair at the threshold shares no bucket with a probability of (1 - 0.8^4)^32 = 5e-8.
 
@@ -45,9 +45,8 @@ SKETCH_BITS = 1024
 LEAST_ESTIMATE = 0.6
 #: Nodes in a block of the comparison in blocks.
 BLOCK = 512
-#: Candidates of one node that are confirmed in the first round; the others follow, in each round ``MORE`` times as many as in all before.
-AT_ONCE = 2
-MORE = 8
+#: Of the candidates from blocks, so many of each node are confirmed first; the others only where their ends are then still apart.
+FIRST = 4
 
 _RANDOM = np.random.default_rng(20240501)
 _FACTORS = (_RANDOM.integers(0, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -201,25 +200,21 @@ def rest_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: fl
 
 
 def _linked(candidates: DataFrame, edges: DataFrame | None, labels: DataFrame | None, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirm candidates, nearest first, until none is left whose ends are in different components."""
-    at_once = AT_ONCE
-    while True:
-        open_ = candidates
-        if labels is not None:
-            for end in ("a", "b"):
-                open_ = open_.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
-            open_ = open_.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-        rank = F.row_number().over(Window.partitionBy("a").orderBy("off", "b"))
-        open_ = staged(open_.withColumn("rank", rank), "pairs")
-        now = open_.filter(F.col("rank") <= at_once)
-        found = staged(confirmed(now, sets), "links")
-        candidates = open_.filter(F.col("rank") > at_once).drop("rank")
-        at_once *= MORE
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = staged(connected_components(edges), "labels")
-        if candidates.isEmpty():
-            return edges, labels
+    """Links and component labels after confirming candidates."""
+    found = staged(confirmed(candidates, sets), "links")
+    if found.isEmpty():
+        return edges, labels
+    edges = found if edges is None else edges.unionByName(found)
+    return edges, staged(connected_components(edges), "labels")
+
+
+def _apart(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Candidates whose ends are in different components."""
+    if labels is None:
+        return candidates
+    for end in ("a", "b"):
+        candidates = candidates.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+    return candidates.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -235,17 +230,14 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     shared = staged(shared_buckets(nodes.select("node", F.explode("bands").alias("band"))), "buckets")
     stars = shared.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     candidates = staged(_with_sketches(stars, nodes, least), "candidates")
-    labels = edges = None
-    if not candidates.isEmpty():
-        ends = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-        sets = _sets_of(documents, nodes, ends, width, id_col, text_col)
-        edges, labels = _linked(candidates, edges, labels, sets)
+    sets = _sets_of(documents, nodes, shared.select("node").distinct(), width, id_col, text_col)
+    edges, labels = _linked(candidates, None, None, sets)
     seen = labels if labels is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
-    rest = staged(_fresh(rest_pairs(shared, seen, nodes, least), candidates), "rest")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("off", "b"))
+    rest = staged(_fresh(rest_pairs(shared, seen, nodes, least), candidates).withColumn("rank", rank), "rest")
     if not rest.isEmpty():
-        ends = rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct()
-        sets = _sets_of(documents, nodes, ends, width, id_col, text_col)
-        edges, labels = _linked(rest, edges, labels, sets)
+        edges, labels = _linked(rest.filter(F.col("rank") <= FIRST), edges, labels, sets)
+        edges, labels = _linked(_apart(rest.filter(F.col("rank") > FIRST), labels), edges, labels, sets)
     if labels is None:
         return _labelled(short, nodes.select("node", F.col("node").alias("comp"), F.col("least_id").alias("component_id")))
     of = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
