@@ -11,9 +11,11 @@
 4. Candidates whose bitmaps are too far apart (six standard errors beyond the threshold) go;
    the rest are confirmed on full shingle sets.
 5. Buckets whose nodes are then still in several components get the exact way for the rest:
-   their nodes outside the largest component meet all others of other components in blocks,
-   where the bitmaps are compared in numpy. What passes is confirmed in the same way: each
-   node's nearest ones first, the others only where their ends are then still apart.
+   their nodes outside the largest component meet all others of other components in blocks. There
+   the bitmaps are compared in numpy, each pair in the first bucket that it shares, and only the
+   nodes that some other one is near to are sent on, with their full sets, to a second pass over
+   the same blocks. It confirms pairs in place and returns the links that join something new, at
+   most one less than a block has nodes. Blocks are repeated, pairs of nodes never become rows.
 
 A pair at the threshold shares no bucket with a probability of (1 - 0.8^4)^32 = 5e-8.
 
@@ -28,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.llm.common import arrow_map, staged, table, utf8_rows
@@ -43,10 +45,9 @@ SAMPLES = 256
 SKETCH_BITS = 1024
 #: Candidates are dropped if their bitmaps suggest a similarity below this: about six standard errors under the threshold.
 LEAST_ESTIMATE = 0.6
-#: Nodes in a block of the comparison in blocks.
+#: Nodes, and shingles of all its nodes, that a block of the comparison in blocks is meant to hold.
 BLOCK = 512
-#: Of the candidates from blocks, so many of each node are confirmed first; the others only where their ends are then still apart.
-FIRST = 4
+BLOCK_SHINGLES = 500_000
 
 _RANDOM = np.random.default_rng(20240501)
 _FACTORS = (_RANDOM.integers(0, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -144,7 +145,7 @@ def _with_sketches(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """(band, node, lead) of every bucket with two nodes or more; lead is the least node by hash."""
+    """(no, band, node, n_shingles, lead) of every bucket with two nodes or more; lead is the least node by hash."""
     order = F.xxhash64("node")
     leaders = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), F.col("node"))).alias("lead")).filter("n > 1")
     return bands.join(leaders.select("band", F.col("lead.node").alias("lead")), "band")
@@ -158,63 +159,94 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return met.filter(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def rest_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs in buckets that hold several components, of nodes of different ones, whose bitmaps are near.
+BLOCK_ROW = "block long, side int, at int, node binary, n_shingles long, near array<int>"
 
-    In each such bucket the nodes outside its largest component are dealt into blocks, and each
-    block meets every block of the bucket. Only blocks are repeated, not pairs.
+
+def rest_blocks(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Of buckets that hold several components, the nodes whose bitmaps are near to one of another component.
+
+    In each such bucket the nodes outside its largest component (side 0) are dealt into blocks, and
+    each block meets every block of the bucket (side 1). A row of side 0 has the places of the near
+    nodes of side 1 in the same pair of blocks. A pair is looked at in the first bucket it shares.
     """
     known = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = known.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    mixed_up = per.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1")
-    mixed_up = mixed_up.select("band", F.col("top.comp").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("odd_blocks"))
-    members = known.join(mixed_up, "band").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    member = F.struct("node", "comp", "n_shingles", "sketch")
+    per = known.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    several = per.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "comp")).alias("top")).filter("comps > 1")
+    count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    several = several.select(
+        "band", F.col("top.comp").alias("top"), count(F.col("n"), F.col("size")).alias("blocks"),
+        F.greatest(count(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")), F.lit(1)).alias("odd_blocks"),
+    )
+    members = known.join(several, "band").join(nodes.select("node", "sketch", "bands"), "node").withColumn("odd", F.col("comp") != F.col("top"))
+    member = F.struct("node", "comp", "n_shingles", "sketch", "bands", "odd")
     spread = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2**31))
-    odd = members.filter("comp <> top").withColumn("x", (spread % F.col("odd_blocks")).cast("int"))
-    odd = odd.groupBy("band", "x", "blocks").agg(F.collect_list(member).alias("left"))
+    odd = members.filter("odd").withColumn("x", (spread % F.col("odd_blocks")).cast("int"))
+    odd = odd.groupBy("no", "band", "x", "blocks").agg(F.collect_list(member).alias("left"))
     odd = odd.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     every = members.withColumn("y", (spread % F.col("blocks")).cast("int")).groupBy("band", "y").agg(F.collect_list(member).alias("right"))
     limit = most_bits(least)
 
+    def near_of(no: int, left: list[dict], right: list[dict]) -> list[np.ndarray]:
+        """For each node of the left block the places of its near ones on the right."""
+        pack = lambda side, name: np.array([x[name] for x in side], np.int64)
+        maps, bands = pack(right, "sketch").view(np.uint64), pack(right, "bands")
+        sizes, comps = pack(right, "n_shingles"), np.array([x["comp"] for x in right], object)
+        names, odds = np.array([x["node"] for x in right], object), np.array([x["odd"] for x in right])
+        out = []
+        for x in left:
+            off = np.bitwise_count(maps ^ np.array(x["sketch"], np.int64).view(np.uint64)).sum(axis=1)
+            close = (off <= limit) & (np.minimum(sizes, x["n_shingles"]) * 100 >= np.maximum(sizes, x["n_shingles"]) * PERCENT)
+            own = np.flatnonzero(close)
+            own = own[(comps[own] != x["comp"]) & (~odds[own] | (names[own] > x["node"]))]
+            out.append(own[(bands[own] == np.array(x["bands"], np.int64)).argmax(axis=1) == no] if len(own) else own)
+        return out
+
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {"a": [], "b": [], "na": [], "nb": [], "off": []}
-        for pair in zip(batch.column(0), batch.column(1), strict=True):
-            left, right = (side.as_py() for side in pair)
-            maps = [np.array([x["sketch"] for x in side], np.int64).view(np.uint64) for side in (left, right)]
-            sizes = [np.array([x["n_shingles"] for x in side]) for side in (left, right)]
-            for i, x in enumerate(left):
-                off = np.bitwise_count(maps[1] ^ maps[0][i]).sum(axis=1)
-                near = (off <= limit) & (np.minimum(sizes[1], sizes[0][i]) * 100 >= np.maximum(sizes[1], sizes[0][i]) * PERCENT)
-                for j in np.flatnonzero(near):
-                    y = right[j]
-                    if x["comp"] != y["comp"]:
-                        first, last = (x, y) if x["node"] < y["node"] else (y, x)
-                        for name, value in zip(out, (first["node"], last["node"], first["n_shingles"], last["n_shingles"], int(off[j])), strict=True):
-                            out[name].append(value)
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-        return pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    met = odd.join(every, ["band", "y"]).select("left", "right")
-    return arrow_map(met, kernel, "a binary, b binary, na long, nb long, off int").distinct()
-
-
-def _linked(candidates: DataFrame, edges: DataFrame | None, labels: DataFrame | None, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links and component labels after confirming candidates."""
-    found = staged(confirmed(candidates, sets), "links")
-    if found.isEmpty():
-        return edges, labels
-    edges = found if edges is None else edges.unionByName(found)
-    return edges, staged(connected_components(edges), "labels")
-
-
-def _apart(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Candidates whose ends are in different components."""
-    if labels is None:
-        return candidates
-    for end in ("a", "b"):
-        candidates = candidates.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
-    return candidates.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+        rows = []
+        for no, block, left, right in zip(*batch.columns, strict=True):
+            left, right = left.as_py(), right.as_py()
+            near = near_of(no.as_py(), left, right)
+            used = np.unique(np.concatenate(near))
+            rows += [(block.as_py(), 0, i, left[i]["node"], left[i]["n_shingles"], own.tolist()) for i, own in enumerate(near) if len(own)]
+            rows += [(block.as_py(), 1, int(j), right[j]["node"], right[j]["n_shingles"], None) for j in used]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()))
+        names = ("block", "side", "at", "node", "n_shingles", "near")
+        return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    met = odd.join(every, ["band", "y"]).select("no", F.xxhash64("band", "x", "y").alias("block"), "left", "right")
+    return arrow_map(met, kernel, BLOCK_ROW)
+
+
+def rest_links(blocks: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) among the near nodes of each pair of blocks, confirmed on full sets; one that joins nothing new is left out."""
+    row = F.struct("side", "at", "node", "n_shingles", "near", "shingles")
+    met = blocks.join(sets, "node").groupBy("block").agg(F.collect_list(row).alias("rows")).select("rows")
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: list[tuple[bytes, bytes]] = []
+        for value in batch.column(0):
+            rows = value.as_py()
+            right = {r["at"]: r for r in rows if r["side"] == 1}
+            whole = {r["node"]: np.array(r["shingles"], np.int64) for r in rows}
+            root: dict[bytes, bytes] = {}
+
+            def top(x: bytes) -> bytes:
+                while (up := root.get(x, x)) != x:  # noqa: B023
+                    x = up
+                return x
+
+            for a in (r for r in rows if r["side"] == 0):
+                for b in (right[j] for j in a["near"]):
+                    p, q = top(a["node"]), top(b["node"])
+                    if p == q:
+                        continue
+                    both = len(np.intersect1d(whole[a["node"]], whole[b["node"]], assume_unique=True))
+                    if both * 100 >= percent * (a["n_shingles"] + b["n_shingles"] - both):
+                        root[p] = q
+                        found.append((a["node"], b["node"]))
+        return pa.record_batch([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return arrow_map(met, kernel, "a binary, b binary")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -227,30 +259,20 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
         ),
         "nodes",
     )
-    shared = staged(shared_buckets(nodes.select("node", F.explode("bands").alias("band"))), "buckets")
+    shared = staged(shared_buckets(nodes.select("node", "n_shingles", F.posexplode("bands").alias("no", "band"))), "buckets")
     stars = shared.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     candidates = staged(_with_sketches(stars, nodes, least), "candidates")
     sets = _sets_of(documents, nodes, shared.select("node").distinct(), width, id_col, text_col)
-    edges, labels = _linked(candidates, None, None, sets)
-    seen = labels if labels is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("off", "b"))
-    rest = staged(_fresh(rest_pairs(shared, seen, nodes, least), candidates).withColumn("rank", rank), "rest")
-    if not rest.isEmpty():
-        edges, labels = _linked(rest.filter(F.col("rank") <= FIRST), edges, labels, sets)
-        edges, labels = _linked(_apart(rest.filter(F.col("rank") > FIRST), labels), edges, labels, sets)
-    if labels is None:
-        return _labelled(short, nodes.select("node", F.col("node").alias("comp"), F.col("least_id").alias("component_id")))
+    edges = staged(confirmed(candidates, sets, percent), "links")
+    labels = staged(connected_components(edges), "labels")
+    more = staged(rest_links(rest_blocks(shared, labels, nodes, least), sets, percent), "links")
+    if not more.isEmpty():
+        labels = staged(connected_components(edges.unionByName(more)), "labels")
     of = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_of = of.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     return _labelled(short, of.join(least_of, "comp").select("node", "comp", "component_id"))
 
 
-def _fresh(rest: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs that were not confirmed or refused before, either way round."""
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return rest.join(done, ["a", "b"], "left_anti")
-
-
 def _sets_of(documents: DataFrame, nodes: DataFrame, ends: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """Full sets of the given nodes, from the texts of their documents with the least id."""
     wanted = staged(nodes.join(ends, "node", "left_semi").select("node", "least_id"), "wanted")
