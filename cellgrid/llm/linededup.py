@@ -54,7 +54,7 @@ def line_sites(documents: DataFrame, text_col: str = "text", site_col: str = "so
 def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Hashes of the lines that stand on at least ``min_sites`` sites, as a staged table."""
     pairs = line_sites(documents, text_col, site_col)
-    # Sketches are kept only for lines seen twice or more: a line's first filter is a plain count.
+    # A line that stands in fewer places than the threshold has fewer sites, so only the others' sketches are read.
     spread = pairs.groupBy("line").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
     spread = staged(spread.filter(F.col("n") >= min_sites).select("line", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
     low, high = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
