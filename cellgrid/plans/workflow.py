@@ -32,6 +32,8 @@ def analyse(m: CellMatrix, config: dict, folder: str) -> dict[str, DataFrame]:
     rnn = graph.radius_graph(knn)
     labels = cluster.communities(points.select("id"), rnn.withColumnRenamed("sim", "w"), min_cells=10, folder=folder)
     clean = cluster.polish(labels, knn, min_cells=10)
+    if clean.filter("label >= 0").isEmpty():  # too small or too uniform to divide: one cluster
+        clean = clean.withColumn("label", F.lit(0).cast("long"))
     return {"selected": selected, "points": points, "knn": knn, "rnn": rnn, "labels": clean}
 
 

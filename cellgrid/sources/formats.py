@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
+from pathlib import Path
+
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +55,52 @@ def matching_files(names: DataFrame, pattern: str) -> DataFrame:
     import fnmatch
 
     return names.filter(F.col("name").rlike(fnmatch.translate(pattern).replace("(?s:", "(?s)(?:")))
+
+
+def annotation_folder(spark: SparkSession, folder: str, genes: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tag, sign, gene) and (tag, category) of all definition files below a folder.
+
+    A file is YAML, or Markdown with YAML between its first two ``---`` lines. README.md is passed
+    over; files that cannot be read, and definitions with genes that ``genes`` lacks, are logged
+    and left out.
+    """
+    from cellgrid.operators.annotate import parse_definitions
+
+    definitions, categories = [], []
+    for path in sorted(Path(folder).rglob("*")):
+        if path.suffix not in (".yaml", ".yml", ".md") or path.name == "README.md":
+            continue
+        try:
+            text = path.read_text()
+            spec = yaml.safe_load(text.split("---")[1] if path.suffix == ".md" else text)
+            tag, definition = str(spec["abbreviation"]), str(spec["definition"])
+            words = definition.split()
+            if not words or any(w[0] not in "+-" for w in words):
+                raise ValueError(f"{definition!r} has words without a sign")
+            if genes is not None and (missing := {w[1:] for w in words} - genes):
+                raise ValueError(f"no genes {sorted(missing)}")
+        except Exception as error:  # one bad file must not hide the others
+            logging.getLogger(__name__).warning("%s left out: %s", path, error)
+            continue
+        definitions.append((tag, definition))
+        categories += [(tag, c) for c in str(spec.get("categories") or "").replace(",", " ").split()]
+    return parse_definitions(spark, definitions) if definitions else spark.createDataFrame([], "tag string, sign int, gene string"), spark.createDataFrame(categories, "tag string, category string")
+
+
+def replicate_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(replicate, sample) rows of a CSV file whose lines are lists of samples."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("replicate"), F.split("value", ",").alias("s"))
+    return lines.select("replicate", F.explode("s").alias("sample")).select("replicate", F.trim("sample").alias("sample")).filter("sample <> ''")
+
+
+def publish(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Write a table beside its place and move it there when it is whole, so readers see the old or the new one."""
+    spark = df.sparkSession
+    beside = f"{path}.tmp-{uuid.uuid4().hex}"
+    writer = df.write.option("header", True) if form == "csv" else df.write
+    writer.format(form).save(beside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(hadoop(path), True)
+    if not files.rename(hadoop(beside), hadoop(path)):
+        raise OSError(f"{beside} could not be moved to {path}")

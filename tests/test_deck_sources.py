@@ -119,3 +119,50 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = totals.run_to_table(totals.windowed_totals(totals.read_events(spark, str(tmp_path / "in"))), "t_stream", str(tmp_path / "state"))
     batch = totals.windowed_totals(events)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_annotation_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "README.md").write_text("nothing")
+    (tmp_path / "a.yaml").write_text("name: A\nabbreviation: AA\ndefinition: '+G1 -G2'\ncategories: x y\n")
+    (tmp_path / "sub" / "b.md").write_text("---\nname: B\nabbreviation: BB\ndefinition: '+G9'\n---\ntext\n")
+    (tmp_path / "bad.yaml").write_text("abbreviation: C\n")
+    rules, categories = formats.annotation_folder(spark, str(tmp_path))
+    assert {tuple(r) for r in rules.collect()} == {("AA", 1, "G1"), ("AA", -1, "G2"), ("BB", 1, "G9")}
+    assert {tuple(r) for r in categories.collect()} == {("AA", "x"), ("AA", "y")}
+    assert {r.tag for r in formats.annotation_folder(spark, str(tmp_path), {"G1", "G2"})[0].collect()} == {"AA"}
+
+
+def test_publish_and_replicates(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for n in (3, 5):
+        formats.publish(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    formats.publish(spark.range(2), str(tmp_path / "c"), "csv")
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
+    (tmp_path / "r.csv").write_text("a,b\n\nc\n")
+    rows = formats.replicate_sets(spark, str(tmp_path / "r.csv")).collect()
+    assert sorted(r.sample for r in rows) == ["a", "b", "c"] and len({r.replicate for r in rows}) == 2
+
+
+def test_build_runs_a_deck(spark, tmp_path):
+    import numpy as np
+
+    from cellgrid.model import CellMatrix
+    from cellgrid.plans.workflow import Build, load_deck
+    from cellgrid.sources.tables import write_matrix
+
+    x = np.random.default_rng(0).poisson(0.8, size=(24, 12))
+    cells = spark.createDataFrame([(i, "left" if i < 12 else "right") for i in range(24)], "cell long, cluster string")
+    genes = spark.createDataFrame([(j, f"g{j}") for j in range(12)], "gene long, name string")
+    entries = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "cell long, gene long, x double")
+    write_matrix(CellMatrix(cells, genes, entries), str(tmp_path / "samples"))
+    write(tmp_path / "deck", Root="L: {include: [left]}\n")
+    build = Build(spark, load_deck(str(tmp_path / "deck")), str(tmp_path / "samples"), str(tmp_path / "out"), DEFAULTS)
+    assert build.run(dry=True) == ["L", "Pool"]
+    chosen = build.collect("L")
+    assert sorted(r.cell for r in chosen.cells.collect()) == list(range(12)) and chosen.entries.agg(F.sum("x")).first()[0] == x[:12].sum()
+    chosen.cells.withColumn("clusters", F.col("cell") % 2).write.parquet(str(tmp_path / "out" / "L" / "cells"))
+    assert build.run() == ["Pool"] and build.plan() == []
+    assert {r.source for r in spark.read.parquet(str(tmp_path / "out" / "Pool" / "cells")).collect()} == {"L"}
