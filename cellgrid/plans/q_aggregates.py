@@ -84,10 +84,10 @@ def majority_sample(spark, sf_dir):
     return ag.mode(c, "of", "sample").groupBy(F.col("sample").cast("long").alias("sample")).agg(F.count("*").alias("n"))
 
 
-@query("pseudobulk", "A12", "SELECT sample::BIGINT AS sample, cluster, gene, sum(x) AS x FROM entries JOIN cells USING (cell) WHERE gene <= 300 GROUP BY ALL", matrix=True)
+@query("pseudobulk", "A12", "SELECT sample::BIGINT AS sample, cluster, gene, sum(x) AS x FROM entries JOIN cells USING (cell) GROUP BY ALL", matrix=True)
 def pseudobulk(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
-    e = m.entries.filter("gene <= 300").join(m.cells.select("cell", "sample", "cluster"), "cell")
+    e = m.entries.join(m.cells.select("cell", "sample", "cluster"), "cell")
     return e.groupBy(F.col("sample").cast("long").alias("sample"), "cluster", "gene").agg(F.sum("x").alias("x"))
 
 
@@ -187,13 +187,14 @@ def cell_cycle(spark, sf_dir):
     return s.select("cell", *[r6(F.col(p) / F.col("t")).alias(n) for p, n in (("a", "g1"), ("b", "s"), ("c", "g2m"))], r6(all_).alias("cycle"), (all_ > 0.01).alias("is_cycling"))
 
 
-MEANS = "mm AS (SELECT sample, gene % 40 AS f, sum(x) AS v FROM entries JOIN cells USING (cell) GROUP BY ALL)"
+MEANS = "mm AS (SELECT sample, category AS f, sum(x) AS v FROM entries JOIN cells USING (cell) JOIN genes USING (gene) GROUP BY ALL)"
 
 
 @query("correlation_matrix", "A27", f"WITH {MEANS} SELECT a.sample::BIGINT AS a, b.sample::BIGINT AS b, round(corr(a.v, b.v), 6) AS r FROM mm a JOIN mm b ON a.f = b.f AND a.sample < b.sample GROUP BY ALL", matrix=True)
 def correlation_matrix(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
-    v = m.entries.join(m.cells.select("cell", "sample"), "cell").groupBy(F.col("sample").cast("long").alias("s"), (F.col("gene") % 40).alias("f")).agg(F.sum("x").alias("v"))
+    named = m.entries.join(m.cells.select("cell", "sample"), "cell").join(m.genes.select("gene", "category"), "gene")
+    v = named.groupBy(F.col("sample").cast("long").alias("s"), F.col("category").alias("f")).agg(F.sum("x").alias("v"))
     pairs = v.select(F.col("s").alias("a"), "f", F.col("v").alias("va")).join(v.select(F.col("s").alias("b"), "f", F.col("v").alias("vb")), "f").filter("a < b")
     return pairs.groupBy("a", "b").agg(r6(F.corr("va", "vb")).alias("r"))
 
@@ -224,13 +225,13 @@ def gene_set_score(spark, sf_dir):
 
 @query(
     "region_overlap", "A32",
-    """WITH c AS (SELECT sample, gene, count(*) AS n FROM entries JOIN cells USING (cell) WHERE gene <= 400 GROUP BY ALL HAVING count(*) > 1), s AS (SELECT sample, count(*) AS k FROM c GROUP BY sample)
+    """WITH c AS (SELECT sample, gene, count(*) AS n FROM entries JOIN cells USING (cell) GROUP BY ALL HAVING count(*) > 1), s AS (SELECT sample, count(*) AS k FROM c GROUP BY sample)
     SELECT a.sample::BIGINT AS a, b.sample::BIGINT AS b, round(count(*)::DOUBLE / k, 6) AS share FROM c a JOIN c b ON a.gene = b.gene AND a.sample <> b.sample JOIN s ON s.sample = a.sample GROUP BY a.sample, b.sample, k""",
     matrix=True,
 )
 def region_overlap(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
-    c = m.entries.filter("gene <= 400").join(m.cells.select("cell", F.col("sample").cast("long").alias("s")), "cell").groupBy("s", "gene").agg(F.count("*").alias("n")).filter("n > 1")
+    c = m.entries.join(m.cells.select("cell", F.col("sample").cast("long").alias("s")), "cell").groupBy("s", "gene").agg(F.count("*").alias("n")).filter("n > 1")
     both = c.select(F.col("s").alias("a"), "gene").join(c.select(F.col("s").alias("b"), "gene"), "gene").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
     return both.join(F.broadcast(c.groupBy(F.col("s").alias("a")).agg(F.count("*").alias("k"))), "a").select("a", "b", r6(F.col("n") / F.col("k")).alias("share"))
 
@@ -242,21 +243,21 @@ def cube_counts(spark, sf_dir):
 
 @query(
     "heatmap_matrix", "V02",
-    """WITH g AS (SELECT cluster, gene, ln(sum(x) + 1) AS v FROM entries JOIN cells USING (cell) WHERE gene <= 200 GROUP BY ALL), p AS (SELECT gene, quantile_cont(v, 0.99) AS p FROM g GROUP BY gene),
+    """WITH g AS (SELECT cluster, gene, ln(sum(x) + 1) AS v FROM entries JOIN cells USING (cell) GROUP BY ALL), p AS (SELECT gene, quantile_cont(v, 0.99) AS p FROM g GROUP BY gene),
     top AS (SELECT gene, arg_max(cluster, round(v, 9)) AS top FROM (SELECT * FROM g ORDER BY cluster) GROUP BY gene)
     SELECT g.gene, cluster, round(v / (p + 0.1e0), 6) AS v FROM g JOIN p USING (gene)""",
     matrix=True,
 )
 def heatmap_matrix(spark, sf_dir):
     g = order_matrix(spark, sf_dir)
-    v = g.entries.filter("gene <= 200").join(g.cells.select("cell", "cluster"), "cell").groupBy("cluster", "gene").agg(F.log1p(F.sum("x")).alias("v"))
+    v = g.entries.join(g.cells.select("cell", "cluster"), "cell").groupBy("cluster", "gene").agg(F.log1p(F.sum("x")).alias("v"))
     p = v.groupBy("gene").agg(F.percentile("v", 0.99).alias("p"))
     return v.join(p, "gene").select("gene", "cluster", r6(F.col("v") / (F.col("p") + 0.1)).alias("v"))
 
 
-@query("strong_factors", "V07", "WITH p AS (SELECT gene, quantile_cont(x, 0.99) AS p FROM entries WHERE gene <= 500 GROUP BY gene) SELECT gene, count(*)::BIGINT AS n FROM entries JOIN p USING (gene) WHERE x > 0.5e0 * p GROUP BY gene", matrix=True)
+@query("strong_factors", "V07", "WITH p AS (SELECT gene, quantile_cont(x, 0.99) AS p FROM entries GROUP BY gene) SELECT gene, count(*)::BIGINT AS n FROM entries JOIN p USING (gene) WHERE x > 0.5e0 * p GROUP BY gene", matrix=True)
 def strong_factors(spark, sf_dir):
-    e = order_matrix(spark, sf_dir).entries.filter("gene <= 500")
+    e = order_matrix(spark, sf_dir).entries
     p = e.groupBy("gene").agg(F.percentile("x", 0.99).alias("p"))
     return e.join(p, "gene").filter(F.col("x") > 0.5 * F.col("p")).groupBy("gene").agg(F.count("*").alias("n"))
 

@@ -97,11 +97,11 @@ def nearest_labelled(spark, sf_dir):
     return near.join(v.select(F.col("id").alias("dst"), "label"), "dst").select("src", "label")
 
 
-ENTRIES_E = "ee AS (SELECT vec_id AS cell, i AS gene, greatest(embedding[i]::DOUBLE, 0e0) AS x FROM embeddings, range(1, 21) t(i) WHERE embedding[i] > 0)"
+ENTRIES_E = "ee AS (SELECT vec_id AS cell, i AS gene, greatest(embedding[i]::DOUBLE, 0e0) AS x FROM embeddings, range(1, 65) t(i) WHERE embedding[i] > 0)"
 
 
 def vector_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = vectors(spark, sf_dir).select(F.col("id").alias("cell"), F.posexplode(F.slice("v", 1, 20)).alias("p", "x"))
+    long = vectors(spark, sf_dir).select(F.col("id").alias("cell"), F.posexplode("v").alias("p", "x"))
     return long.filter("x > 0").select("cell", (F.col("p") + 1).cast("long").alias("gene"), "x")
 
 

@@ -118,7 +118,7 @@ def doublet_query(spark, sf_dir):
 
 @query("tsne", "X01 X02")
 def tsne(spark, sf_dir):
-    return embed.embed(vectors(spark, sf_dir).filter("id < 300"), early=50, late=100)
+    return embed.embed(vectors(spark, sf_dir), early=50, late=100)
 
 
 @query("variance_selection", "E05")
@@ -137,9 +137,9 @@ def surprise(spark, sf_dir):
 
 @query("harmony", "D03")
 def harmony(spark, sf_dir):
-    p = vectors(spark, sf_dir).select("id", (F.col("id") % 3).cast("string").alias("batch"), F.slice("v", 1, 8).alias("v"))
+    p = vectors(spark, sf_dir).select("id", F.col("label").cast("string").alias("batch"), "v")
     out = factor.harmonized(p)
-    return out.groupBy("batch").agg(*[r6(F.avg(F.col("v")[j]), 5).alias(f"m{j}") for j in range(8)])
+    return out.groupBy("batch").agg(*[r6(F.avg(F.col("v")[j]), 5).alias(f"m{j}") for j in range(64)])
 
 
 @query("rf_transfer", "N06 N08")
@@ -190,10 +190,10 @@ def pull_to_levels(spark, sf_dir):
 
 @query(
     "second_pass_doublets", "B03",
-    f"WITH {KNN}, fl AS (SELECT vec_id AS id, (vec_id % 7 = 0)::INT AS flag FROM embeddings), s AS (SELECT src AS id, avg(flag) AS share FROM knn JOIN fl ON id = dst GROUP BY src) SELECT fl.id, CASE WHEN flag = 0 AND share >= 0.15e0 THEN 2 ELSE flag END AS flag FROM fl LEFT JOIN s USING (id)",
+    f"WITH {KNN}, fl AS (SELECT vec_id AS id, (label = 3)::INT AS flag FROM embeddings), s AS (SELECT src AS id, avg(flag) AS share FROM knn JOIN fl ON id = dst GROUP BY src) SELECT fl.id, CASE WHEN flag = 0 AND share >= 0.15e0 THEN 2 ELSE flag END AS flag FROM fl LEFT JOIN s USING (id)",
 )
 def second_pass_doublets(spark, sf_dir):
-    flags = vectors(spark, sf_dir).select("id", (F.col("id") % 7 == 0).cast("int").alias("flag"))
+    flags = vectors(spark, sf_dir).select("id", (F.col("label") == 3).cast("int").alias("flag"))
     return doublets.second_pass(knn(spark, sf_dir), flags, 0.3)
 
 

@@ -54,14 +54,14 @@ def anti(spark, sf_dir):
 
 @query(
     "gene_align_zero_fill", "J07",
-    """WITH a AS (SELECT gene, row_number() OVER (ORDER BY size, gene) - 1 AS ord FROM genes WHERE category = 'Brand#7'), b AS (SELECT gene, sum(x) AS x FROM entries WHERE cell <= 20 GROUP BY gene)
+    """WITH a AS (SELECT gene, row_number() OVER (ORDER BY size, gene) - 1 AS ord FROM genes WHERE category = 'Brand#7'), b AS (SELECT gene, sum(x) AS x FROM entries JOIN cells USING (cell) WHERE sample = 3 GROUP BY gene)
     SELECT ord::BIGINT AS ord, gene, coalesce(x, 0e0) AS x FROM a LEFT JOIN b USING (gene)""",
     matrix=True,
 )
 def gene_align_zero_fill(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
     a = m.genes.filter("category = 'Brand#7'").select("gene", (F.row_number().over(Window.orderBy("size", "gene")) - 1).cast("long").alias("ord"))
-    b = m.entries.filter("cell <= 20").groupBy("gene").agg(F.sum("x").alias("x"))
+    b = m.entries.join(m.cells.filter("sample = 3").select("cell"), "cell", "left_semi").groupBy("gene").agg(F.sum("x").alias("x"))
     return a.join(b, "gene", "left").fillna(0.0, ["x"]).select("ord", "gene", "x")
 
 
@@ -112,7 +112,7 @@ def onlyif_filter(spark, sf_dir):
     return cells.filter(deck.expression("(acctbal / 2 > 1000 and not sample in [1, 2]) or (ds.ca.region == 3 & (cluster != 'BUILDING'))".replace("ds.ca.region == 3 &", "(ds.ca.region == 3) &"), cells.columns)).select("cell")
 
 
-POOL_SQL = """p AS (SELECT cell, region, dense_rank() OVER (PARTITION BY region ORDER BY cluster) - 1 AS k FROM cells WHERE region < 3), t AS (SELECT region, max(k) + 1 AS t FROM p GROUP BY region),
+POOL_SQL = """p AS (SELECT cell, region, dense_rank() OVER (PARTITION BY region ORDER BY cluster) - 1 AS k FROM cells), t AS (SELECT region, max(k) + 1 AS t FROM p GROUP BY region),
     o AS (SELECT region, coalesce(sum(t) OVER (ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM t)"""
 
 
@@ -121,7 +121,7 @@ def pool_offset_union(spark, sf_dir):
     c = order_matrix(spark, sf_dir).cells
     ids = c.select("region", "cluster").distinct().withColumn("clusters", (F.row_number().over(Window.partitionBy("region").orderBy("cluster")) - 1).cast("long"))
     named = c.join(F.broadcast(ids), ["region", "cluster"])
-    parts = [(f"R{k}", named.filter(F.col("region") == k).select("cell", "clusters")) for k in range(3)]
+    parts = [(f"R{k}", named.filter(F.col("region") == k).select("cell", "clusters")) for k in range(5)]
     return deck.pooled(parts).select("cell", "source", "source_clusters", "clusters")
 
 
@@ -139,10 +139,10 @@ def midpoints(spark, sf_dir):
     return b.select("category", "border", r6((F.col("border") + F.coalesce(F.lag("border").over(w), F.lit(0))) / 2.0, 2).alias("middle"))
 
 
-@query("winner_takes_all", "W04", "WITH s AS (SELECT gene, cluster, sum(x) AS s FROM entries JOIN cells USING (cell) WHERE gene <= 500 GROUP BY ALL) SELECT gene, cluster, least(s, 40e0) AS s FROM s QUALIFY row_number() OVER (PARTITION BY gene ORDER BY s DESC, cluster) = 1", matrix=True)
+@query("winner_takes_all", "W04", "WITH s AS (SELECT gene, cluster, sum(x) AS s FROM entries JOIN cells USING (cell) GROUP BY ALL) SELECT gene, cluster, least(s, 40e0) AS s FROM s QUALIFY row_number() OVER (PARTITION BY gene ORDER BY s DESC, cluster) = 1", matrix=True)
 def winner_takes_all(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
-    s = m.entries.filter("gene <= 500").join(m.cells.select("cell", "cluster"), "cell").groupBy("gene", "cluster").agg(F.sum("x").alias("s"))
+    s = m.entries.join(m.cells.select("cell", "cluster"), "cell").groupBy("gene", "cluster").agg(F.sum("x").alias("s"))
     best = s.groupBy("gene").agg(F.min(F.struct((-F.col("s")).alias("k"), "cluster")).alias("b"))
     return best.select("gene", F.col("b.cluster").alias("cluster"), F.least(-F.col("b.k"), F.lit(40.0)).alias("s"))
 
@@ -187,9 +187,9 @@ def split_names(spark, sf_dir):
     return spark.range(60).select(F.col("id").alias("i"), F.expr("repeat(char(65 + id % 26), cast(1 + id div 26 AS int))").alias("name"))
 
 
-@query("relabel_outliers", "C13 C12", "WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN -1 ELSE c_nationkey * 3 END AS label FROM customer) SELECT c_custkey, (label = -1)::INT AS outlier, CASE WHEN label = -1 THEN -1 ELSE dense_rank() OVER (ORDER BY CASE WHEN label = -1 THEN 1000000 ELSE label END) - 1 END::BIGINT AS label FROM l")
+@query("relabel_outliers", "C13 C12", "WITH l AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN -1 ELSE c_nationkey * 3 END AS label FROM customer) SELECT c_custkey, (label = -1)::INT AS outlier, CASE WHEN label = -1 THEN -1 ELSE dense_rank() OVER (ORDER BY CASE WHEN label = -1 THEN 1000000 ELSE label END) - 1 END::BIGINT AS label FROM l")
 def relabel_outliers(spark, sf_dir):
-    l = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 11 == 0, -1).otherwise(F.col("c_nationkey") * 3).alias("raw"))  # noqa: E741
+    l = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, -1).otherwise(F.col("c_nationkey") * 3).alias("raw"))  # noqa: E741
     ids = l.filter("raw >= 0").select("raw").distinct().withColumn("label", (F.row_number().over(Window.orderBy("raw")) - 1).cast("long"))
     return l.join(F.broadcast(ids), "raw", "left").select("c_custkey", (F.col("raw") == -1).cast("int").alias("outlier"), F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
 
