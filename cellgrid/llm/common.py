@@ -31,7 +31,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a kernel sees at once; a batch of Spark's is cut into pieces of this many.
+#: Rows that a kernel sees at once, and that an Arrow batch holds: both sides of the pipe keep buffers of its size.
 PIECE = 1_000
 
 
@@ -43,6 +43,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
             for start in range(0, batch.num_rows, PIECE):
                 yield kernel(batch.slice(start, PIECE))
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PIECE))
     return df.mapInArrow(run, schema)
 
 
