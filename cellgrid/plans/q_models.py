@@ -118,7 +118,7 @@ def doublet_query(spark, sf_dir):
 
 @query("tsne", "X01 X02")
 def tsne(spark, sf_dir):
-    return embed.embed(vectors(spark, sf_dir), early=50, late=100)
+    return embed.embed(vectors(spark, sf_dir))
 
 
 @query("variance_selection", "E05")

@@ -161,6 +161,34 @@ def test_tsne_keeps_groups_apart(blobs):
     assert min(np.linalg.norm(a - b) for a, b in itertools.combinations(centre, 2)) > 2 * spread
 
 
+def test_gridded_forces_equal_those_of_all_pairs(blobs):
+    y = np.random.default_rng(1).normal(size=(300, 2)) * 3
+    gap = y[:, None] - y[None]
+    q = 1 / (1 + (gap**2).sum(2))
+    np.fill_diagonal(q, 0)
+    total, push = embed.repulsion(y)
+    want = (gap * (q**2)[:, :, None]).sum(1)
+    assert total == pytest.approx(q.sum(), rel=1e-3) and np.abs(push - want).max() < 0.02 * np.abs(want).max()
+    y = y[: len(blobs)]
+    a, b = embed.Exact(blobs, 10).slope(y, 12), embed.Gridded(blobs, 74 / 3).slope(y, 12)
+    assert a.shape == b.shape and np.isfinite(b).all()
+    a = embed.Exact(blobs, 74 / 3).slope(y, 12)
+    assert np.abs(a - b).max() < 0.05 * np.abs(a).max()
+
+
+@pytest.mark.parametrize("most", [100_000, 100])
+def test_large_tables_are_embedded_by_tsne(spark, most, monkeypatch):
+    monkeypatch.setattr(embed, "SHARE", 1)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.column_stack([rng.normal(0, 1, (2000, 2)), rng.normal(c, 0.3, (2000, 3))]) for c in (0, 20, 40)])
+    got = embed.embed(points(spark, x), 10, 60, 120, most=most).toPandas().sort_values("id")
+    assert got["id"].tolist() == list(range(6000))
+    y = got[["x", "y"]].to_numpy()
+    assert not np.allclose(y, x[:, :2])
+    near, _ = embed.nearest(y, y, 5, itself=True)
+    assert (near // 2000 == np.repeat([0, 1, 2], 2000)[:, None]).mean() > 0.95
+
+
 def test_surprise_finds_cliques():
     edges = [(a + o, b + o) for o in (0, 6, 12) for a, b in itertools.combinations(range(6), 2)] + [(5, 6), (11, 12)]
     src, dst = np.array(edges).T
