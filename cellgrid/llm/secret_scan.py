@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Candidates are long runs of key-like characters, values assigned to names that speak of secrets,
-and private-key blocks. A random forest, trained on the labelled findings of ``secret_training``,
+with or without quotes, passwords in URLs, and private-key blocks. A random forest, trained on the labelled findings of ``secret_training``,
 scores each from its length, its character classes and the transitions between them, the share of
 it that dictionary words cover, its path, and the words around it. The forest's trees lie
 flattened in arrays, which numpy traverses for all candidates of a batch at once.
@@ -32,7 +32,12 @@ LEAST_ROWS = 3
 AROUND = 48
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
-ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|credential)[\"']?\s{0,4}[=:]\s{0,4}[\"']([^\"'\s]{8,})[\"']")
+ASSIGNED = re.compile(
+    r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|(?:access|private|secret|signing|auth)[_-]?key|credentials?|bearer)[\"']?\s{0,4}[=:]\s{0,4}"
+    # A bare value goes up to white space, a quote, the next parameter or tag; marks that end a sentence or a list are not its last.
+    r"(?:[\"']([^\"'\s]{8,})[\"']|((?:(?!&\w+=|</)[^\"'\s]){7,}(?!&\w+=|</)[^\"'\s.,;)\]}>]))"
+)
+URL = re.compile(r"://[^\s/:@\"'<>]{0,256}:([^\s/\"'<>]+)@")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----")
 PLAIN = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[+/_\-=]+")
 LETTERS = re.compile(r"[A-Za-z]{3,}")
@@ -56,7 +61,8 @@ FEATURES = (
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of every candidate, in order, none within another."""
     found = [m.span() for m in BLOCK.finditer(text)]
-    found += [m.span(1) for m in ASSIGNED.finditer(text)]
+    found += [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
+    found += [m.span(1) for m in URL.finditer(text)]
     for m in RUN.finditer(text):
         run = m.group()
         if PLAIN.fullmatch(run) is None or text[max(0, m.start() - AROUND) : m.start()].rstrip(" \"'").endswith(("=", ":")):

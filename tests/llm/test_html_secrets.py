@@ -69,3 +69,26 @@ def test_secrets_query(spark):
     assert got[1] == [(13, 53)] and len(got[7]) == 1
     assert not any(got[k] for k in (None, 2, 3, 4, 5, 6, 8))
     assert S.redact(rows[0][1], got[1]) == 'the token = "[SECRET]" is set'
+
+
+def test_secrets_without_quotes_are_found_in_text():
+    import numpy as np
+
+    lines = {
+        "DB_PASSWORD=hunter2Xk9q": "hunter2Xk9q", "password: S3cr3t!pass@word9, then": "S3cr3t!pass@word9", "pwd = aB3!kL9#mN2%qR": "aB3!kL9#mN2%qR", "secret=Abc123!Def456@Ghi7": "Abc123!Def456@Ghi7",
+        "postgres://app:Tr0ub4dor@db/x": "Tr0ub4dor", "https://h/?token=9f86d081884c7d659a2feaa0c55ad015&user=12": "9f86d081884c7d659a2feaa0c55ad015", "<p>password: hunter2Xk9q</p>": "hunter2Xk9q",
+    }
+    forest = S.trained()
+    for text, value in lines.items():
+        spans, rows = S.scan_text(text, "")
+        score = forest.score(np.array(rows, float))
+        assert [text[a:b] for (a, b), s in zip(spans, score, strict=True) if s >= S.LEAST_SCORE] == [value], text
+    for text in ("token: something of value", "password: required, at least", "password = request.getParameter(x)", "see https://example.com:8080/a@b"):
+        spans, rows = S.scan_text(text, "")
+        assert not spans or forest.score(np.array(rows, float)).max() < S.LEAST_SCORE, text
+    hit = total = 0
+    for before, value, after, _, label in labelled_findings(2000, 4321):
+        if label:
+            total += 1
+            hit += (len(before), len(before) + len(value)) in S.candidates(before + value + after)
+    assert hit / total > 0.97
