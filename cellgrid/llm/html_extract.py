@@ -35,13 +35,14 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute with its value; values are read as a whole, so that nothing inside them is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s/>"'=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select option button object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg annotation annotation-xml select option button object canvas audio video".split())
 #: Elements whose content the standard reads without markup, up to their end tag.
 UNPARSED = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
 BLOCK = frozenset(
@@ -68,8 +69,12 @@ class Block:
 def attributes(raw: str) -> tuple[frozenset[str], bool]:
     """Words of an element's class, id and role, and whether it is hidden."""
     words, hidden = set(), False
+    seen = set()
     for name, value in ATTRIBUTE.findall(raw):
         value, name = value.strip("\"'").lower(), name.lower()
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
         elif name in ("class", "id", "role"):

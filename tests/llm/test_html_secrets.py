@@ -92,3 +92,20 @@ def test_secrets_without_quotes_are_found_in_text():
             total += 1
             hit += (len(before), len(before) + len(value)) in S.candidates(before + value + after)
     assert hit / total > 0.97
+
+
+def test_hidden_is_an_attribute_of_its_own():
+    for raw in (' title="Hidden gems"', ' href="/the-hidden-cost"', " href=/the-hidden-cost", ' data-hidden="false"', ' aria-label="hidden"', ' alt="a hidden b" aria-hidden="false"', ' data-style="display:none"', ' title="style=display:none"'):
+        assert not H.attributes(raw)[1], raw
+    for raw in (" hidden", ' HIDDEN=""', ' class="x"hidden', " title='a' hidden/", ' style="color:red; display: none"', ' aria-hidden="true"'):
+        assert H.attributes(raw)[1], raw
+    assert H.attributes(' href="/?id=comments&class=ad" class="story body" id=Main')[0] == {"story", "body", "main"}
+    assert H.attributes(' class="a" class="b"')[0] == {"a"}
+
+
+def test_articles_that_speak_of_hidden_things_are_kept():
+    body = "<p>First paragraph of the article, with enough words to read it all.</p><p><a href='/the-hidden-cost'>The cost</a> of the second paragraph is told here, in some more words, with <math><mi>x</mi><mo>+</mo><mn>1</mn></math> in it.</p>"
+    want = "First paragraph of the article, with enough words to read it all. The cost of the second paragraph is told here, in some more words, with x+1 in it."
+    for attribute in ("", ' data-hidden="false"', ' title="The hidden valley"'):
+        assert H.main_text(f"<html><body><article{attribute}>{body}</article></body></html>", H.trained()) == want
+    assert H.main_text(f"<html><body><article hidden>{body}</article></body></html>", H.trained()) == ""
