@@ -7,9 +7,9 @@ Lines whose estimate is within ``MARGIN`` of the threshold (over six standard er
 sketch) get an exact distinct count, so the outcome is that of exact counts throughout.
 
 Boilerplate lines are then taken out of the texts. A document in which they make up more than
-half of the characters is no article with page furniture around it but a copy of another
-document: it is left whole for near-duplicate removal, which keeps one of the copies, where
-removing shared lines would have emptied them all.
+half of the characters is left whole: most are copies of another document, of which near-duplicate
+removal keeps one, where removing shared lines would have emptied them all. Some are not copies but
+short texts under long shared lines; these keep their boilerplate too.
 
 Lines are the pieces between ``\\n``, compared as they are. Lines without a word are kept. A
 null site counts for no line. Null and empty texts have no lines and stay as they are. Texts
