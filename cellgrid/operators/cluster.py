@@ -6,6 +6,8 @@ that were reduced to clusters, or one group of points, and run in numpy.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -127,10 +129,9 @@ def _order(*columns: str):
 
 
 def dbscan(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:
-    """Labels from 0, outliers -1."""
-    square = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2) if len(points) < 3000 else None
-    near = [np.flatnonzero((square[i] if square is not None else ((points - points[i]) ** 2).sum(1)) <= eps * eps) for i in range(len(points))]
-    core = np.array([len(x) >= min_points for x in near])
+    """Labels from 0, outliers -1. Neighbours are sought anew when needed, so that memory grows with the points only."""
+    near = lambda i: np.flatnonzero(((points - points[i]) ** 2).sum(1) <= eps * eps)
+    core = np.array([len(near(i)) >= min_points for i in range(len(points))], bool)
     label, count = np.full(len(points), -1), 0
     for i in np.flatnonzero(core):
         if label[i] >= 0:
@@ -138,7 +139,7 @@ def dbscan(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:
         todo = [int(i)]
         label[i] = count
         while todo:
-            for j in near[todo.pop()]:
+            for j in near(todo.pop()):
                 if label[j] < 0:
                     label[j] = count
                     if core[j]:
@@ -147,6 +148,11 @@ def dbscan(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:
     return label
 
 
+def neighbour_radius(points: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each point to its ``k``-th neighbour other than itself."""
+    return np.array([np.sqrt(np.partition(((points - x) ** 2).sum(1), k)[k]) for x in points])
+
+
 def mark_outliers(points: DataFrame, min_points: int = 10, percent: float = 80.0) -> DataFrame:
     """(id, label, outlier): density outliers of each cluster in a plane, eps the given percentile of the radius to ``min_points`` neighbours."""
 
@@ -154,19 +160,70 @@ def mark_outliers(points: DataFrame, min_points: int = 10, percent: float = 80.0
         xy = frame[["x", "y"]].to_numpy(float)
         if len(xy) <= min_points:
             return frame[["id", "label"]].assign(outlier=False)
-        d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(2))
-        eps = np.percentile(np.sort(d, axis=1)[:, min_points], percent)
+        eps = np.percentile(neighbour_radius(xy, min_points), percent)
         return frame[["id", "label"]].assign(outlier=dbscan(xy, eps, min_points) < 0)
 
     return points.select("id", "label", "x", "y").groupBy("label").applyInPandas(one, "id long, label long, outlier boolean")
 
 
-def polish(labels: DataFrame, edges: DataFrame, min_cells: int, least_agree: float = 0.2) -> DataFrame:
-    """Labels after: nodes that few neighbours agree with lose theirs; majority vote; tiny clusters dissolve; lost nodes take their neighbours' label; compact numbers."""
+def far_off(values: np.ndarray, most: float = 3.5) -> np.ndarray:
+    """Whether the modified z-score, by the median absolute deviation, is above ``most``."""
+    gap = np.abs(values - np.median(values))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 0.6745 * gap / np.median(gap) > most
+
+
+def broken(points: np.ndarray) -> np.ndarray:
+    """Parts of one cluster in a plane, from 0, outliers -1; all 0 if it has few outliers and is not dispersed."""
+    n = len(points)
+    centred = points - points.mean(0)
+    xy = centred @ np.linalg.svd(centred, full_matrices=False)[2].T
+    spread = xy.std(0)
+    xy = xy / np.where(spread > 0, spread, 1)
+    out = np.zeros(n, bool)
+    for _ in range(5):
+        for values in xy.T:
+            out[~out] = far_off(values[~out])
+    min_points = min(50, n - 1, max(5, round(0.1 * n)))
+    eps = np.percentile(neighbour_radius(xy, min_points), 70)
+    if out.sum() <= 3 and (np.sqrt((xy**2).sum(1)) < eps).sum() >= min_points * 0.5:
+        return np.zeros(n, int)
+    return dbscan(xy, eps, round(min_points * 0.5))
+
+
+def break_clusters(points: DataFrame, least: int = 10) -> DataFrame:
+    """(id, label) of points (id, label, x, y): dispersed clusters of ``least`` points or more are split by density, and their outliers lose their label; compact numbers."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        part = broken(frame[["x", "y"]].to_numpy(float)) if len(frame) >= least and frame["label"].iloc[0] >= 0 else np.zeros(len(frame), int)
+        return frame[["id", "label"]].assign(part=part)
+
+    parts = points.select("id", "label", "x", "y").groupBy("label").applyInPandas(one, "id long, label long, part long")
+    names = parts.filter("label >= 0 AND part >= 0").select("label", "part").distinct().withColumn("new", F.row_number().over(_order("label", "part")) - 1)
+    return parts.join(F.broadcast(names), ["label", "part"], "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
+
+
+def polish(labels: DataFrame, edges: DataFrame, min_cells: int, least_agree: float = 0.2, plane: DataFrame | None = None, folder: str = "") -> DataFrame:
+    """Labels after: with a ``plane`` (id, x, y), density outliers lose theirs; nodes that few neighbours agree with lose theirs; with a plane, dispersed clusters break; majority vote; tiny clusters dissolve; lost nodes take their neighbours' label; compact numbers."""
     from cellgrid.operators.graph import labelled, vote
 
+    def stage(df: DataFrame) -> DataFrame:
+        if not folder:
+            return df
+        path = f"{folder}/polish-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    labels, edges = stage(labels), stage(edges)
+    if plane is not None:
+        plane = stage(plane)
+        marked = mark_outliers(labels.filter("label >= 0").join(plane, "id"))
+        labels = stage(labels.join(marked.select("id", "outlier"), "id", "left").select("id", F.when(F.col("outlier"), -1).otherwise(F.col("label")).alias("label")))
     agree = labelled(edges, labels).groupBy(F.col("src").alias("id")).agg(F.avg((F.col("c1") == F.col("c2")).cast("int")).alias("agree"))
     now = labels.join(agree, "id", "left").select("id", F.when(F.coalesce("agree", F.lit(0.0)) >= least_agree, F.col("label")).otherwise(-1).alias("label"))
+    if plane is not None:
+        now = stage(now)
+        now = stage(now.filter("label < 0").unionByName(break_clusters(now.filter("label >= 0").join(plane, "id"))))
     voted = vote(edges, now.filter("label >= 0")).select(F.col("src").alias("id"), F.col("label").alias("voted"))
     now = now.join(voted, "id", "left").select("id", F.coalesce("voted", "label").alias("label"))
     sizes = now.groupBy("label").agg(F.count("*").alias("n"))

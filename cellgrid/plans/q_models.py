@@ -57,14 +57,15 @@ def balanced_knn(spark, sf_dir):
     return cluster.balanced_knn(spark, knn(spark, sf_dir), 4, 8).select("src", "dst", r6(F.col("d"), 5).alias("d"))
 
 
-@query("louvain", "C01 C02")
+@query("louvain", "C01 C02 C03")
 def louvain(spark, sf_dir):
+    v = vectors(spark, sf_dir)
     edges = knn(spark, sf_dir).withColumn("w", 1 / (1 + F.col("d")))
-    labels = cluster.communities(vectors(spark, sf_dir), edges, folder=folder(spark))
-    return cluster.polish(labels, edges.select("src", "dst"), 5)
+    labels = cluster.communities(v, edges, folder=folder(spark))
+    return cluster.polish(labels, edges.select("src", "dst"), 5, plane=embed.principal_plane(v), folder=folder(spark))
 
 
-@query("density_outliers", "C02 C03")
+@query("density_outliers", "C02")
 def density_outliers(spark, sf_dir):
     p = vectors(spark, sf_dir).select("id", "label", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
     return cluster.mark_outliers(p)
@@ -116,7 +117,7 @@ def doublet_query(spark, sf_dir):
     return scores.select("cell", r6(F.col("score"), 4).alias("score"), (F.col("score") >= flag).cast("int").alias("flag"))
 
 
-@query("tsne", "X01 X02")
+@query("tsne", "X01")
 def tsne(spark, sf_dir):
     return embed.embed(vectors(spark, sf_dir))
 

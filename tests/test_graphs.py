@@ -89,6 +89,27 @@ def test_communities_and_polish(spark, knn, blobs, tmp_path):
     assert set(clean.values()) == set(range(len(set(clean.values()))))
 
 
+def test_dispersed_clusters_break():
+    rng = np.random.default_rng(4)
+    one, two = rng.normal(0, 0.2, (60, 2)), rng.normal(8, 0.2, (60, 2))
+    assert set(cluster.broken(rng.uniform(-1, 1, (300, 2)))) == {0}
+    parts = cluster.broken(np.concatenate([one, two]))
+    assert {*parts[:60]} - {-1} != {*parts[60:]} - {-1} and len(set(parts) - {-1}) == 2
+    assert set(cluster.broken(np.zeros((20, 2)))) == {0}
+
+
+def test_polish_breaks_and_marks_on_the_plane(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.normal(0, 0.2, (60, 2)), rng.normal(8, 0.2, (60, 2))])
+    plane = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    edges = graph.exact_knn(points(spark, xy), points(spark, xy), 5, blocks=2).select("src", "dst")
+    labels = plane.select("id", F.lit(0).alias("label"))
+    assert {r.label for r in cluster.polish(labels, edges, 5).collect()} == {0}
+    got = {r.id: r.label for r in cluster.polish(labels, edges, 5, plane=plane, folder=str(tmp_path)).collect()}
+    assert len(got) == 120 and set(got.values()) - {-1} == {0, 1}
+    assert not {got[i] for i in range(60)} & {got[i] for i in range(60, 120)} - {-1}
+
+
 def test_complete_linkage():
     x = np.array([0.0, 1.0, 5.0, 6.5, 20.0])
     d = np.abs(x[:, None] - x[None])
