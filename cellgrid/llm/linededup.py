@@ -6,15 +6,16 @@ by aggregation, so a line that stands in a third of all documents costs one sket
 Lines whose estimate is within ``MARGIN`` of the threshold (over six standard errors of the
 sketch) get an exact distinct count, so the outcome is that of exact counts throughout.
 
-Boilerplate lines are then taken out of the texts. A document in which they make up more than
-half of the characters is left whole: most are copies of another document, of which near-duplicate
-removal keeps one, where removing shared lines would have emptied them all. Some are not copies but
-short texts under long shared lines; these keep their boilerplate too.
+Boilerplate lines are then taken out of the texts, wherever they stand. A text of nothing but
+boilerplate and lines without a word becomes what is left, mostly the empty text. Where a later
+step keeps one of several copies, ``spare_whole`` leaves such a text as it is, as else every copy
+of a document that stands on many sites would be emptied and none left to keep.
 
 Lines are the pieces between ``\\n``, compared as they are. Lines without a word are kept. A
 null site counts for no line. Null and empty texts have no lines and stay as they are. Texts
-are handled row by row, so repeated rows and null ids are harmless, and result columns that
-carry other names than the input's leave the input's columns alone.
+are handled row by row, so repeated rows and null ids are harmless. Results carry all input
+columns; the two counts are named ``_lines`` and ``_cut``, with as many underscores before that
+as it takes to differ from the input's columns (``count_names``). Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgrid.llm.common import staged, table
+from cellgrid.llm.common import arrow_map, fresh, staged, table
 
 MIN_SITES = 10
 #: Registers of a sketch as a power of two; the standard error is 1.04 / sqrt(2 ** LG_K) = 1.6 %.
 LG_K = 12
 MARGIN = 0.1
-#: Hashes of boilerplate lines are sent to all tasks up to this count (8 MB); beyond, they are joined.
+#: Hashes of boilerplate lines are sent to all tasks up to this count (about 100 MB in a Python worker); beyond, they are joined.
 SEND_UP_TO = 1_000_000
 NO_WORD = " \t\r\x0b\x0c"
 
@@ -64,62 +65,74 @@ def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, text_col: str
     return staged(sure.unionByName(exact), "boilerplate-lines")
 
 
-def _strip_sent(documents: DataFrame, hashes: np.ndarray, text_col: str) -> DataFrame:
-    """``text_col`` without the lines in ``hashes``, with ``line_count`` and ``lines_cut``, in one pass over the rows."""
-    known = documents.sparkSession.sparkContext.broadcast(frozenset(hashes.tolist()))
-    schema = T.StructType([*documents.schema.fields, T.StructField("_lines", T.LongType()), T.StructField("_cut", T.LongType())])
+def count_names(documents: DataFrame) -> tuple[str, str]:
+    """Names of the result's columns for the lines that a document had and that it lost."""
+    return fresh("_lines", documents.columns), fresh("_cut", documents.columns)
+
+
+def _strip_sent(documents: DataFrame, hashes: np.ndarray, text_col: str, spare_whole: bool) -> DataFrame:
+    """``text_col`` without the lines in ``hashes``, with both counts, in one pass over the rows."""
+    known = documents.sparkSession.sparkContext.broadcast(np.sort(hashes))
+    n_name, cut_name = count_names(documents)
+    schema = T.StructType([*documents.schema.fields, T.StructField(n_name, T.LongType()), T.StructField(cut_name, T.LongType())])
     names = list(documents.columns)
     place = names.index(text_col)
 
-    def run(batches):
-        cut = known.value
-        for batch in batches:
-            texts, n_lines, n_cut = [], [], []
-            for value in batch.column(place):
-                text = value.as_py()
-                lines = text.split("\n") if text else []
-                kept = [x for x in lines if not x.strip(NO_WORD) or xxhash.xxh64_intdigest(x.encode(), 42) not in cut]
-                less = sum(map(len, lines)) - sum(map(len, kept))
-                if len(kept) < len(lines) and 2 * less <= sum(map(len, lines)):
-                    texts.append("\n".join(kept))
-                    n_cut.append(len(lines) - len(kept))
-                else:
-                    texts.append(text)
-                    n_cut.append(0)
-                n_lines.append(len(lines))
-            columns = list(batch.columns)
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_cut, pa.int64())], names=[*names, "_lines", "_cut"])
-
-    return documents.mapInArrow(run, schema)
-
-
-def _strip_joined(documents: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cut = set_of(known)
+        texts, n_lines, n_cut = [], [], []
+        for value in batch.column(place):
+            text = value.as_py()
+            lines = text.split("\n") if text else []
+            kept = [x for x in lines if not x.strip(NO_WORD) or xxhash.xxh64_intdigest(x.encode(), 42) not in cut]
+            if len(kept) == len(lines) or spare_whole and not any(x.strip(NO_WORD) for x in kept):
+                texts.append(text)
+                n_cut.append(0)
+            else:
+                texts.append("\n".join(kept))
+                n_cut.append(len(lines) - len(kept))
+            n_lines.append(len(lines))
+        columns = list(batch.columns)
+        columns[place] = pa.array(texts, batch.schema.field(place).type)
+        return pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_cut, pa.int64())], names=[*names, n_name, cut_name])
+
+    return arrow_map(documents, kernel, schema)
+
+
+def _strip_joined(documents: DataFrame, lines: DataFrame, text_col: str, spare_whole: bool) -> DataFrame:
     """The same by joins, for any number of boilerplate lines: equal texts lose the same lines, so the key is the text's digest."""
-    keyed = documents.withColumn("_digest", F.md5(F.col(text_col)))
-    at = keyed.select("_digest", F.posexplode(split_lines(F.col(text_col))).alias("at", "x")).filter(has_word(F.col("x")))
-    found = at.select("_digest", "at", F.xxhash64("x").alias("line")).join(lines, "line", "left_semi")
-    cuts = found.groupBy("_digest").agg(F.collect_set("at").alias("_at"))
-    joined = keyed.join(cuts, "_digest", "left")
-    whole = F.when(F.length(text_col) > 0, split_lines(F.col(text_col))).otherwise(F.array().cast("array<string>"))
-    joined = joined.withColumn("_all", whole).withColumn("_kept", F.when(F.col("_at").isNull(), F.col("_all")).otherwise(F.expr("filter(_all, (x, i) -> NOT array_contains(_at, i))")))
-    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    less = chars("_all") - chars("_kept")
-    cut = F.when(2 * less <= chars("_all"), F.size("_all") - F.size("_kept")).otherwise(0).cast("long")
-    joined = joined.withColumn("_lines", F.size("_all").cast("long")).withColumn("_cut", cut)
-    text = F.when(F.col("_cut") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col)).alias(text_col)
-    return joined.select(*[text if c == text_col else F.col(c) for c in documents.columns], "_lines", "_cut")
-
-
-def strip_lines(documents: DataFrame, lines: DataFrame, text_col: str = "text", send_up_to: int = SEND_UP_TO) -> DataFrame:
-    """``documents`` without the boilerplate ``lines``, with ``_lines`` (lines it had) and ``_cut`` (lines it lost)."""
+    n_name, cut_name = count_names(documents)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
+    at = rows.select("digest", F.posexplode(split_lines(F.col("text"))).alias("at", "x")).filter(has_word(F.col("x")))
+    found = at.select("digest", "at", F.xxhash64("x").alias("line")).join(lines, "line", "left_semi")
+    joined = rows.join(found.groupBy("digest").agg(F.collect_set("at").alias("gone")), "digest", "left")
+    whole = F.when(F.length("text") > 0, split_lines(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    joined = joined.withColumn("all", whole).withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(F.expr("filter(all, (x, i) -> NOT array_contains(gone, i))")))
+    stays = F.col("gone").isNull()
+    if spare_whole:
+        stays = stays | ~F.exists("kept", has_word)
+    joined = joined.withColumn("cut", F.when(stays, 0).otherwise(F.size("all") - F.size("kept")).cast("long"))
+    text = F.when(F.col("cut") > 0, F.array_join("kept", "\n")).otherwise(F.col("text")).alias(text_col)
+    columns = [text if c == text_col else F.col("row")[c].alias(c) for c in documents.columns]
+    return joined.select(*columns, F.size("all").cast("long").alias(n_name), F.col("cut").alias(cut_name))
+
+
+def set_of(known, built: dict = {}) -> frozenset[int]:  # noqa: B006
+    """The broadcast hashes as a set, built once in each worker and only for the latest broadcast."""
+    if known.value is not built.get("from"):
+        built.update({"from": known.value, "set": frozenset(known.value.tolist())})
+    return built["set"]
+
+
+def strip_lines(documents: DataFrame, lines: DataFrame, text_col: str = "text", send_up_to: int = SEND_UP_TO, spare_whole: bool = False) -> DataFrame:
+    """``documents`` without the boilerplate ``lines``, with the lines each had and lost (``count_names``)."""
     if lines.count() <= send_up_to:
-        return _strip_sent(documents, lines.toPandas()["line"].to_numpy(dtype=np.int64).view(np.uint64), text_col)
-    return _strip_joined(documents, lines, text_col)
+        return _strip_sent(documents, lines.toPandas()["line"].to_numpy(dtype=np.int64).view(np.uint64), text_col, spare_whole)
+    return _strip_joined(documents, lines, text_col, spare_whole)
 
 
-def dedup_lines(documents: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", send_up_to: int = SEND_UP_TO) -> DataFrame:
-    return strip_lines(documents, boilerplate(documents, min_sites, text_col, site_col), text_col, send_up_to)
+def dedup_lines(documents: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", send_up_to: int = SEND_UP_TO, spare_whole: bool = False) -> DataFrame:
+    return strip_lines(documents, boilerplate(documents, min_sites, text_col, site_col), text_col, send_up_to, spare_whole)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +151,10 @@ marked AS (
   FROM pieces p LEFT JOIN spread s ON p.line = s.line),
 summed AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (shared) AS n_shared,
-         2 * coalesce(sum(length(line)) FILTER (shared), 0) <= sum(length(line)) AS furniture,
          string_agg(line, chr(10) ORDER BY pos) FILTER (NOT shared) AS rest
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
-       CASE WHEN furniture THEN n_shared ELSE 0 END::BIGINT AS n_removed,
-       CASE WHEN furniture AND n_shared > 0 THEN coalesce(rest, '') ELSE d.text END AS text
+       coalesce(n_shared, 0)::BIGINT AS n_removed,
+       CASE WHEN n_shared > 0 THEN coalesce(rest, '') ELSE d.text END AS text
 FROM documents d LEFT JOIN summed USING (doc_id)
 """

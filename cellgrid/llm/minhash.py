@@ -316,7 +316,7 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     empty = keyed.filter("node IS NULL").select("_row")
     stay = keyed.filter("node IS NOT NULL").join(dropped.distinct(), (F.col("_row")[id_col].eqNullSafe(F.col("doc_id"))) & (keyed["node"] == dropped["node"]), "left_anti")
     comps = found.filter("node IS NOT NULL").select(F.col("node").alias("_node"), "comp").distinct()
-    stay = stay.join(comps, F.col("node") == F.col("_node")).groupBy("comp").agg(F.first("_row").alias("_row"))
+    stay = stay.join(comps, F.col("node") == F.col("_node")).groupBy("comp").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     kept = empty.unionByName(stay.select("_row")).select(*[F.col("_row")[c].alias(c) for c in documents.columns])
     return documents.join(unclear, same_id, "left_anti").unionByName(kept)
 

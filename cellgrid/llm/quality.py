@@ -114,13 +114,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Boosted:
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out()).select("doc_id", "quality").dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([features(text)[1] for text in utf8_rows(batch.column(1))])
-        return pa.record_batch([batch.column(0), *[pa.array(found[:, k]) for k in range(len(FEATURES))]], names=["quality", *FEATURES])
+        found = np.array([features(text)[1] for text in utf8_rows(batch.column(2))])
+        return pa.record_batch([*batch.columns[:2], *[pa.array(found[:, k]) for k in range(len(FEATURES))]], names=["doc_id", "quality", *FEATURES])
 
-    sample = arrow_map(rows, kernel, "quality int, " + ", ".join(f"{name} double" for name in FEATURES)).limit(bound).toPandas()
+    described = arrow_map(rows, kernel, f"doc_id {kind}, quality int, " + ", ".join(f"{name} double" for name in FEATURES))
+    # Of rows that repeat an id the least counts, so the sample is the same in every run and holds at most ``bound`` rows.
+    sample = described.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("row")).select("row.*").toPandas()
     sample = sample.sort_values(list(sample.columns)).to_numpy(dtype=float)  # rows arrive in any order
     return train(sample[:, 1:], sample[:, 0])
 

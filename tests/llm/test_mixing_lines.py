@@ -68,7 +68,7 @@ def test_keys_follow_the_id():
     assert hashlib.md5(b"mix-1:7").hexdigest() < "g"
 
 
-def brute_lines(docs, least):
+def brute_lines(docs, least, spare_whole=False):
     spread = defaultdict(set)
     for _, text, source in docs:
         for line in (text or "").split("\n"):
@@ -78,7 +78,7 @@ def brute_lines(docs, least):
     for i, text, _ in docs:
         lines = text.split("\n") if text else []
         kept = [x for x in lines if len(spread.get(x, ())) < least]
-        if 2 * (sum(map(len, lines)) - sum(map(len, kept))) <= sum(map(len, lines)) and len(kept) < len(lines):
+        if len(kept) < len(lines) and not (spare_whole and not any(x.strip(" \t\r\x0b\x0c") for x in kept)):
             out.append((repr(i), len(lines), len(lines) - len(kept), "\n".join(kept)))
         else:
             out.append((repr(i), len(lines), 0, repr(text)))
@@ -94,10 +94,14 @@ def test_lines_equal_brute_force_on_both_ways(spark):
         docs.append((k, head + body + ("Common head" if k % 6 == 0 else "") + tail + "\r\n \n", f"site{k % 10}" if k % 17 else None))
     docs += [(500 + k, "Shared by all copies\nand this line too", f"site{k % 12}") for k in range(24)]
     docs += [(None, None, "site1"), (None, "", "site2"), (7, docs[7][1], docs[7][2]), (900, "Common head", "site3"), (901, "z" * 200_000 + "\nCommon head", None)]
-    f = spark.createDataFrame([(i, t, s, 1) for i, t, s in docs], "doc_id long, text string, source string, _cut2 int")
-    for least in (9, 10):
-        want = brute_lines(docs, least)
+    f = spark.createDataFrame([(i, t, s, 1, 2, "x") for i, t, s in docs], "doc_id long, text string, source string, _cut int, _lines int, line string")
+    assert linededup.count_names(f) == ("__lines", "__cut")
+    for least, spare in ((9, False), (10, False), (10, True)):
+        want = brute_lines(docs, least, spare)
         for bound in (1_000_000, -1):
-            got = linededup.dedup_lines(f, least, send_up_to=bound).collect()
-            assert sorted((repr(r.doc_id), r._lines, r._cut, r.text if r._cut else repr(r.text)) for r in got) == want
+            out = linededup.dedup_lines(f, least, send_up_to=bound, spare_whole=spare)
+            assert out.columns == [*f.columns, "__lines", "__cut"]
+            got = out.collect()
+            assert sorted((repr(r.doc_id), r["__lines"], r["__cut"], r.text if r["__cut"] else repr(r.text)) for r in got) == want
+            assert all((r._cut, r._lines, r.line) == (1, 2, "x") for r in got)
     assert linededup.dedup_lines(f.limit(0)).count() == 0
