@@ -35,17 +35,49 @@ DECLARED = "application/octet-stream"
 
 
 class Marks:
-    """Places of closing marks in a value, each kind looked for once, so that many false starts cost no scan each."""
+    """What validators share about one value, so that many false starts cost no scan or walk each.
+
+    Closing marks are looked for once a kind. ``walk`` remembers where every step of a structure's
+    chain ends up, so a later start inside a walked chain, valid or refused, takes that result.
+    """
 
     def __init__(self, data: bytes):
         self.data = data
         self.found: dict[bytes, list[int]] = {}
+        self.ends: dict[tuple, int | None] = {}
+        self.archives: dict[int, int] | None = None
+        self.steps: dict[str, Callable] = {}
+
+    def walk(self, step: Callable[[bytes, int], tuple[int | None, bool]], place: int) -> int | None:
+        """Follow ``step`` (next place or None, and whether it is the end) from ``place`` to the end of its chain."""
+        path: list[tuple] = []
+        end: int | None = None
+        while True:
+            if (key := (step, place)) in self.ends:
+                end = self.ends[key]
+                break
+            path.append(key)
+            after, last = step(self.data, place)
+            if after is None or last:
+                end = after
+                break
+            place = after
+        for key in path:
+            self.ends[key] = end
+        return end
 
-    def next(self, mark: bytes, at: int) -> int:
-        """The first place of ``mark`` from ``at`` on, or -1."""
+    def own(self, name: str, step: Callable) -> Callable:
+        """The first step function given under this name: one that uses these marks is made anew at each start."""
+        return self.steps.setdefault(name, step)
+
+    def places(self, mark: bytes) -> list[int]:
         if mark not in self.found:
             self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
-        places = self.found[mark]
+        return self.found[mark]
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, or -1."""
+        places = self.places(mark)
         k = bisect_left(places, at)
         return places[k] if k < len(places) else -1
 
@@ -88,58 +120,68 @@ def riff_end(form: bytes, needed: tuple[bytes, ...]) -> Validator:
     return validate
 
 
+def _gif_data(data: bytes, place: int) -> tuple[int | None, bool]:
+    """A data sub-block; the empty one ends the chain."""
+    if place >= len(data):
+        return None, True
+    return place + 1 + data[place], not data[place]
+
+
 def gif_end(data: bytes, at: int, marks: Marks) -> int | None:
     """Screen descriptor, blocks of known kinds, trailer."""
-    if at + 13 > len(data):
-        return None
-    packed = data[at + 10]
-    place = at + 13 + (3 << ((packed & 7) + 1) if packed & 0x80 else 0)
 
-    def skip(place: int) -> int | None:
-        while place < len(data) and data[place]:
-            place += 1 + data[place]
-        return place + 1 if place < len(data) else None
-
-    while place is not None and place < len(data):
-        kind = data[place]
+    def block(data: bytes, place: int) -> tuple[int | None, bool]:
+        kind = data[place] if place < len(data) else None
         if kind == 0x3B:
-            return place + 1
+            return place + 1, True
         if kind == 0x21:
-            place = skip(place + 2)
-        elif kind == 0x2C and place + 11 <= len(data):
+            return marks.walk(_gif_data, place + 2), False
+        if kind == 0x2C and place + 11 <= len(data):
             flags = data[place + 9]
-            place = skip(place + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0))
-        else:
-            return None
-    return None
+            return marks.walk(_gif_data, place + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)), False
+        return None, True
+
+    if at + 13 > len(data):
+        return None
+    packed = data[at + 10]
+    return marks.walk(marks.own("gif", block), at + 13 + (3 << ((packed & 7) + 1) if packed & 0x80 else 0))
+
+
+def _jpeg_segment(data: bytes, place: int) -> tuple[int | None, bool]:
+    """A segment by its length, a scan with the entropy-coded data after it; the end marker ends the chain."""
+    if place + 4 > len(data) or data[place] != 0xFF:
+        return None, True
+    marker = data[place + 1]
+    if marker == 0x01 or 0xD0 <= marker < 0xD8:
+        return place + 2, False
+    length = int.from_bytes(data[place + 2 : place + 4], "big")
+    if length < 2 or marker < 0xC0:
+        return None, True
+    place += 2 + length
+    while marker == 0xDA:
+        place = data.find(b"\xff", place)
+        if place < 0 or place + 1 >= len(data):
+            return None, True
+        after = data[place + 1]
+        if after == 0xD9:
+            return place + 2, True
+        if after and not 0xD0 <= after <= 0xD7:
+            break
+        place += 2
+    return place, False
+
+
+def _jpeg_before_scan(data: bytes, place: int) -> tuple[int | None, bool]:
+    """The same up to a frame header, which must come before any scan; the chain ends at that header."""
+    if place + 2 <= len(data) and data[place + 1] in (0xC0, 0xC1, 0xC2, 0xC3, 0xDA):
+        return (place if data[place] == 0xFF and data[place + 1] != 0xDA else None), True
+    return _jpeg_segment(data, place)
 
 
 def jpeg_end(data: bytes, at: int, marks: Marks) -> int | None:
-    """Segments by their lengths up to a scan, then entropy-coded data to the end marker."""
-    place, frame = at + 2, False
-    while place + 4 <= len(data) and data[place] == 0xFF:
-        marker = data[place + 1]
-        if marker in (0x01, *range(0xD0, 0xD8)):
-            place += 2
-            continue
-        length = int.from_bytes(data[place + 2 : place + 4], "big")
-        if length < 2 or marker < 0xC0:
-            return None
-        frame |= marker in (0xC0, 0xC1, 0xC2, 0xC3)
-        place += 2 + length
-        if marker == 0xDA:
-            if not frame:
-                return None
-            while (place := data.find(b"\xff", place)) >= 0 and place + 1 < len(data):
-                after = data[place + 1]
-                if after == 0xD9:
-                    return place + 2
-                if after and not 0xD0 <= after <= 0xD7:
-                    break
-                place += 2
-            if place < 0:
-                return None
-    return None
+    """Segments by their lengths up to a frame header and scans, then entropy-coded data to the end marker."""
+    frame = marks.walk(_jpeg_before_scan, at + 2)
+    return marks.walk(_jpeg_segment, frame) if frame is not None else None
 
 
 def bmp_end(data: bytes, at: int, marks: Marks) -> int | None:
@@ -157,29 +199,38 @@ def bmp_end(data: bytes, at: int, marks: Marks) -> int | None:
 
 
 def pdf_end(data: bytes, at: int, marks: Marks) -> int | None:
-    """A version line, a cross-reference pointer into the file and the end mark after it, with no other file's header between."""
+    """A version line, and the last end mark before the next file's header that has a cross-reference pointer into the file before it.
+
+    The last, as linearized and updated files have several.
+    """
     if not re.match(rb"%PDF-\d\.\d[\r\n]", data[at : at + 9]):
         return None
-    place = marks.next(b"startxref", at)
-    end = marks.next(b"%%EOF", place) if place >= 0 else -1
-    if end < 0 or end - place > 64 or 0 <= marks.next(b"%PDF-", at + 1) < place:
-        return None
-    pointer = data[place + 9 : end].strip()
-    if not pointer.isdigit() or int(pointer) > place - at:
-        return None
-    return end + 5
+    ends, starts, after = marks.places(b"%%EOF"), marks.places(b"startxref"), marks.next(b"%PDF-", at + 1)
+    for k in range(bisect_left(ends, after if after >= 0 else len(data)) - 1, -1, -1):
+        end = ends[k]
+        if end < at:
+            break
+        near = bisect_left(starts, end) - 1
+        if near < 0 or starts[near] < at or end - starts[near] > 64:
+            continue
+        pointer = data[starts[near] + 9 : end].strip()
+        if pointer.isdigit() and int(pointer) <= starts[near] - at:
+            return end + 5
+    return None
 
 
 def zip_end(data: bytes, at: int, marks: Marks) -> int | None:
-    """Local entries up to a central directory whose end record counts and places them."""
-    end = marks.next(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return None
-    entries, length, offset, comment = struct.unpack_from("<HIIH", data, end + 10)
-    start = end - length
-    if start < at or start - at != offset or entries and data[start : start + 4] != b"PK\x01\x02" or end + 22 + comment > len(data):
-        return None
-    return end + 22 + comment
+    """Local entries up to a central directory whose end record counts them and places it at this start."""
+    if marks.archives is None:
+        marks.archives = {}
+        for end in marks.places(b"PK\x05\x06"):
+            if end + 22 > len(data):
+                continue
+            entries, length, offset, comment = struct.unpack_from("<HIIH", data, end + 10)
+            directory = end - length
+            if directory >= offset and end + 22 + comment <= len(data) and (not entries or data[directory : directory + 4] == b"PK\x01\x02"):
+                marks.archives.setdefault(directory - offset, end + 22 + comment)
+    return marks.archives.get(at)
 
 
 def gzip_end(data: bytes, at: int, marks: Marks) -> int | None:
@@ -212,21 +263,56 @@ def flac_end(data: bytes, at: int, marks: Marks) -> int | None:
     return None
 
 
+def _ogg_page(data: bytes, place: int) -> tuple[int | None, bool]:
+    """A page by its segment table; one that is marked last ends the chain."""
+    if data[place : place + 4] != b"OggS" or place + 27 > len(data) or data[place + 4]:
+        return None, True
+    table_end = place + 27 + data[place + 26]
+    end = table_end + sum(data[place + 27 : table_end])
+    return (end, bool(data[place + 5] & 4)) if end <= len(data) else (None, True)
+
+
 def ogg_end(data: bytes, at: int, marks: Marks) -> int | None:
     """Pages one after another by their segment tables, from one that is marked first to one that is marked last."""
-    if data[at + 5 : at + 6] not in (b"\x02", b"\x06"):
+    return marks.walk(_ogg_page, at) if data[at + 5 : at + 6] in (b"\x02", b"\x06") else None
+
+
+def isobmff_end(data: bytes, at: int, marks: Marks) -> int | None:
+    """Boxes by their lengths from the file type on, of the kinds that stand at a file's top, with a movie or a picture's description among them.
+
+    The extent ends before the first thing that is no such box.
+    """
+    place, found = at, False
+    while place + 8 <= len(data):
+        length, kind = int.from_bytes(data[place : place + 4], "big"), data[place + 4 : place + 8]
+        if kind not in BOXES or (kind == b"ftyp") != (place == at):
+            break
+        if length == 1 and place + 16 <= len(data):
+            length = int.from_bytes(data[place + 8 : place + 16], "big")
+        if length < 8 or place + length > len(data):
+            break
+        found |= kind in (b"moov", b"meta")
+        place += length
+    return place if found else None
+
+
+def _varint(data: bytes, place: int) -> tuple[int, int] | None:
+    """Value and end of a length whose first byte tells how many bytes it has; None if it is cut or says "unknown"."""
+    if place >= len(data) or not data[place]:
         return None
-    place = at
-    while data[place : place + 4] == b"OggS" and place + 27 <= len(data):
-        segments = data[place + 26]
-        table_end = place + 27 + segments
-        end = table_end + sum(data[place + 27 : table_end])
-        if data[place + 4] or end > len(data):
-            return None
-        if data[place + 5] & 4:
-            return end
-        place = end
-    return None
+    size = 9 - data[place].bit_length()
+    value = int.from_bytes(data[place : place + size], "big") & ((1 << 7 * size) - 1)
+    return (value, place + size) if place + size <= len(data) and value != (1 << 7 * size) - 1 else None
+
+
+def ebml_end(data: bytes, at: int, marks: Marks) -> int | None:
+    """A header that names its document type, and the segment after it by its length."""
+    head = _varint(data, at + 4)
+    if head is None or head[0] > 4096 or b"\x42\x82" not in data[head[1] : head[1] + head[0]]:
+        return None
+    segment = head[1] + head[0]
+    size = _varint(data, segment + 4) if data[segment : segment + 4] == b"\x18\x53\x80\x67" else None
+    return size[1] + size[0] if size and size[1] + size[0] <= len(data) else None
 
 
 #: The published magic bytes of each format, its type and its validator.
@@ -244,14 +330,19 @@ FORMATS: tuple[tuple[bytes, str, Validator], ...] = (
     (b"%PDF-", "application/pdf", pdf_end),
     (b"PK\x03\x04", "application/zip", zip_end),
     (b"\x1f\x8b\x08", "application/gzip", gzip_end),
+    (b"\x1a\x45\xdf\xa3", "video/x-matroska", ebml_end),
+    (b"ftyp", "video/mp4", isobmff_end),
 )
+#: Bytes of a structure before its magic bytes, and the boxes at the top of an ISO media file.
+BEFORE = {b"ftyp": 4}
+BOXES = frozenset((b"ftyp", b"moov", b"mdat", b"free", b"skip", b"meta", b"moof", b"mfra", b"sidx", b"styp", b"uuid", b"wide", b"pdin", b"prft", b"emsg"))
 
 
 def automaton() -> ahocorasick.Automaton:
     """Magic bytes, as the text of the same code points, to their place in ``FORMATS``."""
     found = ahocorasick.Automaton()
     for magic in {f[0] for f in FORMATS}:
-        found.add_word(magic.decode("latin-1"), (len(magic), [k for k, f in enumerate(FORMATS) if f[0] == magic]))
+        found.add_word(magic.decode("latin-1"), (len(magic) + BEFORE.get(magic, 0), [k for k, f in enumerate(FORMATS) if f[0] == magic]))
     found.make_automaton()
     return found
 
@@ -264,7 +355,7 @@ def extents(data: bytes) -> list[tuple[int, int, str]]:
     found, end, marks = [], 0, Marks(data)
     for last, (length, formats) in MAGIC.iter(data.decode("latin-1")):
         start = last - length + 1
-        if 0 < start < end:
+        if start < 0 or 0 < start < end:
             continue
         for k in formats:
             stop = FORMATS[k][2](data, start, marks)

@@ -1,6 +1,7 @@
 import gzip
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -70,3 +71,42 @@ def test_query_on_edge_rows(spark):
     stored = media.store_texts(frame)
     assert {r.type for r in media.sniff_media(stored).collect()} == {"audio/wav"}
     assert media.carve(stored).count() == 0
+
+
+def timed(work):
+    began = time.time()
+    work()
+    return time.time() - began
+
+
+def test_many_false_starts_take_linear_time():
+    page = b"OggS\0\x02" + b"\0" * 20 + b"\1\1x"
+    chain = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x21\xfe\x02ab\0"
+    for piece in (page, chain, b"\xff\xd8\xff\xe0\0\x02", b"\xff\xd8\xff\xc0\0\x02\xff\xda\0\x02", b"%PDF-1.4\nstartxref\n9\n", b"PK\x03\x04PK\x05\x06" + b"\0" * 18, b"RIFF\x04\0\0\0WAVE", b"\0\0\0\x08ftyp"):
+        data = piece * (1_000_000 // len(piece))
+        assert timed(lambda: media.extents(data)) < 5, piece  # noqa: B023
+
+
+def test_updated_documents_and_stored_archives_are_whole():
+    updated = PDF + b"\n2 0 obj\nstartxref\n40\n%%EOF"
+    inner, out = archive(), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("inner.zip", inner)
+    data = b"--" + updated + b"--" + out.getvalue() + b"--" + PDF
+    assert [(o, n) for o, n, _ in media.sniff(data)["embedded"]] == [(2, len(updated)), (4 + len(updated), len(out.getvalue())), (6 + len(updated) + len(out.getvalue()), len(PDF))]
+
+
+def test_boxes_and_matroska():
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    mp4 = box(b"ftyp", b"isom\0\0\0\0") + box(b"moov", b"m" * 30) + box(b"mdat", b"d" * 50)
+    mkv = b"\x1a\x45\xdf\xa3\x84\x42\x82\x81w" + b"\x18\x53\x80\x67\x85hello"
+    found = media.sniff(b"xx" + mp4 + b"junk" + mkv + b"--" + box(b"ftyp", b"isom") + b"ftyp")["embedded"]
+    assert found == [(2, len(mp4), "video/mp4"), (6 + len(mp4), len(mkv), "video/x-matroska")]
+    assert media.sniff(mp4[:-1])["length"] == len(mp4) - 58
+
+
+def test_jpeg_needs_a_frame_before_its_scan():
+    segment = lambda m, n: b"\xff" + bytes([m]) + struct.pack(">H", n + 2) + b"\1" * n
+    good = b"\xff\xd8" + segment(0xE0, 14) + segment(0xC0, 9) + segment(0xDA, 6) + b"ab\xff\0cd\xff\xd0ef" + segment(0xDA, 6) + b"gh\xff\xd9"
+    assert media.sniff(b"--" + good + b"tail")["embedded"] == [(2, len(good), "image/jpeg")]
+    assert media.sniff(good.replace(b"\xff\xc0", b"\xff\xe1"))["type"] == media.DECLARED
