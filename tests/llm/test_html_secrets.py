@@ -109,3 +109,58 @@ def test_articles_that_speak_of_hidden_things_are_kept():
     for attribute in ("", ' data-hidden="false"', ' title="The hidden valley"'):
         assert H.main_text(f"<html><body><article{attribute}>{body}</article></body></html>", H.trained()) == want
     assert H.main_text(f"<html><body><article hidden>{body}</article></body></html>", H.trained()) == ""
+
+
+def test_pages_of_any_shape_take_linear_time():
+    import time
+
+    shapes = ["<div>x", '<a "x', "<a ", "<a b='x", "<a b=\"x", "<b>x</i>", "<div class=k{}>", "</b>", "<p><b>", "<!--", "<script>", "&#1", "<", "<ul><li>x", "<a =", "<td>x<table>", "<a href='x'>y"]
+    field = H.trained()
+    for shape in shapes:
+        page = "".join(shape.replace("{}", str(k)) for k in range(1_000_000 // len(shape)))
+        for tail in ("", ">", "'\"> end"):
+            began = time.time()
+            H.main_text(page + tail, field)
+            assert time.time() - began < 12, shape
+
+
+def test_broken_markup():
+    texts = lambda page: [b.text for b in H.leaf_blocks(page)]
+    assert texts('<p title="open>one</p><p>two</p>') == ["one", "two"]
+    assert texts('<p title="a>b">one</p>') == ["one"]
+    assert texts("<p>1 < 2 &amp; 3 > 2</p>") == ["1 < 2 & 3 > 2"]
+    assert texts("<p>a<b") == ["a<b"]
+    assert texts("<p>&#" + "0" * 5000 + "65;&#" + "9" * 5000 + ";&#x1F600;</p>") == ["A�\U0001f600"]
+    assert texts("<div><a>in</div>out</a> after") == ["in", "out after"]
+    assert texts("<p>x<!-- never closed <p>y") == ["x"]
+    assert texts("<title>t</title ><p>z") == ["z"]
+
+
+def test_blocks_equal_a_plain_parser():
+    """Texts by the standard library's parser on well-formed pages, cut at block elements."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in H.RAW
+            self.out += [""] * (tag in H.BLOCK)
+            if tag == "br" and not self.skip:
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in H.RAW
+            self.out += [""] * (tag in H.BLOCK)
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out[-1] += data
+
+    for page, _ in labelled_pages(60, 77):
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert [b.text for b in H.leaf_blocks(page)] == [t for x in plain.out if (t := " ".join(x.split()))]
