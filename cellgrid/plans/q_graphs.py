@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from cellgrid.model import r6
 from cellgrid.operators import graph as g
 from cellgrid.operators import stats
 from cellgrid.plans.registry import query
-from cellgrid.sources.tables import order_matrix, table
+from cellgrid.sources.tables import order_matrix, table, work_folder
 
 K = 8
 KNN = f"""pr AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS d
@@ -21,9 +19,7 @@ KNN = f"""pr AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_tra
     mx AS (SELECT max(d) AS md FROM knn), lb AS (SELECT vec_id AS id, label FROM embeddings)"""
 
 
-def folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="cellgrid-")
+folder = work_folder
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +31,7 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.exact_knn(v, v, K)
 
 
-@query("knn_exact", "J11 J12 C05", f"WITH {KNN} SELECT src, dst, round(d, 5) AS d, rank::BIGINT AS rank FROM knn")
+@query("knn_exact", "J11 C05", f"WITH {KNN} SELECT src, dst, round(d, 5) AS d, rank::BIGINT AS rank FROM knn")
 def knn_exact(spark, sf_dir):
     return knn(spark, sf_dir).select("src", "dst", r6(F.col("d"), 5).alias("d"), F.col("rank").cast("long").alias("rank"))
 
