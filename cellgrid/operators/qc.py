@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cellgrid.model import CellMatrix, div0, scalar
 
+HASH_RANGE = 2147483647
+
 
 def cell_totals(entries: DataFrame) -> DataFrame:
     """Total count and number of expressed genes of each cell that has any entry."""
@@ -127,8 +129,33 @@ def top(df: DataFrame, by: str, n: int, key: str = "gene") -> DataFrame:
 
 
 def hashed(key: Column, seed: int) -> Column:
-    """A fixed pseudo-random order that any SQL engine can follow."""
-    return F.pmod(key * 48271 + seed, F.lit(2147483647))
+    """A fixed pseudo-random whole number below 2^31 - 1 that any SQL engine can follow; seeds give unlike orders."""
+    h = F.pmod(F.pmod(key, F.lit(HASH_RANGE)) * 1103515245 + seed * 40503, F.lit(HASH_RANGE))
+    for add in (seed * 69621 + 1, 11):
+        h = F.pmod(h.bitwiseXOR(F.shiftright(h, 15)) * 48271 + add, F.lit(HASH_RANGE))
+    return h
+
+
+def hash_sql(key: str, seed: int) -> str:
+    """The same in SQL."""
+    h = f"((({key}) % {HASH_RANGE}) * 1103515245 + {seed * 40503}) % {HASH_RANGE}"
+    for add in (seed * 69621 + 1, 11):
+        h = f"(xor({h}, ({h}) >> 15) * 48271 + {add}) % {HASH_RANGE}"
+    return f"({h})"
+
+
+def numbered(df: DataFrame, key: Column, tie: str, name: str, slice_rows: int = 100_000) -> DataFrame:
+    """Adds ``name``: the place, from 1, of each row in the order of ``key`` (below 2^31 - 1, evenly spread) and ``tie``.
+
+    The key's range is cut into slices of about ``slice_rows`` rows: rows are counted inside their
+    slice, and slices along their order, so no task holds the table.
+    """
+    slices = max(1, -(-df.count() // slice_rows))
+    cut = df.withColumn("_key", key).withColumn("_slice", F.floor(F.col("_key") * slices / F.lit(HASH_RANGE)).cast("long"))
+    sizes = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = sizes.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_slice").orderBy("_key", tie))
+    return cut.withColumn("_own", own).join(F.broadcast(before), "_slice").withColumn(name, F.col("_before") + F.col("_own")).drop("_key", "_slice", "_before", "_own")
 
 
 def cap_select(df: DataFrame, label: str, key: str, n: int, seed: int = 1) -> DataFrame:
@@ -137,7 +164,23 @@ def cap_select(df: DataFrame, label: str, key: str, n: int, seed: int = 1) -> Da
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def thinned(entries: DataFrame) -> DataFrame:
-    """Expected counts after binomial thinning to the smallest total: x * min / total."""
+def unit_key(cell: Column, gene: Column, unit: Column) -> Column:
+    """A whole number for each counted molecule, from which its draw is hashed."""
+    return F.pmod(hashed(cell, 11) * 65537 + hashed(gene, 12) * 257 + unit * 7919, F.lit(HASH_RANGE))
+
+
+def unit_key_sql(cell: str, gene: str, unit: str) -> str:
+    return f"({hash_sql(cell, 11)} * 65537 + {hash_sql(gene, 12)} * 257 + {unit} * 7919) % {HASH_RANGE}"
+
+
+def thinned(entries: DataFrame, seed: int = 13) -> DataFrame:
+    """Binomial thinning of counts to the smallest total: each counted molecule stays with chance min / total, drawn by its hash.
+
+    Draws are made inside the row, molecule by molecule; entries that lose all are dropped.
+    """
     totals = cell_totals(entries).select("cell", "total")
-    return scalar(entries.join(totals, "cell"), totals.agg(F.min("total").alias("least"))).withColumn("x", F.col("x") * F.col("least") / F.col("total")).drop("total", "least")
+    met = scalar(entries.join(totals, "cell"), totals.agg(F.floor(F.min("total")).alias("least")))
+    most = F.col("least") / F.col("total") * HASH_RANGE
+    drawn = F.filter(F.sequence(F.lit(1), F.greatest(F.col("x"), F.lit(1)).cast("long")), lambda u: hashed(unit_key(F.col("cell"), F.col("gene"), u), seed) < most)
+    left = F.when(F.col("x") >= 1, F.size(drawn)).otherwise(0).cast("double")
+    return met.withColumn("x", left).filter("x > 0").drop("total", "least")

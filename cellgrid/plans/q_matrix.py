@@ -191,23 +191,25 @@ def species_by_sentinel(spark, sf_dir):
     return met.agg(F.coalesce(F.min_by("species", "rank"), F.lit("unknown")).alias("species"))
 
 
-@query("cap_select", "F14 F15", "SELECT cell, cluster FROM cells QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY (cell * 48271 + 1) % 2147483647, cell) <= 20", matrix=True)
+@query("cap_select", "F14 F15", "SELECT cell, cluster FROM cells QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY " + qc.hash_sql("cell", 1) + ", cell) <= 20", matrix=True)
 def cap_select(spark, sf_dir):
     return qc.cap_select(order_matrix(spark, sf_dir).cells, "cluster", "cell", 20).select("cell", "cluster")
 
 
-@query("random_valid_genes", "F16", "SELECT gene FROM genes WHERE gene IN (SELECT gene FROM entries GROUP BY gene HAVING count(*) > 10) ORDER BY (gene * 48271 + 5) % 2147483647, gene LIMIT 100", matrix=True)
+@query("random_valid_genes", "F16", "SELECT gene FROM genes WHERE gene IN (SELECT gene FROM entries GROUP BY gene HAVING count(*) > 10) ORDER BY " + qc.hash_sql("gene", 5) + ", gene LIMIT 100", matrix=True)
 def random_valid_genes(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
     return qc.valid_genes(m, 10, 1e9).filter("valid").select("gene").orderBy(qc.hashed(F.col("gene"), 5), "gene").limit(100)
 
 
 @query(
-    "thinned_totals", "F17",
-    "WITH t AS (SELECT cell, sum(x) AS total FROM entries GROUP BY cell) SELECT gene, round(sum(x * (SELECT min(total) FROM t) / total), 4) AS x FROM entries JOIN t USING (cell) GROUP BY gene", matrix=True,
+    "thinned_counts", "F17",
+    f"""WITH t AS (SELECT cell, sum(x) AS total FROM entries GROUP BY cell), lo AS (SELECT floor(min(total)) AS least FROM t),
+    u AS (SELECT cell, gene, least / total * {qc.HASH_RANGE} AS most, unnest(range(1, x::BIGINT + 1)) AS u FROM entries JOIN t USING (cell), lo)
+    SELECT cell, gene, count(*)::DOUBLE AS x FROM u WHERE {qc.hash_sql(qc.unit_key_sql('cell', 'gene', 'u'), 13)} < most GROUP BY ALL""", matrix=True,
 )
-def thinned_totals(spark, sf_dir):
-    return qc.thinned(order_matrix(spark, sf_dir).entries).groupBy("gene").agg(r6(F.sum("x"), 4).alias("x"))
+def thinned_counts(spark, sf_dir):
+    return qc.thinned(order_matrix(spark, sf_dir).entries).select("cell", "gene", "x")
 
 
 @query("div0", "F19", "SELECT gene, CASE WHEN sum(unspliced) = 0 THEN 0 ELSE round(sum(ad) / sum(unspliced), 6) END AS ratio FROM entries GROUP BY gene", matrix=True)

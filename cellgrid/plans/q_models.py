@@ -179,7 +179,7 @@ def lda_topics(spark, sf_dir):
 
 @query(
     "pull_to_levels", "X03",
-    "SELECT vec_id, round(x + (mx - x) * f, 6) AS x, round(y + (my - y) * f, 6) AS y FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 0.1e0 + 0.8e0 * ((vec_id * 48271 + 2) % 2147483647) / 2147483647e0 AS f, avg(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS mx, avg(embedding[2]::DOUBLE) OVER (PARTITION BY label) AS my FROM embeddings)",
+    "SELECT vec_id, round(x + (mx - x) * f, 6) AS x, round(y + (my - y) * f, 6) AS y FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 0.1e0 + 0.8e0 * " + qc.hash_sql("vec_id", 2) + " / 2147483647e0 AS f, avg(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS mx, avg(embedding[2]::DOUBLE) OVER (PARTITION BY label) AS my FROM embeddings)",
 )
 def pull_to_levels(spark, sf_dir):
     v = vectors(spark, sf_dir).select("id", "label", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
