@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,31 @@ def top_by(df: DataFrame, group: str, by: Column, n: int, tie: str) -> DataFrame
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+#: Aggregators by name, as builders of a column from a value's name and the name of an order.
+AGGREGATORS = {
+    "sum": lambda v, _: F.sum(v),
+    "mean": lambda v, _: F.avg(v),
+    "count": lambda v, _: F.count(v),
+    "count_nonzero": lambda v, _: F.count_if(F.col(v) != 0),
+    "median": lambda v, _: F.median(v),
+    "std": lambda v, _: F.stddev_pop(v),
+    "min": lambda v, _: F.min(v),
+    "max": lambda v, _: F.max(v),
+    "first": lambda v, by: F.min_by(v, by),
+    "mode": lambda v, _: F.mode(v, True),
+}
+
+
+def aggregated(df: DataFrame, group: str, spec: dict[str, str | Callable], order: str) -> DataFrame:
+    """One column for each entry of ``spec``: value name to an aggregator's name, or to a function that builds the column (of any aggregate, a grouped pandas UDF too)."""
+    columns = []
+    for value, how in spec.items():
+        if not callable(how) and how not in AGGREGATORS:
+            raise ValueError(f"no aggregator {how!r}; there are {', '.join(sorted(AGGREGATORS))}")
+        columns.append((how(value) if callable(how) else AGGREGATORS[how](value, order)).alias(value))
+    return df.groupBy(group).agg(*columns)
+
+
 def mode(df: DataFrame, group: str, value: str) -> DataFrame:
     """Most common value of each group, the least one of several."""
     counted = df.groupBy(group, value).agg(F.count("*").alias("n"))

@@ -38,6 +38,17 @@ def greedy_unique(scores: DataFrame, cluster: str, gene: str, score: str, n: int
     return scores.sparkSession.createDataFrame(out, f"{cluster} {kinds[cluster]}, {gene} {kinds[gene]}, rank int")
 
 
+def gene_order(scores: DataFrame, markers: DataFrame) -> DataFrame:
+    """(gene, marker, ord) of an aggregate's genes: markers first, then by the cluster in which a gene scores highest (the least of several), then by gene.
+
+    The order runs over the genes of one aggregate, one row each.
+    """
+    top = F.row_number().over(Window.partitionBy("gene").orderBy(F.round("enrichment", 9).desc(), "cluster"))
+    best = scores.withColumn("_k", top).filter("_k = 1").select("gene", F.col("cluster").alias("top"))
+    found = best.join(markers.select("gene", F.lit(True).alias("marker")).distinct(), "gene", "left").withColumn("marker", F.coalesce("marker", F.lit(False)))
+    return found.withColumn("ord", (F.row_number().over(Window.orderBy(F.col("marker").desc(), "top", "gene")) - 1).cast("long"))
+
+
 def marker_sets(trinaries: DataFrame, pep: float = 0.05, n_genes: int = 6, blocked: tuple = ()) -> DataFrame:
     """Gene combinations that single out each cluster.
 

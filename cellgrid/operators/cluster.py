@@ -13,10 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edges up to which a community search runs in one place.
-MOST_EDGES = 5_000_000
-
-
 def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0) -> np.ndarray:
     """Communities of an undirected weighted graph by local moves and aggregation, until modularity stops growing."""
     member = np.arange(n)
@@ -362,6 +358,115 @@ def merge_rounds(scores: dict[int, int], centre: dict[int, tuple[float, float]],
     return {c: compact[t] for c, t in to.items()}
 
 
+def reassigned(labels: DataFrame, points: DataFrame, min_cells: int) -> DataFrame:
+    """(id, label): clusters of fewer than ``min_cells`` dissolve, the others get compact numbers in order, and each freed point takes the label of the nearest labelled one in (id, v)."""
+    from cellgrid.operators.graph import exact_knn
+
+    sizes = labels.filter("label >= 0").groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= min_cells)
+    names = sizes.withColumn("new", F.row_number().over(_order("label")) - 1).select("label", "new")
+    now = labels.join(F.broadcast(names), "label", "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
+    fixed, free = now.filter("label >= 0"), now.filter("label < 0")
+    near = exact_knn(points.join(fixed, "id", "left_semi"), points.join(free, "id", "left_semi"), 1)
+    taken = near.join(fixed.select(F.col("id").alias("dst"), F.col("label").alias("taken")), "dst").select(F.col("src").alias("id"), "taken")
+    return now.join(taken, "id", "left").select("id", F.coalesce("taken", "label").alias("label"))
+
+
+def unpolished(points: DataFrame, edges: DataFrame, min_cells: int = 10, folder: str = "", **options) -> DataFrame:
+    """Communities without the clean-up: tiny ones dissolve, and their points go with their nearest neighbours."""
+    from cellgrid.sources.tables import staged
+
+    return reassigned(staged(communities(points.select("id"), edges, folder=folder, **options), "communities"), points, min_cells)
+
+
+#: Least cells of a part, and the thresholds of coverage that each way of splitting takes by itself.
+LEAST_PART, THRESHOLDS = 25, {"coverage": 0.98, "paris": 0.999}
+
+
+def separable(edges: DataFrame, parts: DataFrame, threshold: float, least: int = LEAST_PART) -> tuple[bool, float, int]:
+    """Whether a partition (id, label) may be made, its coverage of the graph, and its smallest part."""
+    from cellgrid.operators.graph import coverage
+
+    smallest = parts.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    share = coverage(edges, parts).first()[0] or 0.0
+    return bool(smallest >= least and share >= threshold), float(share), int(smallest)
+
+
+def split(labels: DataFrame, edges: DataFrame, method: str, tree: tuple[list, np.ndarray] | None = None, threshold: float | None = None) -> DataFrame | None:
+    """(id, label) of a clustering's parts by ``method``, None if it is not to be split.
+
+    ``cluster`` makes each cluster a part. ``dendrogram`` cuts the clusters' tree (names, linkage) in
+    two; ``coverage`` does so if the two parts are large and separate enough. ``paris`` takes the
+    finest cut of the induced graph's hierarchy that keeps enough edges inside.
+    """
+    from cellgrid.operators.graph import coverage, induced
+
+    threshold = THRESHOLDS.get(method) if threshold is None else threshold
+    names = sorted(r[0] for r in labels.filter("label >= 0").select("label").distinct().collect())
+    if len(names) < 2:
+        return None
+
+    def parted(of: dict) -> DataFrame:
+        table = labels.sparkSession.createDataFrame([(int(k), int(v)) for k, v in of.items()], "label long, part long")
+        return labels.filter("label >= 0").join(F.broadcast(table), "label").select("id", F.col("part").alias("label"))
+
+    if method == "cluster":
+        return parted({c: c for c in names})
+    if method in ("dendrogram", "coverage"):
+        if tree is None:
+            raise ValueError(f"{method} needs the clusters' tree")
+        found = parted(dict(zip(tree[0], cut_tree(tree[1], 2), strict=True)))
+        return found if method == "dendrogram" or separable(edges, found, threshold)[0] else None
+    if method != "paris":
+        raise ValueError(f"no method {method!r}")
+    place = {c: k for k, c in enumerate(names)}
+    pairs = induced(edges.withColumn("_one", F.lit(1.0)), labels.filter("label >= 0"), "_one").collect()  # pairs of clusters
+    src, dst, w = (np.array(x) for x in zip(*[(place[r["a"]], place[r["b"]], r["w"]) for r in pairs], strict=True))
+    hierarchy = paris(len(names), src, dst, w)
+    for groups in range(min(10, len(names)), 1, -1):
+        found = parted(dict(zip(names, cut_tree(hierarchy, groups), strict=True)))
+        if (coverage(edges, found).first()[0] or 0.0) > threshold:
+            return found
+    return None
+
+
+def merge_scores(m, label: str, most_q: float = 1e-5, least_enrichment: float = 5.0) -> dict:
+    """Genes of each cluster that are enriched and whose q-value is low."""
+    from cellgrid.operators.stats import enrichment_test
+
+    found = enrichment_test(m, label)
+    hit = (F.round("q", 9) < most_q) & (F.col("e") > least_enrichment)
+    return {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.count_if(hit).alias("n")).collect()}
+
+
+def next_merge(m, label: str, places: DataFrame, threshold: int = 1, **limits) -> tuple | None:
+    """(weak, into, score): the cluster with the fewest enriched genes and its nearest by median place (cluster, x, y); None if all have enough."""
+    scores = merge_scores(m, label, **limits)
+    if len(scores) < 2 or min(scores.values()) >= threshold:
+        return None
+    weak = min(scores, key=lambda c: (scores[c], c))
+    centre = {r["cluster"]: (r["x"], r["y"]) for r in places.groupBy("cluster").agg(F.median("x").alias("x"), F.median("y").alias("y")).collect()}
+    x, y = centre[weak]
+    return weak, min((c for c in scores if c != weak), key=lambda c: ((centre[c][0] - x) ** 2 + (centre[c][1] - y) ** 2, c)), int(scores[weak])
+
+
+def merged(m, labels: DataFrame, plane: DataFrame, threshold: int = 1, **limits) -> DataFrame:
+    """(id, label) after merging weak clusters, round by round, into their nearest in a plane (id, x, y); compact numbers. Each round tests all clusters anew."""
+    from cellgrid.model import CellMatrix
+
+    now, to = labels.filter("label >= 0"), {}
+    while True:
+        table = labels.sparkSession.createDataFrame([(int(k), int(v)) for k, v in to.items()], "label long, new long")
+        own = now.join(F.broadcast(table), "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+        cells = m.cells.drop("clusters").join(own.select(F.col("id").alias("cell"), F.col("label").alias("clusters")), "cell")
+        found = next_merge(CellMatrix(cells, m.genes, m.entries), "clusters", own.join(plane, "id").withColumnRenamed("label", "cluster"), threshold, **limits)
+        if found is None:
+            break
+        weak, near, _ = found
+        to = {k: near if v == weak else v for k, v in to.items()} | {weak: near}
+    ids = own.select("label").distinct().withColumn("new", F.row_number().over(_order("label")) - 1)
+    return own.join(F.broadcast(ids), "label").select("id", F.col("new").cast("long").alias("label"))
+
+
 def balance(candidates: np.ndarray, distances: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Balanced neighbours: nodes in order of falling in-degree (ties: higher number first) take up to ``k`` candidates that have fewer than ``most`` takers; the rest are the node itself."""
     n, sight = candidates.shape

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from cellgrid.operators.stats import digamma, lgamma
 
-#: Selected genes are few (hundreds to thousands): a genes x genes matrix fits the driver.
-MOST_GENES = 10_000
+#: Genes up to which the genes x genes matrix is summed (128 MB on the driver); beyond, its leading subspace is iterated.
+GRAM_GENES = 4_000
+#: Extra directions of the iteration, its end by the change of variances, and its most rounds.
+EXTRA, SETTLED, MOST_ROUNDS = 20, 1e-7, 60
 
 
 @dataclass
@@ -27,40 +29,130 @@ class Components:
     variance: np.ndarray
 
 
-def pca(values: DataFrame, n_cells: int, k: int, value: str = "v") -> Components:
-    """Exact components of a sparse matrix (cell, gene, value), zeros included.
+def summed_rows(parts: DataFrame, width: int) -> np.ndarray:
+    """The sum of partial matrices given as (i, row) rows, added up row by row on the executors."""
 
-    The Gram matrix is summed on the executors: one partial genes x genes matrix per batch of
-    whole cells; the driver only solves the eigenproblem of the selected genes.
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [frame["i"].iloc[0]], "row": [np.sum(np.stack(frame["row"].to_list()), axis=0)]})
+
+    found = parts.groupBy("i").applyInPandas(add, "i long, row array<double>").toPandas().sort_values("i")
+    return np.stack(found["row"].to_list()) if len(found) else np.zeros((0, width))
+
+
+def signed(loadings: np.ndarray) -> np.ndarray:
+    """A fixed sign: the largest loading of each component is positive."""
+    if not loadings.size:
+        return loadings
+    return loadings * np.where(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])] < 0, -1, 1)
+
+
+def solved(genes: list, n_cells: int, k: int, batches, rows: DataFrame, gram_genes: int) -> Components:
+    """Components from ``batches(frame)``, dense matrices (cells x genes) of whole cells made from batches of ``rows``.
+
+    Up to ``gram_genes`` the Gram matrix is summed. Beyond, a subspace is multiplied by it again and
+    again, cells staying where they are, until its variances settle; the driver then holds genes by
+    components.
     """
-    genes = [r[0] for r in values.select("gene").distinct().orderBy("gene").limit(MOST_GENES + 1).collect()]
-    if len(genes) > MOST_GENES:
-        raise ValueError(f"select at most {MOST_GENES} genes first")
-    place = {g: i for i, g in enumerate(genes)}
     size = len(genes)
-    rows = values.groupBy("cell").agg(F.collect_list("gene").alias("g"), F.collect_list(value).alias("v"))
 
-    def gram(frames):
-        total, first = np.zeros((size, size)), np.zeros(size)
-        for frame in frames:
-            dense = np.zeros((len(frame), size))
-            for i, (g, v) in enumerate(zip(frame["g"], frame["v"], strict=True)):
+    def multiplied(by: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The Gram matrix, or its product with ``by``, and the column sums."""
+        width = size if by is None else by.shape[1]
+
+        def run(frames):
+            total, first = np.zeros((size, width)), np.zeros(size)
+            for frame in frames:
+                for dense in batches(frame):
+                    total += dense.T @ (dense if by is None else dense @ by)
+                    first += dense.sum(0)
+            yield pd.DataFrame({"i": np.arange(size), "row": list(np.column_stack([total, first]))})
+
+        out = summed_rows(rows.mapInPandas(run, "i long, row array<double>"), width + 1)
+        return out[:, :-1], out[:, -1]
+
+    if not size:
+        return Components(genes, np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    if size <= gram_genes:
+        total, sums = multiplied(None)
+        mean = sums / n_cells
+        variance, loadings = np.linalg.eigh(total / n_cells - np.outer(mean, mean))
+        order = np.argsort(variance)[::-1][:k]
+        return Components(genes, mean, signed(loadings[:, order]), variance[order])
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(size, min(size, k + EXTRA))))[0]
+    before = None
+    for _ in range(MOST_ROUNDS):
+        total, sums = multiplied(basis)
+        mean = sums / n_cells
+        image = total / n_cells - np.outer(mean, mean @ basis)
+        variance, turn = np.linalg.eigh(basis.T @ image)
+        order = np.argsort(variance)[::-1][:k]
+        variance, loadings = variance[order], basis @ turn[:, order]
+        if before is not None and np.abs(variance - before).max() <= SETTLED * max(variance[0], 1e-300):
+            break
+        before, basis = variance, np.linalg.qr(image)[0]
+    return Components(genes, mean, signed(loadings), variance)
+
+
+def listed_genes(values: DataFrame) -> list:
+    return [r[0] for r in values.select("gene").distinct().orderBy("gene").collect()]
+
+
+def pca(values: DataFrame, n_cells: int, k: int, value: str = "v", gram_genes: int = GRAM_GENES) -> Components:
+    """Components of a sparse matrix (cell, gene, value), zeros included, of any number of genes."""
+    genes = listed_genes(values)
+    place = {g: i for i, g in enumerate(genes)}
+    size, step = len(genes), max(1, 4_000_000 // max(len(genes), 1))
+    rows = values.groupBy("cell").agg(F.collect_list("gene").alias("g"), F.collect_list(value).alias("v")).select("g", "v")
+
+    def batches(frame: pd.DataFrame):
+        for at in range(0, len(frame), step):
+            part = frame.iloc[at : at + step]
+            dense = np.zeros((len(part), size))
+            for i, (g, v) in enumerate(zip(part["g"], part["v"], strict=True)):
                 dense[i, [place[x] for x in g]] = v
-            total += dense.T @ dense
-            first += dense.sum(0)
-        yield pd.DataFrame({"i": np.arange(size), "row": list(total), "s": first})
-
-    parts = rows.select("g", "v").mapInPandas(gram, "i long, row array<double>, s double")
-    summed = parts.select("i", "s", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("s").alias("s")).toPandas()
-    total = np.zeros((size, size))
-    total[summed["i"], summed["j"]] = summed["x"]
-    mean = summed[summed["j"] == 0].sort_values("i")["s"].to_numpy() / n_cells
-    variance, loadings = np.linalg.eigh(total / n_cells - np.outer(mean, mean))
-    order = np.argsort(variance)[::-1][:k]
-    loadings = loadings[:, order]
-    # A fixed sign: the largest loading of each component is positive.
-    loadings *= np.sign(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])])
-    return Components(genes, mean, loadings, variance[order])
+            yield dense
+
+    return solved(genes, n_cells, k, batches, rows, gram_genes)
+
+
+def residual_pca(entries: DataFrame, totals: DataFrame, k: int, theta: float = 100.0, gram_genes: int = GRAM_GENES) -> tuple[Components, DataFrame]:
+    """Components of Pearson residuals, clipped at the root of the number of cells, and (cell, pca) of all cells.
+
+    ``entries`` (cell, gene, x) of the selected genes, ``totals`` (cell, total) over all genes of
+    every cell. Residuals of zeros are not zero, so batches of whole cells are made dense, one
+    after another, and never stored.
+    """
+    by_gene = entries.groupBy("gene").agg(F.sum("x").alias("s")).orderBy("gene").collect()
+    genes, share = [r["gene"] for r in by_gene], np.array([r["s"] for r in by_gene], float)
+    n_cells, grand = totals.agg(F.count("*"), F.sum("total")).first()
+    share, limit, place = share / max(float(grand or 0), 1e-300), math.sqrt(max(n_cells, 1)), {g: i for i, g in enumerate(genes)}
+    size, step = len(genes), max(1, 4_000_000 // max(len(genes), 1))
+    packed = entries.groupBy("cell").agg(F.collect_list("gene").alias("g"), F.collect_list(F.col("x").cast("double")).alias("v"))
+    rows = totals.select("cell", F.col("total").cast("double").alias("total")).join(packed, "cell", "left")
+
+    def batches(frame: pd.DataFrame):
+        for at in range(0, len(frame), step):
+            part = frame.iloc[at : at + step]
+            dense = np.zeros((len(part), size))
+            for i, (g, v) in enumerate(zip(part["g"], part["v"], strict=True)):
+                if g is not None:
+                    dense[i, [place[x] for x in g]] = v
+            mean = part["total"].to_numpy(float)[:, None] * share[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r = np.where(mean > 0, (dense - mean) / np.sqrt(mean + mean**2 / theta), 0.0)
+            yield np.clip(r, -limit, limit)
+
+    found = solved(genes, n_cells, min(k, size), batches, rows.select("total", "g", "v"), gram_genes)
+
+    def coordinates(frames):
+        for frame in frames:
+            at = 0
+            for dense in batches(frame):
+                own = frame["cell"].iloc[at : at + len(dense)]
+                yield pd.DataFrame({"cell": own.to_numpy(), "pca": list((dense - found.mean) @ found.loadings)})
+                at += len(dense)
+
+    return found, rows.mapInPandas(coordinates, "cell long, pca array<double>")
 
 
 def project(values: DataFrame, cells: DataFrame, parts: Components, value: str = "v") -> DataFrame:
@@ -162,17 +254,49 @@ def hpf(entries: DataFrame, k: int, folder: str, max_iter: int = 200, min_iter:
     return PoissonFactors(theta, items, likelihood)
 
 
+def explained(found: PoissonFactors, k: int) -> list[int]:
+    """Components by the share of all expected counts that they explain, the largest first."""
+    sums = lambda t: np.array(t.agg(*[F.sum(F.col("shape")[j] / F.col("rate")[j]) for j in range(k)]).first(), float)
+    return [int(j) for j in np.argsort(-(sums(found.theta) * sums(found.beta)), kind="stable")]
+
+
+def ordered(found: PoissonFactors, k: int) -> PoissonFactors:
+    """The same factors with their components in the order of ``explained``."""
+    order = explained(found, k)
+    turned = lambda t: t.select(*[F.array(*[F.col(c)[j] for j in order]).alias(c) if c in ("shape", "rate") else F.col(c) for c in t.columns])
+    return PoissonFactors(turned(found.theta), turned(found.beta), found.likelihood)
+
+
 def expected(t: DataFrame) -> Column:
     return F.zip_with(t["shape"], t["rate"], lambda s, r: s / r)
 
 
+def component_correlations(factors: DataFrame, k: int, vector: str = "v") -> np.ndarray:
+    """Correlations between the components of a table of factor vectors, from sums that the executors make."""
+
+    def sums(frames):
+        total, first, n = np.zeros((k, k)), np.zeros(k), 0
+        for frame in frames:
+            if len(frame):
+                x = np.array(frame[vector].tolist(), float)
+                total, first, n = total + x.T @ x, first + x.sum(0), n + len(x)
+        yield pd.DataFrame({"i": np.arange(k), "row": list(np.column_stack([total, first, np.full(k, float(n))]))})
+
+    found = summed_rows(factors.select(vector).mapInPandas(sums, "i long, row array<double>"), k + 2)
+    n, mean = found[0, -1], found[:, -2] / max(found[0, -1], 1)
+    cov = found[:, :k] / max(n, 1) - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(cov / np.outer(sd, sd))
+
+
 def redundant(beta: np.ndarray, theta: np.ndarray, most_r: float) -> list[int]:
-    """Components to drop: in each group linked by a correlation above ``most_r`` in both factors, all but the first."""
+    """Components to drop: in each group linked by a correlation above ``most_r`` in both factors' correlation matrices, all but the first."""
 
-    def later(x: np.ndarray) -> set[int]:
-        k = x.shape[1]
+    def later(correlation: np.ndarray) -> set[int]:
+        k = len(correlation)
         root = list(range(k))
-        near = np.corrcoef(x.T) > most_r
+        near = correlation > most_r
         for i in range(k):
             for j in range(i):
                 if near[i, j]:

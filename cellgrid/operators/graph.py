@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,12 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, blocks: int | None
     # Blocks are repeated, not pairs of points: each block of queries is sent once to each block of points.
     met = left.withColumn("bp", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "bp").select("q", "p")
 
+    return _closest(met, k)
+
+
+def _closest(met: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query from rows (q, p) of a block of queries and a block of points."""
+
     def nearest(frames):
         for frame in frames:
             out = []
@@ -52,6 +59,69 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, blocks: int | None
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Points that a cell of the approximate search is meant to hold, its most cells, and how many cells a query looks into.
+CELL_POINTS, MOST_CELLS, PROBES = 256, 4096, 16
+
+
+def cell_centres(points: DataFrame, n: int, cells: int, rounds: int = 4) -> np.ndarray:
+    """Centres of a sample of at most 32 points a cell, chosen by hash, after a few rounds of means."""
+    some = points.orderBy(F.xxhash64("id"), "id").limit(min(n, 32 * cells)).select("v").toPandas()
+    sample = np.array(some["v"].tolist(), float)
+    centres = sample[:cells].copy()
+    for _ in range(rounds):
+        own = nearest_centres(sample, centres, 1)[:, 0]
+        for c in np.unique(own):
+            centres[c] = sample[own == c].mean(0)
+    return centres
+
+
+def nearest_centres(values: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    out = np.empty((len(values), k), np.int64)
+    step = max(1, 4_000_000 // len(centres))
+    for at in range(0, len(values), step):
+        part = values[at : at + step]
+        square = (centres**2).sum(1)[None, :] - 2 * part @ centres.T
+        out[at : at + step] = np.argsort(square, axis=1, kind="stable")[:, :k]
+    return out
+
+
+def approximate_knn(points: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int = PROBES) -> DataFrame:
+    """(src, dst, d, rank): k near points of each query, found in the ``probes`` cells whose centres are nearest to it.
+
+    Points are dealt to the nearest of a bounded number of centres. A cell that holds many points
+    is dealt on into blocks, so a dense spot is no large task. With as many probes as cells the
+    search is exact; its cost grows with the points times the points of the probed cells.
+    """
+    n = points.count()
+    cells = cells or int(min(MOST_CELLS, max(1, n // CELL_POINTS)))
+    probes = min(probes, cells)
+    centres = points.sparkSession.sparkContext.broadcast(cell_centres(points, n, cells))  # at most MOST_CELLS vectors
+
+    def assigned(df: DataFrame, count: int) -> DataFrame:
+        def run(frames):
+            for frame in frames:
+                if len(frame):
+                    found = nearest_centres(np.array(frame["v"].tolist(), float), centres.value, count)
+                    yield frame.assign(cells=list(found))
+
+        return df.select("id", F.col("v").cast("array<double>").alias("v")).mapInPandas(run, "id long, v array<double>, cells array<long>")
+
+    placed = assigned(points, 1).select("id", "v", F.col("cells")[0].alias("cell"))
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # one row a cell
+    right = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")))
+    right = right.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("p"))
+    asked = assigned(queries, probes).select("id", "v", F.explode("cells").alias("cell"))
+    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    left = asked.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts")))
+    left = left.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("q"))
+    return _closest(left.join(right, "cell").select("q", "p"), k)
+
+
+def near_neighbours(points: DataFrame, k: int, exact_up_to: int = 20_000) -> DataFrame:
+    """The k nearest points of each point: by the exact search on tables that it suits, else by the approximate one."""
+    return exact_knn(points, points, k) if points.count() <= exact_up_to else approximate_knn(points, points, k)
+
+
 def mutual(edges: DataFrame, value: str = "d") -> DataFrame:
     """Edges that exist both ways, with the lesser value."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(value).alias("back"))
@@ -90,6 +160,16 @@ def skeleton(edges: DataFrame, labels: DataFrame, min_percent: float = 2.0) -> D
     return e.withColumn("observed", observed).filter(F.col("observed") * 100 > min_percent).select("a", "b", (F.col("observed") / (2 * f - 2 * f * f)).alias("w"))
 
 
+def symmetric_skeleton(edges: DataFrame, groups: DataFrame, min_percent: float = 2.0) -> DataFrame:
+    """The skeleton over any groups (id, label) as a full matrix: (a, b, w) both ways, 0 on the diagonal and where there are too few edges."""
+    names = groups.select("label").distinct()
+    once = skeleton(edges, groups, min_percent)
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    # As many rows as the matrix that is asked for has cells.
+    cells = names.select(F.col("label").alias("a")).crossJoin(names.select(F.col("label").alias("b")))
+    return cells.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
 def coverage(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of the undirected edges whose ends have one label."""
     once = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
@@ -123,6 +203,16 @@ def pool_counts(edges: DataFrame, entries: DataFrame, cells: DataFrame) -> DataF
     return near.join(entries.withColumnRenamed("cell", "dst"), "dst").groupBy(F.col("src").alias("cell"), "gene").agg(F.sum("x").alias("x"))
 
 
+def poisson_pooled(points: DataFrame, entries: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """Each cell's counts summed with those of its ``k`` - 1 nearest cells in a latent space (id, v).
+
+    Distances become similarities, so the farthest edge of the whole graph has none and drops out.
+    """
+    near = near_neighbours(points, max(k - 1, 1))
+    kept = similarities(near).filter(F.round(F.col("max_d") - F.col("d"), 9) > 0)
+    return pool_counts(kept, entries, cells)
+
+
 def smooth(edges: DataFrame, entries: DataFrame, cells: DataFrame, only_increase: bool = False) -> DataFrame:
     """Weighted mean of each cell and its neighbours, weights equal and summing to 1; optionally not below the own value."""
     near = edges.select("src", "dst").unionByName(cells.select(F.col("cell").alias("src"), F.col("cell").alias("dst"))).distinct().withColumn("w", F.lit(1.0))
@@ -211,6 +301,36 @@ def multinomial(p: str, q: str, subspace: bool = False) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def correlation_distance(p: str, q: str) -> Column:
+    """1 less Pearson's correlation; 1 if a side does not vary."""
+    n = F.size(p)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / n
+    cov = _sum(p, q, lambda x, y: x * y) / n - mean(p) * mean(q)
+    var = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) / n - mean(c) * mean(c)
+    both = F.sqrt(var(p) * var(q))
+    return F.when(both <= 0, 1.0).otherwise(1 - cov / both)
+
+
+#: Distances by name, as builders of a column from the names of two array columns.
+METRICS = {
+    "euclidean": lambda p, q: minkowski(p, q, 2.0),
+    "manhattan": lambda p, q: minkowski(p, q, 1.0),
+    "js": lambda p, q: F.sqrt(F.greatest(jensen_shannon(p, q), F.lit(0.0))),
+    "kl": kullback_leibler,
+    "correlation": correlation_distance,
+    "multinomial": multinomial,
+}
+
+
+def distance(metric: str | Callable[[str, str], Column], p: str, q: str) -> Column:
+    """The distance of two array columns by a metric's name, or by a function that builds the column."""
+    if callable(metric):
+        return metric(p, q)
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric!r}; there are {', '.join(sorted(METRICS))}")
+    return METRICS[metric](p, q)
+
+
 def mad_outliers(df: DataFrame, group: str, columns: list[str], threshold: float = 3.5) -> DataFrame:
     """Adds ``outlier``: 0.6745 * distance to the group's median point / median distance above the threshold."""
     mids = df.groupBy(group).agg(*[F.median(c).alias(f"_m_{c}") for c in columns])

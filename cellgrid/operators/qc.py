@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,10 +137,10 @@ def hashed(key: Column, seed: int) -> Column:
     return h
 
 
-def hash_sql(key: str, seed: int) -> str:
-    """The same in SQL."""
-    h = f"((({key}) % {HASH_RANGE}) * 1103515245 + {seed * 40503}) % {HASH_RANGE}"
-    for add in (seed * 69621 + 1, 11):
+def hash_sql(key: str, seed: int | str) -> str:
+    """The same in SQL; the seed may be an expression."""
+    h = f"((({key}) % {HASH_RANGE}) * 1103515245 + ({seed}) * 40503) % {HASH_RANGE}"
+    for add in (f"({seed}) * 69621 + 1", 11):
         h = f"(xor({h}, ({h}) >> 15) * 48271 + {add}) % {HASH_RANGE}"
     return f"({h})"
 
@@ -164,23 +165,38 @@ def cap_select(df: DataFrame, label: str, key: str, n: int, seed: int = 1) -> Da
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def unit_key(cell: Column, gene: Column, unit: Column) -> Column:
-    """A whole number for each counted molecule, from which its draw is hashed."""
-    return F.pmod(hashed(cell, 11) * 65537 + hashed(gene, 12) * 257 + unit * 7919, F.lit(HASH_RANGE))
+def hashes(keys: np.ndarray, seed: int) -> np.ndarray:
+    """``hashed`` in numpy."""
+    h = (keys % HASH_RANGE * 1103515245 + seed * 40503) % HASH_RANGE
+    for add in (seed * 69621 + 1, 11):
+        h = ((h ^ (h >> 15)) * 48271 + add) % HASH_RANGE
+    return h
 
 
 def unit_key_sql(cell: str, gene: str, unit: str) -> str:
+    """A whole number for each counted molecule, from which its draw is hashed."""
     return f"({hash_sql(cell, 11)} * 65537 + {hash_sql(gene, 12)} * 257 + {unit} * 7919) % {HASH_RANGE}"
 
 
 def thinned(entries: DataFrame, seed: int = 13) -> DataFrame:
     """Binomial thinning of counts to the smallest total: each counted molecule stays with chance min / total, drawn by its hash.
 
-    Draws are made inside the row, molecule by molecule; entries that lose all are dropped.
+    Molecules are numbers inside a batch, never rows; entries that lose all are dropped.
     """
     totals = cell_totals(entries).select("cell", "total")
     met = scalar(entries.join(totals, "cell"), totals.agg(F.floor(F.min("total")).alias("least")))
-    most = F.col("least") / F.col("total") * HASH_RANGE
-    drawn = F.filter(F.sequence(F.lit(1), F.greatest(F.col("x"), F.lit(1)).cast("long")), lambda u: hashed(unit_key(F.col("cell"), F.col("gene"), u), seed) < most)
-    left = F.when(F.col("x") >= 1, F.size(drawn)).otherwise(0).cast("double")
-    return met.withColumn("x", left).filter("x > 0").drop("total", "least")
+    rows = met.select(*entries.columns, (F.col("least") / F.col("total") * HASH_RANGE).alias("_most"))
+
+    def draw(frames):
+        for frame in frames:
+            for at in range(0, len(frame), 20_000):
+                part = frame.iloc[at : at + 20_000]
+                counts = part["x"].to_numpy().astype(np.int64)
+                of = np.repeat(np.arange(len(part)), counts)
+                unit = np.arange(len(of)) - np.repeat(counts.cumsum() - counts, counts) + 1
+                base = hashes(part["cell"].to_numpy(np.int64), 11) * 65537 + hashes(part["gene"].to_numpy(np.int64), 12) * 257
+                stay = hashes((base[of] + unit * 7919) % HASH_RANGE, seed) < part["_most"].to_numpy()[of]
+                left = np.bincount(of[stay], minlength=len(part)).astype(float)
+                yield part.assign(x=left)[left > 0].drop(columns="_most")
+
+    return rows.mapInPandas(draw, entries.schema)

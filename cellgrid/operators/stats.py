@@ -122,36 +122,110 @@ def benjamini_hochberg(df: DataFrame, group: str, p: str, tie: str) -> DataFrame
     return raw.withColumn("q", F.least(F.min("_q").over(down), F.lit(1.0))).drop("_q")
 
 
+def shuffled_labels(cells: DataFrame, label: str, seed: int = 21) -> DataFrame:
+    """(cell, label): the labels dealt to the cells anew, each as often as before, by two hash orders."""
+    from cellgrid.operators.qc import hashed, numbered
+
+    order = lambda s: numbered(cells.select("cell", label), hashed(F.col("cell"), s), "cell", "_place")
+    return order(seed).select("cell", "_place").join(order(seed + 1).select(label, "_place"), "_place").select("cell", label)
+
+
+def enrichment_test(m: CellMatrix, label: str, seed: int = 21) -> DataFrame:
+    """Enrichment of each gene in each cluster, with p, the share of the cluster's scores under dealt labels that are at least as high, and q."""
+    from cellgrid.operators.aggregate import enrichment
+
+    score = lambda x: enrichment(x, label).select("cluster", "gene", F.round("enrichment", 9).alias("e"))
+    dealt = m.cells.drop(label).join(shuffled_labels(m.cells, label, seed), "cell")
+    found = permutation_p(score(m), score(CellMatrix(dealt, m.genes, m.entries)), "cluster", "e")
+    return benjamini_hochberg(found, "cluster", "p", "gene")
+
+
+def t_test_p(t: np.ndarray, freedom: np.ndarray) -> np.ndarray:
+    """Two-sided chance of a t statistic at least as far from 0; 1 where there is none."""
+    t, n = np.asarray(t, float), np.asarray(freedom, float)
+    out, ok = np.ones(len(t)), np.isfinite(t) & (n > 0) & (t != 0)
+    if ok.any():
+        n, square = n[ok], t[ok] ** 2
+        out[ok] = beta_cdf(n / 2, np.full(len(n), 0.5), np.minimum(n / (n + square), 1 - 1e-15))
+    return out
+
+
 def welch(m: CellMatrix, label: str) -> DataFrame:
-    """(gene, cluster) mean, variance, share and size for pairwise tests, zeros included."""
+    """(gene, cluster) moments of the normalized values for tests, and mean and share of the counts; zeros included."""
     from cellgrid.operators.aggregate import by_label
+    from cellgrid.operators.qc import normalized
 
-    squares = m.with_label(label).groupBy("gene", "cluster").agg(F.sum(F.col("x") * F.col("x")).alias("ss"))
-    g = by_label(m, label).join(squares, ["gene", "cluster"], "left").fillna(0.0, ["ss"])
-    mean, n = F.col("s") / F.col("n_cells"), F.col("n_cells")
-    return g.select("gene", "cluster", mean.alias("mean"), ((F.col("ss") / n - mean * mean) * n / (n - 1)).alias("var"), (F.col("nnz") / n).alias("f"), n.alias("n"))
-
-
-def pairwise_de(stats: DataFrame, fold: float = 2.0, least_f: float = 0.3, least_gap: float = 0.7, least_t: float = 0.0) -> DataFrame:
-    """For each pair of labels a < b the number of genes whose means differ ``fold`` times, with the share tests and |Welch t| of at least ``least_t``."""
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("cluster", "mean", "var", "f", "n")]
-    both = stats.select("gene", *side("a")).join(stats.select("gene", *side("b")), "gene").filter("cluster_a < cluster_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))
-    high, low = F.greatest("mean_a", "mean_b"), F.least("mean_a", "mean_b")
-    f_up = F.when(F.col("mean_a") >= F.col("mean_b"), F.col("f_a")).otherwise(F.col("f_b"))
-    gap = F.abs(F.col("f_a") - F.col("f_b")) / F.greatest("f_a", "f_b")
-    hit = (high >= fold * low) & (f_up > least_f) & (gap > least_gap) & (F.abs(t) >= least_t)
-    return both.groupBy(F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b")).agg(F.count_if(hit).alias("n"))
-
-
-def gsea(scores: DataFrame, members: DataFrame, order: str) -> DataFrame:
-    """max(share of hits' score so far - share of misses so far) along the stored order, for each set."""
-    sets = members.select("set").distinct()
-    rows = scores.crossJoin(F.broadcast(sets)).join(members.withColumn("hit", F.lit(1)), ["set", "gene"], "left").fillna(0, ["hit"])
-    up, all_ = Window.partitionBy("set").orderBy(order), Window.partitionBy("set")
-    hit = F.col("score") * F.col("hit")
-    gap = F.sum(hit).over(up) / F.sum(hit).over(all_) - F.sum(1 - F.col("hit")).over(up) / F.sum(1 - F.col("hit")).over(all_)
-    return rows.withColumn("gap", gap).groupBy("set").agg(F.max("gap").alias("score"))
+    v = normalized(m).join(m.cells.select("cell", F.col(label).alias("cluster")), "cell")
+    sums = v.groupBy("gene", "cluster").agg(F.sum("v").alias("sv"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+    g = by_label(m, label).join(sums, ["gene", "cluster"], "left").fillna(0.0, ["sv", "ss"])
+    mean, n = F.col("sv") / F.col("n_cells"), F.col("n_cells")
+    var = F.greatest((F.col("ss") / n - mean * mean) * n / (n - 1), F.lit(0.0))
+    return g.select("gene", "cluster", mean.alias("level"), var.alias("var"), (F.col("s") / n).alias("mean"), (F.col("nnz") / n).alias("f"), n.alias("n"))
+
+
+def pairwise_de(stats: DataFrame, fold: float = 2.0, least_f: float = 0.3, least_gap: float = 0.7, most_q: float = 0.001) -> DataFrame:
+    """For each pair of labels a < b the number of genes that tell them apart.
+
+    A gene does if Welch's t-test on normalized values has q below ``most_q`` (q-values within the
+    pair), the means differ ``fold`` times, and more than ``least_f`` of the higher label's cells
+    have it, the other's share being less by ``least_gap`` of the greater one.
+    """
+
+    @F.pandas_udf("double")
+    def chance(t: pd.Series, freedom: pd.Series) -> pd.Series:
+        return pd.Series(t_test_p(t.to_numpy(), freedom.to_numpy()))
+
+    # One array of labels a gene: pairs are made inside the row, not by joining a gene's rows with each other.
+    columns = ("cluster", "level", "var", "mean", "f", "n")
+    rows = stats.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("all")).select("gene", "all", F.posexplode("all").alias("k", "x"))
+    pairs = rows.select("gene", F.col("x").alias("a"), F.explode(F.expr("slice(all, k + 2, size(all))")).alias("b"))
+    pa, pb = F.col("a.var") / F.col("a.n"), F.col("b.var") / F.col("b.n")
+    freedom = (pa + pb) * (pa + pb) / (pa * pa / (F.col("a.n") - 1) + pb * pb / (F.col("b.n") - 1))
+    high, low = F.greatest("a.mean", "b.mean"), F.least("a.mean", "b.mean")
+    up = F.when(F.col("a.mean") >= F.col("b.mean"), F.col("a.f")).otherwise(F.col("b.f"))
+    down = F.when(F.col("a.mean") >= F.col("b.mean"), F.col("b.f")).otherwise(F.col("a.f"))
+    hit = (high >= fold * low) & (up > least_f) & ((up - down) / F.greatest(up, down) > least_gap)
+    tested = pairs.select(
+        "gene", F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b"), hit.alias("hit"), F.concat_ws("\t", "a.cluster", "b.cluster").alias("pair"),
+        F.when(pa + pb > 0, (F.col("a.level") - F.col("b.level")) / F.sqrt(pa + pb)).alias("t"), F.when(pa + pb > 0, freedom).alias("freedom"),
+    ).withColumn("p", chance(F.coalesce("t", F.lit(0.0)), F.coalesce("freedom", F.lit(1.0))))
+    found = benjamini_hochberg(tested, "pair", "p", "gene")
+    return found.groupBy("a", "b").agg(F.count_if(F.col("hit") & (F.col("q") < most_q)).alias("n"))
+
+
+def gsea(scores: DataFrame, members: DataFrame, permutations: int = 1000, seed: int = 1000) -> DataFrame:
+    """(cluster, set, score, p) from scores (cluster, gene, score) and members (set, gene).
+
+    A score is the greatest lead, along the genes in their stored order, of the hits' share of the
+    set's score over the share of misses; it is met right at a hit. p is the share of permuted sets
+    that reach it: permutation r has the genes of least hash under seed + r, as many as the set.
+    Sets are gene lists of a file, broadcast; a task holds one cluster's column of scores.
+    """
+    from cellgrid.operators.qc import hashes
+
+    sets = members.groupBy("set").agg(F.sort_array(F.collect_set("gene")).alias("genes")).orderBy("set").collect()
+    listed = [(r["set"], np.array(r["genes"], np.int64)) for r in sets]
+
+    def lead(score: np.ndarray, at: np.ndarray, misses: int) -> float:
+        own = score[at]
+        total = own.sum()
+        return float((own.cumsum() / total - (at - np.arange(len(at))) / misses).max()) if total and misses else 0.0
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("gene")
+        genes, score = frame["gene"].to_numpy(np.int64), frame["score"].to_numpy(float)
+        found = [(name, at) for name, of in listed if len(at := np.flatnonzero(np.isin(genes, of)))]
+        own = np.array([lead(score, at, len(genes) - len(at)) for _, at in found])
+        below = np.zeros(len(found))
+        sizes = {len(at) for _, at in found}
+        for r in range(permutations):
+            order = np.lexsort((genes, hashes(genes, seed + r)))
+            null = {n: lead(score, np.sort(order[:n]), len(genes) - n) for n in sizes}
+            below += np.array([null[len(at)] for _, at in found]) < own - 1e-12
+        return pd.DataFrame({"cluster": frame["cluster"].iloc[0], "set": [name for name, _ in found], "score": own, "p": 1 - below / max(permutations, 1)})
+
+    kind = scores.schema["cluster"].dataType.simpleString()
+    return scores.select("cluster", "gene", "score").groupBy("cluster").applyInPandas(one, f"cluster {kind}, set string, score double, p double")
 
 
 def neighborhood_enrichment(edges: DataFrame, entries: DataFrame, n_cells: DataFrame, k: float, eps: float = 0.1) -> DataFrame:

@@ -63,6 +63,29 @@ def skeleton(spark, sf_dir):
     return g.skeleton(knn(spark, sf_dir), vectors(spark, sf_dir).select("id", "label")).select("a", "b", r6(F.col("w")).alias("w"))
 
 
+@query(
+    "symmetric_skeleton", "G08",
+    f"""WITH {KNN}, {EDGES}, n AS (SELECT least(c1, c2) AS a, greatest(c1, c2) AS b, count(*) AS n FROM el GROUP BY ALL), sz AS (SELECT label, count(*) AS s FROM lb GROUP BY 1),
+    o AS (SELECT n.a, n.b, n.n::DOUBLE / (coalesce(x.n, 0) + coalesce(y.n, 0) + n.n) AS obs, sa.s::DOUBLE / (sa.s + sb.s) AS f FROM n LEFT JOIN n x ON x.a = n.a AND x.b = n.a LEFT JOIN n y ON y.a = n.b AND y.b = n.b
+      JOIN sz sa ON sa.label = n.a JOIN sz sb ON sb.label = n.b WHERE n.a < n.b),
+    w AS (SELECT a, b, obs / (2 * f - 2 * f * f) AS w FROM o WHERE obs * 100 > 5)
+    SELECT p.label::BIGINT AS a, q.label::BIGINT AS b, round(coalesce((SELECT w FROM w WHERE w.a = least(p.label, q.label) AND w.b = greatest(p.label, q.label)), 0), 6) AS w FROM sz p CROSS JOIN sz q""",
+)
+def symmetric_skeleton(spark, sf_dir):
+    return g.symmetric_skeleton(knn(spark, sf_dir), vectors(spark, sf_dir).select("id", "label"), 5.0).select("a", "b", r6(F.col("w")).alias("w"))
+
+
+@query("approximate_knn", "J12", "SELECT count(*)::BIGINT AS points, 10::BIGINT AS k, true AS complete, true AS good FROM embeddings")
+def approximate_knn(spark, sf_dir):
+    """The search through cells, held against the exact one: every point gets k neighbours, and at least nine of ten are right."""
+    v = vectors(spark, sf_dir).select("id", "v")
+    found = g.approximate_knn(v, v, 10, cells=max(1, v.count() // 64))
+    exact = g.exact_knn(v, v, 10)
+    hit = found.select("src", "dst").join(exact.select("src", "dst"), ["src", "dst"]).agg(F.count("*").alias("hits"))
+    per = found.groupBy("src").agg(F.count("*").alias("k")).agg(F.count("*").alias("points"), F.max("k").alias("k"), (F.min("k") == F.max("k")).alias("complete"))
+    return per.crossJoin(hit).select("points", "k", "complete", (F.col("hits") >= 0.9 * F.col("points") * F.col("k")).alias("good"))
+
+
 @query("coverage", "G12 C10", f"WITH {KNN}, u AS (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS t FROM knn) SELECT round(avg((a.label = b.label)::INT), 6) AS coverage FROM u JOIN lb a ON a.id = s JOIN lb b ON b.id = t")
 def coverage(spark, sf_dir):
     return g.coverage(knn(spark, sf_dir), vectors(spark, sf_dir).select("id", "label")).select(r6(F.col("coverage")).alias("coverage"))
@@ -219,7 +242,17 @@ def poisson_proximity(spark, sf_dir):
     return profile_pairs(spark, sf_dir, counts=True).select("a", "b", r6(g.poisson_proximity("p", "q", 2.0, 0.5), 4).alias("f"))
 
 
-@query("gamma_divergence", "M03")
+def digamma_sql(x: str) -> str:
+    """The asymptotic series, eight steps further up."""
+    y = f"({x} + 8)"
+    return f"(ln{y} - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) - list_sum(list_transform(range(0, 8), lambda k: 1 / ({x} + k))))"
+
+
+@query(
+    "gamma_divergence", "M03",
+    f"""WITH c AS (SELECT gene, avg(x) AS m, var_pop(x) AS v FROM entries GROUP BY gene), p AS (SELECT gene, m * m / v AS s, m / v AS r FROM c WHERE v > 0)
+    SELECT gene, round(((s - 2) * {digamma_sql('s')} - lgamma(s) + lgamma(2) + 2 * (ln(r) - ln(0.1e0)) + s * (0.1e0 - r) / r) / ln(2), 5) AS kl FROM p""", matrix=True,
+)
 def gamma_divergence(spark, sf_dir):
     c = order_matrix(spark, sf_dir).entries.groupBy("gene").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).filter("v > 0")
     return c.select("gene", r6(g.gamma_divergence(F.col("m") * F.col("m") / F.col("v"), F.col("m") / F.col("v"), F.lit(2.0), F.lit(0.1)), 5).alias("kl"))

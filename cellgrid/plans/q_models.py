@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from cellgrid.model import r6
 from cellgrid.operators import aggregate as ag
-from cellgrid.operators import cluster, doublets, embed, factor, qc
+from cellgrid.operators import cluster, doublets, embed, factor, graph, qc
 from cellgrid.plans.q_graphs import KNN, folder, knn, vectors
 from cellgrid.plans.registry import query
-from cellgrid.sources.tables import order_matrix, table
+from cellgrid.sources.tables import order_matrix, staged, table
 from cellgrid.streaming import totals
 
 
@@ -31,6 +31,68 @@ def pca_variance(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(parts.variance)], "component int, variance double")
 
 
+BRAND_SQL = """be AS (SELECT cell, regexp_extract(category, '(\\d+)', 1)::BIGINT AS gene, sum(x) AS x FROM entries JOIN genes USING (gene) GROUP BY ALL), bg AS (SELECT DISTINCT gene FROM be),
+    bt AS (SELECT cells.cell, coalesce(sum(x), 0e0) AS total FROM cells LEFT JOIN entries USING (cell) GROUP BY 1),
+    bd AS (SELECT bt.cell, bg.gene, total, coalesce(x, 0e0) AS x FROM bt CROSS JOIN bg LEFT JOIN be ON be.cell = bt.cell AND be.gene = bg.gene)"""
+
+
+@query(
+    "pca_lengths", "D01",
+    f"""WITH {BRAND_SQL}, v AS (SELECT cell, gene, log2(x + 1) AS v FROM bd), m AS (SELECT gene, avg(v) AS m FROM v GROUP BY gene)
+    SELECT cell, round(sum((v - m) * (v - m)), 5) AS square FROM v JOIN m USING (gene) GROUP BY cell""", matrix=True,
+)
+def pca_lengths(spark, sf_dir):
+    """Squared length of each cell's coordinates on all components: that of its centred values, however they are turned."""
+    values, cells = brand_matrix(spark, sf_dir), order_matrix(spark, sf_dir).cells
+    projected = factor.project(values, cells, factor.pca(values, cells.count(), 25))
+    return projected.select("cell", r6(F.aggregate("pca", F.lit(0.0), lambda s, x: s + x * x), 5).alias("square"))
+
+
+@query(
+    "residual_pca_lengths", "D04 F22",
+    f"""WITH {BRAND_SQL}, g AS (SELECT gene, sum(x) AS s FROM bd GROUP BY gene), a AS (SELECT sum(total) AS grand, sqrt(count(*)) AS lim FROM bt),
+    e AS (SELECT cell, gene, x, total * s / grand AS e, lim FROM bd JOIN g USING (gene), a), r AS (SELECT cell, gene, CASE WHEN e > 0 THEN greatest(-lim, least(lim, (x - e) / sqrt(e + e * e / 100))) ELSE 0e0 END AS r FROM e),
+    m AS (SELECT gene, avg(r) AS m FROM r GROUP BY gene)
+    SELECT cell, round(sum((r - m) * (r - m)), 5) AS square FROM r JOIN m USING (gene) GROUP BY cell""", matrix=True,
+)
+def residual_pca_lengths(spark, sf_dir):
+    m = order_matrix(spark, sf_dir)
+    totals = m.cells.select("cell").join(qc.cell_totals(m.entries).select("cell", "total"), "cell", "left").fillna(0.0)
+    _, projected = factor.residual_pca(brand_matrix(spark, sf_dir).select("cell", "gene", "x"), totals, 25)
+    return projected.select("cell", r6(F.aggregate("pca", F.lit(0.0), lambda s, x: s + x * x), 5).alias("square"))
+
+
+@query(
+    "poisson_pooling", "G06",
+    f"""WITH {BRAND_SQL}, lv AS (SELECT median(total) AS level FROM (SELECT sum(x) AS total FROM be GROUP BY cell)), vc AS (SELECT cell, list(CASE WHEN total = 0 THEN 0e0 ELSE log2(x / total * level + 1) END ORDER BY gene) AS v FROM bd, lv GROUP BY cell),
+    pr AS (SELECT a.cell AS src, b.cell AS dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) ** 2))) AS d FROM vc a JOIN vc b ON a.cell <> b.cell),
+    nn AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) <= 4), mx AS (SELECT max(d) AS md FROM nn),
+    nb AS (SELECT src, dst FROM nn, mx WHERE round(md - d, 9) > 0 UNION SELECT cell, cell FROM cells)
+    SELECT src AS cell, gene, round(sum(x), 4) AS x FROM nb JOIN be ON be.cell = dst GROUP BY ALL""", matrix=True,
+)
+def poisson_pooling(spark, sf_dir):
+    """Counts pooled over the five nearest cells in the space of all principal components, where distances are those of the values."""
+    m = order_matrix(spark, sf_dir)
+    brands = type(m)(m.cells, m.genes, brand_matrix(spark, sf_dir).select("cell", "gene", "x"))
+    values = qc.normalized(brands)
+    points = factor.project(values, m.cells, factor.pca(values, m.cells.count(), 25)).select(F.col("cell").alias("id"), F.col("pca").alias("v"))
+    return graph.poisson_pooled(staged(points, "points"), brands.entries, m.cells, 5).select("cell", "gene", r6(F.col("x"), 4).alias("x"))
+
+
+REDUNDANT_SQL = """u AS (SELECT vec_id, label < 5 AS own, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) t(i)),
+    r AS (SELECT a.own, a.i, b.i AS j, corr(a.x, b.x) AS r FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i <> b.i GROUP BY ALL),
+    rc AS (SELECT own, i, i AS reach FROM (SELECT DISTINCT own, i FROM u) UNION SELECT rc.own, rc.i, r.j FROM rc JOIN r ON r.own = rc.own AND r.i = rc.reach AND r.r > 0.13e0),
+    later AS (SELECT own, i FROM rc GROUP BY own, i HAVING min(reach) < i)"""
+
+
+@query("redundant_components", "D08", f"WITH RECURSIVE {REDUNDANT_SQL} SELECT (i - 1)::BIGINT AS component FROM later WHERE own INTERSECT SELECT (i - 1)::BIGINT FROM later WHERE NOT own")
+def redundant_components(spark, sf_dir):
+    """Vectors of half the labels and of the other half as the two factors of 64 components."""
+    v = vectors(spark, sf_dir)
+    near = {side: factor.component_correlations(v.filter(where).select("v"), 64) for side, where in (("beta", "label < 5"), ("theta", "label >= 5"))}
+    return spark.createDataFrame([(c,) for c in factor.redundant(near["beta"], near["theta"], 0.13)], "component long")
+
+
 @query("pca_significant", "D01 D02")
 def pca_significant(spark, sf_dir):
     values, cells = brand_matrix(spark, sf_dir), order_matrix(spark, sf_dir).cells
