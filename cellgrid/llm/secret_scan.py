@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Candidates are long runs of key-like characters, values assigned to names that speak of secrets,
-with or without quotes, passwords in URLs, and private-key blocks. A random forest, trained on the labelled findings of ``secret_training``,
+with or without quotes, passwords in URLs, tokens of three dotted parts, and private-key blocks. A random forest, trained on the labelled findings of ``secret_training``,
 scores each from its length, its character classes and the transitions between them, the share of
 it that dictionary words cover, its path, and the words around it. The forest's trees lie
 flattened in arrays, which numpy traverses for all candidates of a batch at once.
@@ -33,11 +33,15 @@ AROUND = 48
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 ASSIGNED = re.compile(
-    r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|(?:access|private|secret|signing|auth)[_-]?key|credentials?|bearer)[\"']?\s{0,4}[=:]\s{0,4}"
+    r"(?i)(?:passw(?:or)?d|pwd|(?<![a-z])pw|passphrase|secret|token|api[_-]?key|(?:access|private|secret|signing|auth)[_-]?key|credentials?|bearer)[\"']?\s{0,4}[=:]\s{0,4}"
     # A bare value goes up to white space, a quote, the next parameter or tag; marks that end a sentence or a list are not its last.
-    r"(?:[\"']([^\"'\s]{8,})[\"']|((?:(?!&\w+=|</)[^\"'\s]){7,}(?!&\w+=|</)[^\"'\s.,;)\]}>]))"
+    r"(?:[\"']([^\"'\s]{6,})[\"']|((?:(?!&\w+=|</)[^\"'\s]){7,}(?!&\w+=|</)[^\"'\s.,;)\]}>]))"
 )
 URL = re.compile(r"://[^\s/:@\"'<>]{0,256}:([^\s/\"'<>]+)@")
+#: Three runs joined by dots, the first two encoded objects: one token.
+JWT = re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}(?:\.[A-Za-z0-9_\-]+)?")
+#: A value that is an expression of a program, which names a secret and is none.
+CODE = re.compile(r"[\[(]|\$\{|\{\{|^<|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----")
 PLAIN = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[+/_\-=]+")
 LETTERS = re.compile(r"[A-Za-z]{3,}")
@@ -54,13 +58,14 @@ DICTIONARY = frozenset(WORDS) | SPEAKS_FOR | SPEAKS_AGAINST
 
 FEATURES = (
     "length", "log_length", "digits", "upper", "lower", "symbols", "transitions", "distinct", "entropy", "hex", "hex_length", "uuid", "covered", "longest_word", "vowels", "runs",
-    "prefix", "placeholder", "assigned", "quoted", "name_for", "name_against", "near_for", "near_against", "words_before", "path_safe", "path_open", "all_digits", "separators",
+    "prefix", "placeholder", "in_url", "code", "assigned", "quoted", "name_for", "name_against", "near_for", "near_against", "words_before", "path_safe", "path_open", "all_digits", "separators",
 )
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of every candidate, in order, none within another."""
     found = [m.span() for m in BLOCK.finditer(text)]
+    found += [m.span() for m in JWT.finditer(text)]
     found += [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
     found += [m.span(1) for m in URL.finditer(text)]
     for m in RUN.finditer(text):
@@ -104,7 +109,7 @@ def describe(before: str, value: str, after: str, path: str, words: frozenset[st
     return [
         n, float(np.log(n)), share[0], share[1], share[2], share[3], float(np.count_nonzero(np.diff(kind)) / max(n - 1, 1)), len(counts) / n, float(-(chance * np.log2(chance)).sum()),
         is_hex, n if is_hex else 0, bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)), sum(map(len, known)) / n, max(map(len, known), default=0),
-        sum(lower.count(v) for v in "aeiou") / n, repeats / n, value.startswith(PREFIXES), any(p in lower for p in PLACEHOLDER), assigned, before[-1:] in ("'", '"'),
+        sum(lower.count(v) for v in "aeiou") / n, repeats / n, value.startswith(PREFIXES), any(p in lower for p in PLACEHOLDER), before.endswith(":") and "://" in before[-AROUND:] and after.startswith("@"), CODE.search(value) is not None, assigned, before[-1:] in ("'", '"'),
         any(w in SPEAKS_FOR for w in own), any(w in SPEAKS_AGAINST for w in own), bool(near & SPEAKS_FOR), bool(near & SPEAKS_AGAINST), len(tokens),
         any(p in place for p in PATH_SAFE), any(p in place for p in PATH_OPEN), share[0] == 1, sum(value.count(c) for c in "_-/") / n,
     ]

@@ -52,10 +52,28 @@ class Maker:
             lambda: base64.b64encode(self.rng.bytes(int(self.rng.integers(16, 64)))).decode(), lambda: "AKIA" + self.chars(UPPER, 16), lambda: "ghp_" + self.chars(ALNUM, 36),
             lambda: "xoxb-" + self.chars("0123456789", 12) + "-" + self.chars(ALNUM, 24), lambda: "sk_live_" + self.chars(ALNUM, 24),
             lambda: self.chars(ALNUM + "!@#%^", 10, 20), lambda: self.chars(HEX.upper(), 40),
+            lambda: ".".join((self.encoded(("alg", "typ")), self.encoded(("sub", "name", "iat")), self.chars(ALNUM + "-_", 43))),
             lambda: "eyJ" + base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "n": self.chars(ALNUM, 12)}).encode()).decode()[3:].rstrip("=") + "_" + self.chars(ALNUM, 43),
         )
         return self.pick(body)()
 
+    def encoded(self, keys: tuple[str, ...]) -> str:
+        """An object of invented values as a part of a dotted token."""
+        return base64.urlsafe_b64encode(json.dumps({k: self.chars(ALNUM, 4, 12) for k in keys}).encode()).decode().rstrip("=")
+
+    def human(self) -> str:
+        """A password as people make them: words with digits and marks in or after them."""
+        parts = [self.pick(WORDS).capitalize() if self.rng.random() < 0.5 else self.pick(WORDS) for _ in range(int(self.rng.integers(1, 4)))]
+        parts.insert(int(self.rng.integers(0, len(parts) + 1)), self.chars("0123456789", 1, 4))
+        word = "".join(parts) + self.pick(("", "", "!", "@", "#", "$x"))
+        word = word.replace("o", "0", 1).replace("e", "3", 1) if self.rng.random() < 0.4 else word
+        return word if len(word) >= 8 else self.human()
+
+    def expression(self) -> str:
+        """What a program reads a secret from."""
+        name = self.join("_", 1, 3)
+        return self.pick((f"os.environ[{name.upper()}]", f"config.get({name})", f"{self.pick(WORDS)}.{name}", f"${{{name.upper()}}}", f"get{name.capitalize()}(x)", f"{{{{{name}}}}}", f"settings.{name.upper()}", f"process.env.{name.upper()}", f"self.{name}", f"request.{name}()"))
+
     def decoy(self) -> tuple[str, str]:
         """A harmless candidate and a name that goes with it."""
         kinds = (
@@ -64,6 +82,7 @@ class Maker:
             lambda: (self.chars(HEX, 32), self.pick(("md5", "etag", "hash", "cache_key", "fingerprint"))),
             lambda: ("-".join(self.chars(HEX, n) for n in (8, 4, 4, 4, 12)), self.pick(("id", "uuid", "guid", "request_id"))),
             lambda: (self.pick(("your_api_key_here", "YOUR-SECRET-TOKEN-HERE", "changeme_changeme_1", "example_password_123", "xxxxxxxxxxxxxxxxxxxxxxxx", "REPLACE_WITH_YOUR_KEY_1", "0000000000000000000000", "<insert_token_here_1>")), self.pick(SECRET_NAMES)),
+            lambda: (self.expression(), self.pick(SECRET_NAMES)), lambda: (self.expression(), self.pick(SECRET_NAMES)), lambda: (self.pick(WORDS) + self.pick(("", "s", "ed")) + self.pick(("ing", "ment", "ation", "able")), self.pick(SECRET_NAMES)),
             lambda: (self.join("_", 3, 6), self.pick(PLAIN_NAMES)), lambda: (self.join("-", 3, 6) + "-2020", "slug"), lambda: (self.join("/", 4, 7), "path"),
             lambda: ("".join(w.capitalize() for w in self.join(" ", 3, 6).split()), self.pick(PLAIN_NAMES)), lambda: (self.join("_", 2, 4).upper() + "_" + self.chars("0123456789", 4), "name"),
             lambda: (self.chars("0123456789", 16), self.pick(("card", "account", "phone", "", "", "number"))), lambda: (self.chars("0123456789", 18, 24), self.pick(("id", "order", ""))),
@@ -75,12 +94,16 @@ class Maker:
     def finding(self) -> tuple[str, str, str, str, int]:
         label = int(self.rng.random() < 0.5)
         before, after = self.prose(0, 8), self.prose(0, 8)
+        human = label and self.rng.random() < 0.12
         if label:
-            value, name = self.secret(), self.pick(SECRET_NAMES)
+            value, name = self.human() if human else self.secret(), self.pick(SECRET_NAMES)
         else:
             value, name = self.decoy()
+        if label and self.rng.random() < 0.08:
+            scheme, host = self.pick(("postgres", "mysql", "redis", "amqp", "https", "mongodb")), self.pick(WORDS)
+            return f"{before} {scheme}://{self.pick((self.pick(WORDS), ''))}:", self.pick((self.human, lambda: self.chars(ALNUM, 8, 24)))(), f"@{host}/{self.pick(WORDS)} {after}", self.pick(OPEN_PATHS), 1
         roll, quote = self.rng.random(), self.pick(('"', "'", "", '"'))
-        if roll < 0.55 or not name:
+        if roll < 0.55 or human or not name:
             glue = self.pick((" = ", "=", ": ", " : ", ":")) if name else " "
             before = f"{before} {name}{glue}{quote if name else ''}"
             after = f"{quote if name else ''} {after}"

@@ -164,3 +164,44 @@ def test_blocks_equal_a_plain_parser():
         plain.feed(page)
         plain.close()
         assert [b.text for b in H.leaf_blocks(page)] == [t for x in plain.out if (t := " ".join(x.split()))]
+
+
+JWT = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+
+
+def test_strings_written_by_hand():
+    """Forms that the training generator does not write."""
+    import numpy as np
+
+    secrets = {
+        "postgres://admin:S3cr3tPassw0rd@host/db": "S3cr3tPassw0rd", 'export PW="a1b2c3"': "a1b2c3", "api_key: k9Fz2Lq8Xw": "k9Fz2Lq8Xw", JWT: JWT, "Authorization: Bearer " + JWT: JWT, f"set token = {JWT};": JWT,
+        "redis://:p4ssw0rd99@cache:6379": "p4ssw0rd99", "client_secret: 8f14e45fceea167a5a36dedd4bea2543": "8f14e45fceea167a5a36dedd4bea2543", "passwd: Tr0ub4dor&3xyz": "Tr0ub4dor&3xyz",
+    }
+    forest = S.trained()
+    for text, value in secrets.items():
+        spans, rows = S.scan_text(text, "")
+        score = forest.score(np.array(rows, float))
+        assert [text[a:b] for (a, b), x in zip(spans, score, strict=True) if x >= S.LEAST_SCORE] == [value], text
+    for text in (
+        "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "https://example.com/path/to/some-long-article-title-here-2020", "password: required, at least eight", "import java.util.concurrent.ConcurrentHashMap",
+        "password = os.environ['DB_PASSWORD']", "api_key = config.get('api_key')", "secret=<your-secret-here>", "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAUA", "id=123e4567-e89b-12d3-a456-426614174000",
+    ):
+        spans, rows = S.scan_text(text, "")
+        assert not spans or forest.score(np.array(rows, float)).max() < S.LEAST_SCORE, text
+
+
+def test_forest_equals_a_walk_row_by_row():
+    """Flattened traversal against following each row through the same trees by itself."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows, labels = rng.normal(size=(200, 6)), rng.integers(0, 2, 200)
+    forest = S.grow_forest(rows, labels, trees=7)
+    for row, score in zip(rows, forest.score(rows), strict=True):
+        shares = []
+        for column, cut, left, share in zip(forest.column, forest.cut, forest.left, forest.share, strict=True):
+            k = 0
+            while left[k] != k:
+                k = left[k] + int(row[column[k]] > cut[k])
+            shares.append(share[k])
+        assert abs(np.mean(shares) - score) < 1e-12
