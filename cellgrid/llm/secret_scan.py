@@ -33,10 +33,12 @@ AROUND = 48
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 ASSIGNED = re.compile(
-    r"(?i)(?:passw(?:or)?d|pwd|(?<![a-z])pw|passphrase|secret|token|api[_-]?key|(?:access|private|secret|signing|auth)[_-]?key|credentials?|bearer)[\"']?\s{0,4}[=:]\s{0,4}"
+    r"(?i)(?:passw(?:or)?d|pwd|pw(?<![a-z]pw)|passphrase|secret|token|api[_-]?key|(?:access|private|secret|signing|auth)[_-]?key|credentials?|bearer)[\"']?\s{0,4}[=:]\s{0,4}"
     # A bare value goes up to white space, a quote, the next parameter or tag; marks that end a sentence or a list are not its last.
     r"(?:[\"']([^\"'\s]{6,})[\"']|((?:(?!&\w+=|</)[^\"'\s]){7,}(?!&\w+=|</)[^\"'\s.,;)\]}>]))"
 )
+#: Every name that ``ASSIGNED`` takes holds one of these in lower case (or the long s, which it takes for an s); texts without any are not searched for it.
+STEMS = ("passw", "pw", "passphrase", "secret", "token", "key", "credential", "bearer", "\u017f")
 URL = re.compile(r"://[^\s/:@\"'<>]{0,256}:([^\s/\"'<>]+)@")
 #: Three runs joined by dots, the first two encoded objects: one token.
 JWT = re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}(?:\.[A-Za-z0-9_\-]+)?")
@@ -66,7 +68,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of every candidate, in order, none within another."""
     found = [m.span() for m in BLOCK.finditer(text)]
     found += [m.span() for m in JWT.finditer(text)]
-    found += [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
+    low = text.lower()
+    if any(stem in low for stem in STEMS):
+        found += [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
     found += [m.span(1) for m in URL.finditer(text)]
     for m in RUN.finditer(text):
         run = m.group()
