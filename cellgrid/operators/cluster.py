@@ -96,26 +96,81 @@ def surprise_communities(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray
     return np.unique(label, return_inverse=True)[1]
 
 
-def communities(nodes: DataFrame, edges: DataFrame, weight: str = "w", resolution: float = 1.0, min_cells: int = 10, folder: str = "", method: str = "louvain") -> DataFrame:
-    """(id, label) by community search in each connected component of more than ``min_cells`` nodes, one task a component; smaller ones get -1."""
+def local_moves(edges: DataFrame, degrees: DataFrame, resolution: float, rounds: int, seed: int) -> DataFrame:
+    """(id, label) after rounds in which nodes move, all at once, to the neighbouring community of greatest modularity gain.
+
+    ``edges`` (src, dst, w) both ways, without loops; ``degrees`` (id, degree) with loops. In each
+    round a hashed half of the nodes may move, and only to a community of a lower number on even
+    rounds and of a higher one on odd rounds, so that two nodes never swap.
+    """
+    from cellgrid.sources.tables import staged
+
+    total = degrees.agg(F.sum("degree")).first()[0] or 0.0
+    now = staged(degrees.select("id", F.col("id").alias("label")), "moves")
+    for step in range(rounds):
+        mass = now.join(degrees, "id").groupBy("label").agg(F.sum("degree").alias("mass"))
+        near = edges.join(now.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
+        own = now.select("id", F.col("label").alias("own"))
+        turn = F.pmod(F.xxhash64("id", F.lit(seed + step)), F.lit(2)) == 0
+        side = F.col("label") < F.col("own") if step % 2 == 0 else F.col("label") > F.col("own")
+        cost = lambda m: F.lit(resolution) * F.col("degree") * m / F.lit(max(total, 1e-300))
+        scored = near.join(own, "id").join(degrees, "id").join(mass, "label")
+        stay = F.col("label") == F.col("own")
+        scored = scored.withColumn("gain", F.col("w") - cost(F.when(stay, F.col("mass") - F.col("degree")).otherwise(F.col("mass"))))
+        home = scored.filter(stay).select("id", F.col("gain").alias("home"))
+        # A node without a neighbour in its own community compares with leaving that community's mass behind.
+        best = scored.filter(side & turn).groupBy("id").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.col("label")).alias("to"))).alias("best"))
+        alone = own.join(degrees, "id").join(mass.withColumnRenamed("label", "own"), "own").select("id", (-cost(F.col("mass") - F.col("degree"))).alias("base"))
+        moved = best.join(alone, "id").join(home, "id", "left").filter(F.col("best.gain") > F.coalesce("home", "base") + 1e-9).select("id", (-F.col("best.to")).alias("to"))
+        now = staged(now.join(moved, "id", "left").select("id", F.coalesce("to", "label").alias("label")), "moves")
+    return now
+
+
+#: Edges of a graph up to which a community search runs in one task; larger graphs are contracted first.
+SEARCH_EDGES = 2_000_000
+
+
+def communities(nodes: DataFrame, edges: DataFrame, weight: str = "w", resolution: float = 1.0, min_cells: int = 10, folder: str = "", method: str = "louvain", search_edges: int = SEARCH_EDGES) -> DataFrame:
+    """(id, label) by community search; connected components of at most ``min_cells`` nodes get -1. Compact numbers by least id.
+
+    A graph of more than ``search_edges`` edges is contracted, level by level, by moves of all nodes
+    at once; what is left, a graph of communities, is searched in one task. A level that no longer
+    halves the edges ends the contraction, and its communities stand.
+    """
     from cellgrid.operators.graph import components
+    from cellgrid.sources.tables import staged
 
-    comp = components(edges, nodes, folder)
-    sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
-    big = comp.join(sizes, "comp").filter(F.col("n") > min_cells)
-    side = comp.select(F.col("id").alias("src"), "comp")
+    comp = staged(components(edges, nodes, folder), "comp")
+    big = comp.join(comp.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > min_cells).select("comp"), "comp", "left_semi").select("id")
     once = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max(weight).alias("w")).filter("src <> dst")
+    level = staged(once.join(big.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", F.col("w").cast("double").alias("w")), "level")
+    member = staged(big.select("id", F.col("id").alias("label")), "member")
+    size = level.count()
+    while size > search_edges:
+        loops = level.filter("src = dst").select(F.col("src").alias("id"), (2 * F.col("w")).alias("w"))
+        both = level.filter("src <> dst").select("src", "dst", "w")
+        both = staged(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "both")
+        degrees = staged(both.select(F.col("src").alias("id"), "w").unionByName(loops).groupBy("id").agg(F.sum("w").alias("degree")), "degrees")
+        moved = local_moves(both, degrees, resolution, 8, seed=size % 997)
+        ends = level.join(moved.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(moved.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+        level = staged(ends.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")), "level")
+        member = staged(member.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label").select("id", F.col("to").alias("label")), "member")
+        size, before = level.count(), size
+        if size > before / 2:
+            break
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([frame["src"], frame["dst"]]), return_inverse=True)
         half = len(frame)
         ends = flat[:half], flat[half:], frame["w"].to_numpy()
         label = surprise_communities(len(ids), *ends) if method == "surprise" else louvain(len(ids), *ends, resolution)
-        return pd.DataFrame({"id": ids, "comp": frame["comp"].iloc[0], "local": label})
+        return pd.DataFrame({"label": ids, "to": ids[label if label.max(initial=0) < len(ids) else 0]})
 
-    found = once.join(side, "src").join(big.select("comp").distinct(), "comp", "left_semi").groupBy("comp").applyInPandas(search, "id long, comp long, local long")
-    names = found.select("comp", "local").distinct().withColumn("label", F.row_number().over(_order("comp", "local")) - 1)
-    return nodes.select("id").join(found.join(F.broadcast(names), ["comp", "local"]).select("id", "label"), "id", "left").fillna(-1, ["label"])
+    if size <= search_edges:  # one task, of a bounded graph
+        found = level.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(search, "label long, to long")
+        member = staged(member.join(found, "label").select("id", F.col("to").alias("label")), "member")
+    names = member.groupBy("label").agg(F.min("id").alias("least")).withColumn("new", F.row_number().over(_order("least")) - 1).select("label", "new")
+    return nodes.select("id").join(member.join(names, "label").select("id", F.col("new").cast("long").alias("label")), "id", "left").fillna(-1, ["label"])
 
 
 def _order(*columns: str):
@@ -467,10 +522,10 @@ def merged(m, labels: DataFrame, plane: DataFrame, threshold: int = 1, **limits)
     return own.join(F.broadcast(ids), "label").select("id", F.col("new").cast("long").alias("label"))
 
 
-def balance(candidates: np.ndarray, distances: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def balance(candidates: np.ndarray, distances: np.ndarray, k: int, most: int, degree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Balanced neighbours: nodes in order of falling in-degree (ties: higher number first) take up to ``k`` candidates that have fewer than ``most`` takers; the rest are the node itself."""
     n, sight = candidates.shape
-    degree = np.bincount(candidates.ravel(), minlength=n)
+    degree = np.bincount(candidates.ravel(), minlength=n) if degree is None else degree
     order = np.argsort(degree, kind="stable")[::-1]
     taken = np.zeros(n, int)
     index, dist = np.repeat(np.arange(n)[:, None], k, axis=1), np.zeros((n, k))
@@ -486,17 +541,44 @@ def balance(candidates: np.ndarray, distances: np.ndarray, k: int, most: int) ->
     return index, dist
 
 
-def balanced_knn(spark: SparkSession, sight: DataFrame, k: int, most: int) -> DataFrame:
-    """(src, dst, d) from a sight graph (src, dst, d, rank). The pass over nodes is sequential by definition: it takes one task, on ids and distances only."""
+#: Candidates up to which the balancing pass runs in one task, as the plain loop that it is.
+BALANCE_ROWS = 2_000_000
+
+
+def balanced_knn(spark: SparkSession, sight: DataFrame, k: int, most: int, rows_in_one: int = BALANCE_ROWS) -> DataFrame:
+    """(src, dst, d) from a sight graph (src, dst, d, rank): in order of falling in-degree (ties: higher id first) nodes take up to ``k`` candidates that have fewer than ``most`` takers.
+
+    The order is one for all, so the outcome is that of proposals with deferred acceptance: each node
+    asks its first ``k`` candidates that haven't refused it, each candidate keeps the ``most`` first
+    nodes that ask, and refusals are final. Large tables are balanced by rounds of that, small ones
+    by the loop itself, with the same result.
+    """
+    from cellgrid.sources.tables import staged
+
+    sight = staged(sight.select("src", "dst", "d", F.col("rank").cast("long").alias("rank")), "sight")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["src", "rank"])
-        ids, counts = np.unique(frame["src"], return_counts=True)
-        width = int(counts.max())
+        ids, counts = np.unique(np.concatenate([frame["src"], frame["dst"]]), return_counts=True)
+        width = int(frame.groupby("src").size().max())
         c, d = np.repeat(np.arange(len(ids))[:, None], width, axis=1), np.zeros((len(ids), width))
         row, col = np.searchsorted(ids, frame["src"]), frame.groupby("src").cumcount().to_numpy()
         c[row, col], d[row, col] = np.searchsorted(ids, frame["dst"]), frame["d"]
-        index, dist = balance(c, d, k, most)
+        degree = np.bincount(np.searchsorted(ids, frame["dst"]), minlength=len(ids))
+        index, dist = balance(c, d, k, most, degree)
         return pd.DataFrame({"src": np.repeat(ids, k), "dst": ids[index.ravel()], "d": dist.ravel()})
 
-    return sight.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(one, "src long, dst long, d double").filter("src <> dst")
+    if sight.count() <= rows_in_one:
+        return sight.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(one, "src long, dst long, d double").filter("src <> dst")
+    from pyspark.sql import Window
+
+    degree = sight.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("degree"))
+    asked = staged(sight.filter("src <> dst").join(degree, "src", "left").fillna(0, ["degree"]), "asked")
+    while True:
+        own = Window.partitionBy("src").orderBy("rank")
+        takers = Window.partitionBy("dst").orderBy(F.col("degree").desc(), F.col("src").desc())
+        proposals = asked.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= k)
+        refused = staged(proposals.withColumn("_p", F.row_number().over(takers)).filter(F.col("_p") > most).select("src", "dst"), "refused")
+        if refused.isEmpty():
+            return proposals.select("src", "dst", "d")
+        asked = staged(asked.join(refused, ["src", "dst"], "left_anti"), "asked")

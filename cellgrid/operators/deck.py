@@ -92,13 +92,19 @@ class Card:
 
 
 class Deck:
-    """Cards loaded from ``Root.yaml``, ``X.yaml``, ``X_Y.yaml`` …, and views from a folder beside them."""
+    """Cards loaded from ``Root.yaml``, ``X.yaml``, ``X_Y.yaml`` …, and views from a folder ``views`` beside them.
 
-    def __init__(self, folder: str):
-        self.root = self._load(Path(folder), "Root", None)
+    ``source`` is a folder of this machine, or the texts of its files by their paths below it.
+    """
+
+    def __init__(self, source: str | Path | dict[str, str]):
+        files = source if isinstance(source, dict) else {p.relative_to(source).as_posix(): p.read_text() for p in sorted(Path(source).rglob("*.yaml"))}
+        if "Root.yaml" not in files:
+            raise FileNotFoundError(f"{'the deck' if isinstance(source, dict) else source} has no Root.yaml")
+        self.root = self._load(files, "Root", None)
         self.cards: dict[str, Card] = {}
-        self._register(self.root, Path(folder))
-        self.views = {p.stem: self._view(p) for p in sorted(Path(folder, "views").glob("*.yaml"))}
+        self._register(self.root, files)
+        self.views = {name[6:-5]: self._view(name[6:-5], files[name]) for name in sorted(files) if name.startswith("views/")}
         for name in self.views:
             if name in self.subsets():
                 raise ValueError(f"view {name} has the name of a subset")
@@ -107,8 +113,8 @@ class Deck:
                 raise ValueError("the Root card can't have onlyif")
 
     @staticmethod
-    def _load(folder: Path, name: str, parent: Card | None) -> Card:
-        spec = yaml.safe_load((folder / f"{name}.yaml").read_text()) or {}
+    def _load(files: dict[str, str], name: str, parent: Card | None) -> Card:
+        spec = yaml.safe_load(files[f"{name}.yaml"]) or {}
         subsets = {}
         for key, body in spec.items():
             if not NAME.match(str(key)) or key == "Pool":
@@ -116,18 +122,18 @@ class Deck:
             subsets[key] = Subset(key, **{k: v for k, v in (body or {}).items() if v is not None}, card=name)
         return Card(name, subsets, parent)
 
-    def _register(self, card: Card, folder: Path) -> None:
+    def _register(self, card: Card, files: dict[str, str]) -> None:
         self.cards[card.name] = card
         for subset in card.subsets.values():
-            if (folder / f"{subset.longname}.yaml").exists():
-                self._register(self._load(folder, subset.longname, card), folder)
+            if f"{subset.longname}.yaml" in files:
+                self._register(self._load(files, subset.longname, card), files)
 
     @staticmethod
-    def _view(path: Path) -> View:
-        body = yaml.safe_load(path.read_text()) or {}
+    def _view(name: str, text: str) -> View:
+        body = yaml.safe_load(text) or {}
         if not body.get("sources"):
-            raise ValueError(f"view {path.stem} has no sources")
-        return View(path.stem, **{k: v for k, v in body.items() if v is not None})
+            raise ValueError(f"view {name} has no sources")
+        return View(name, **{k: v for k, v in body.items() if v is not None})
 
     def subsets(self) -> dict[str, Subset]:
         return {s.longname: s for c in self.cards.values() for s in c.subsets.values()}
@@ -203,6 +209,18 @@ def split_name(i: int) -> str:
     return chr(65 + i % 26) * (1 + i // 26)
 
 
-def emit_card(groups: list[list[str]], cpus: int, memory: int) -> str:
-    """The YAML of a card that divides clusters into the given groups."""
-    return yaml.safe_dump({split_name(i): {"include": g, "onlyif": None, "execution": {"n_cpus": cpus, "memory": memory}} for i, g in enumerate(groups)}, sort_keys=False)
+#: Processors asked for by the number of cells: that of the nearest anchor. Fixed values.
+CPU_ANCHORS = ((100, 1), (1_000, 3), (10_000, 7), (100_000, 14), (500_000, 28), (1_000_000, 28), (2_000_000, 56))
+
+
+def cpus_for(cells: int) -> int:
+    return min(CPU_ANCHORS, key=lambda a: (abs(a[0] - cells), a[1]))[1]
+
+
+def emit_card(parts: list[tuple[int, int]], memory: int) -> str:
+    """The YAML of a card that divides cells by their attribute ``split``: for each (value, cells) a subset with the processors and memory that it needs."""
+    spec = {}
+    for i, (value, cells) in enumerate(parts):
+        n_cpus = cpus_for(cells)
+        spec[split_name(i)] = {"include": [], "onlyif": f"split == {value}", "execution": {"n_cpus": n_cpus, "memory": 750 if n_cpus == 56 else memory}}
+    return yaml.safe_dump(spec, sort_keys=False)

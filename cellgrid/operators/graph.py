@@ -122,6 +122,21 @@ def near_neighbours(points: DataFrame, k: int, exact_up_to: int = 20_000) -> Dat
     return exact_knn(points, points, k) if points.count() <= exact_up_to else approximate_knn(points, points, k)
 
 
+def js_neighbours(points: DataFrame, k: int, wider: int = 3) -> DataFrame:
+    """(src, dst, d, rank): near points by Jensen-Shannon distance of share vectors.
+
+    The roots of shares have Euclidean distances that bound it closely, so ``wider`` times as many
+    are searched by those and ranked by the distance itself.
+    """
+    n = points.count()
+    roots = points.select("id", F.transform("v", F.sqrt).alias("v"))
+    near = near_neighbours(roots, max(1, min(wider * k, n - 1))).select("src", "dst")
+    side = lambda e, v: points.select(F.col("id").alias(e), F.col("v").alias(v))
+    met = near.join(side("src", "p"), "src").join(side("dst", "q"), "dst").select("src", "dst", F.sqrt(F.greatest(jensen_shannon("p", "q"), F.lit(0.0))).alias("d"))
+    order = Window.partitionBy("src").orderBy(F.round("d", 9), "dst")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def mutual(edges: DataFrame, value: str = "d") -> DataFrame:
     """Edges that exist both ways, with the lesser value."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(value).alias("back"))
@@ -259,7 +274,7 @@ def _sum(a: str, b: str, f) -> Column:
     return F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
 
 
-def _shares(a: str) -> Column:
+def shares(a: str) -> Column:
     total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return F.transform(a, lambda x: x / total)
 

@@ -66,6 +66,23 @@ def sample_gate(cells: DataFrame, good: Column, min_fraction: float) -> DataFram
     return share.withColumn("kept", F.col("n_good") / F.col("n") > min_fraction)
 
 
+def qc_report(m: CellMatrix, params: dict, mito: tuple[str, ...] = ("MT", "chrM")) -> DataFrame:
+    """(sample, n, mean_umi, passed, status): samples pass by their mean total; a warning says that too few cells are within a limit."""
+    quality = m.cells.join(cell_totals(m.entries).select("cell", "total"), "cell", "left").fillna(0.0, ["total"]).withColumn("mt", F.lit(1)).withColumn("us", F.lit(1))
+    if "chromosome" in m.genes.columns:
+        ratio = category_ratio(m, mito).select("cell", (F.col("ratio") < params["max_fraction_MT_genes"]).cast("int").alias("mt"))
+        quality = quality.drop("mt").join(ratio, "cell", "left").fillna(1, ["mt"])
+    if "unspliced" in m.entries.columns:
+        ratio = layer_ratio(m.entries, "unspliced").select("cell", (F.col("ratio") > params["min_fraction_unspliced_reads"]).cast("int").alias("us"))
+        quality = quality.drop("us").join(ratio, "cell", "left").fillna(0, ["us"])
+    if "sample" not in quality.columns:
+        quality = quality.withColumn("sample", F.lit("all"))
+    per = quality.groupBy("sample").agg(F.count("*").alias("n"), F.avg("total").alias("mean_umi"), F.avg("mt").alias("mt"), F.avg("us").alias("us"))
+    least, passed = 1 - params["min_fraction_good_cells"], F.col("mean_umi") >= params["min_umis"]
+    status = F.when(~passed, "failed").when(F.col("mt") < least, "warn mitochondrial").when(F.col("us") < least, "warn unspliced").otherwise("passed")
+    return per.select("sample", "n", "mean_umi", passed.alias("passed"), status.alias("status"))
+
+
 def normalized(m: CellMatrix) -> DataFrame:
     """entries with v = log2(x / total * median total + 1); zeros stay 0, so they need no row."""
     totals = cell_totals(m.entries)

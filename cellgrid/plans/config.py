@@ -38,9 +38,21 @@ def load_config(build: str | None = None, subset=None, home: str | None = None)
             path = Path(folder, name) if folder else None
             if path and path.is_file():
                 config = merged(config, yaml.safe_load(path.read_text()) or {})
-    if subset is not None:
-        own = {"params": subset.params, "execution": subset.execution}
-        config = merged(config, {k: v for k, v in own.items() if v})
-        if subset.steps:
-            config = {**config, "steps": list(subset.steps)}
-    return config
+    return with_subset(config, subset)
+
+
+def with_subset(config: dict, subset) -> dict:
+    """A configuration with a subset's own parameters, execution and steps on top."""
+    if subset is None:
+        return config
+    own = {"params": subset.params, "execution": subset.execution}
+    config = merged(config, {k: v for k, v in own.items() if v})
+    return {**config, "steps": list(subset.steps)} if subset.steps else config
+
+
+def flat(config: dict, path: str = "") -> list[tuple[str, str]]:
+    """(name, value) of every setting, nested names joined by dots, values as YAML."""
+    out = []
+    for key, value in config.items():
+        out += flat(value, f"{path}{key}.") if isinstance(value, dict) else [(f"{path}{key}", yaml.safe_dump(value, default_flow_style=True).split("\n...")[0].strip())]
+    return out

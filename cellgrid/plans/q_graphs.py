@@ -179,7 +179,7 @@ def profile_pairs(spark: SparkSession, sf_dir: str, counts: bool = False) -> Dat
     value = F.floor(F.col("s") * 3).cast("double") if counts else F.col("s")
     p = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("s")))), lambda x: x["s"]).alias("v"))
     if not counts:
-        p = p.withColumn("v", g._shares("v"))
+        p = p.withColumn("v", g.shares("v"))
     return p.select(F.col("label").alias("a"), F.col("v").alias("p")).join(p.select(F.col("label").alias("b"), F.col("v").alias("q"))).filter("a < b")
 
 
@@ -228,7 +228,7 @@ def mad_outlier(spark, sf_dir):
 
 @query("factor_norm", "D09", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding, lambda y: abs(y::DOUBLE)))) [1:8]), 6) AS head FROM embeddings")
 def factor_norm(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumn("a", F.transform("v", F.abs)).withColumn("a", g._shares("a"))
+    v = vectors(spark, sf_dir).withColumn("a", F.transform("v", F.abs)).withColumn("a", g.shares("a"))
     return v.select(F.col("id").alias("vec_id"), r6(F.aggregate(F.slice("a", 1, 8), F.lit(0.0), lambda s, x: s + x)).alias("head"))
 
 

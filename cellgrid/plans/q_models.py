@@ -174,8 +174,8 @@ def paris_split(spark, sf_dir):
 def doublet_query(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
     e = brand_matrix(spark, sf_dir).select("cell", "gene", "x")
-    scores = doublets.doublet_scores(e, e.select("cell").distinct(), k_components=5)
-    flag = doublets.threshold(scores, m.cells.count())
+    scores, made = doublets.scores_of(e, e.select("cell").distinct())
+    flag = doublets.flag_threshold(scores, made, m.cells.count())
     return scores.select("cell", r6(F.col("score"), 4).alias("score"), (F.col("score") >= flag).cast("int").alias("flag"))
 
 

@@ -70,6 +70,18 @@ def open_matrix(spark: SparkSession, path: str) -> CellMatrix:
     return CellMatrix(*(spark.read.parquet(f"{path}/{part}") for part in ("cells", "genes", "entries")))
 
 
+def bundle_of_files(spark: SparkSession, matrix: str, cells: str, genes: str) -> CellMatrix:
+    """A matrix of a MatrixMarket file (genes by cells, from 1) and tab-separated attributes, a header line first, in the order of its rows and columns."""
+    from cellgrid.sources.formats import matrix_market
+
+    def attributes(path: str, key: str) -> DataFrame:
+        rows = spark.read.csv(path, sep="\t", header=True, inferSchema=True)
+        return rows if key in rows.columns else rows.select(F.monotonically_increasing_id().alias(key), "*")
+
+    entries = matrix_market(spark, matrix).select(F.col("j").alias("cell"), F.col("i").alias("gene"), F.col("v").alias("x")).filter("x <> 0")
+    return CellMatrix(attributes(cells, "cell"), attributes(genes, "gene"), entries)
+
+
 def gene_subset(m: CellMatrix, genes: DataFrame) -> DataFrame:
     """Entries of the given genes only."""
     return m.entries.join(genes.select("gene"), "gene", "left_semi")

@@ -68,7 +68,8 @@ def test_pool_offsets(spark):
 
 def test_split_names_and_cards():
     assert [deck.split_name(i) for i in (0, 25, 26, 53)] == ["A", "Z", "AA", "BBB"]
-    assert "include" in deck.emit_card([["1", "2"], ["3"]], 7, 128)
+    card = deck.yaml.safe_load(deck.emit_card([(0, 90), (1, 1_900_000)], 128))
+    assert card == {"A": {"include": [], "onlyif": "split == 0", "execution": {"n_cpus": 1, "memory": 128}}, "B": {"include": [], "onlyif": "split == 1", "execution": {"n_cpus": 56, "memory": 750}}}
 
 
 def test_config_layers(tmp_path):
