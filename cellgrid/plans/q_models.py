@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +12,6 @@ from cellgrid.operators import cluster, doublets, embed, factor, graph, qc
 from cellgrid.plans.q_graphs import KNN, folder, knn, vectors
 from cellgrid.plans.registry import query
 from cellgrid.sources.tables import order_matrix, staged, table
-from cellgrid.streaming import totals
 
 
 def brand_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,18 +255,3 @@ def pull_to_levels(spark, sf_dir):
 def second_pass_doublets(spark, sf_dir):
     flags = vectors(spark, sf_dir).select("id", (F.col("label") == 3).cast("int").alias("flag"))
     return doublets.second_pass(knn(spark, sf_dir), flags, 0.3)
-
-
-@query("stream_totals", "2.11", "SELECT date_trunc('day', ts) AS start, user_id, round(sum(value), 4) AS total, count(*)::BIGINT AS n FROM events GROUP BY ALL")
-def stream_totals(spark, sf_dir):
-    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "events").write.parquet(f"{path}/in")
-    done = totals.run_to_table(totals.windowed_totals(totals.read_events(spark, f"{path}/in")), f"totals_{uuid.uuid4().hex}", f"{path}/state")
-    return done.select("start", "user_id", r6(F.col("total"), 4).alias("total"), "n")
-
-
-@query("session_counts", "2.11")
-def session_counts(spark, sf_dir):
-    return totals.sessions(totals.once(table(spark, sf_dir, "events")), "2 hours").select("start", "user_id", "n")
-
-

@@ -41,4 +41,4 @@ def query(name: str, covers: str = "", sql: str | None = None, matrix: bool = Fa
 
 def load() -> None:
     """Import the modules that register queries."""
-    from cellgrid.plans import q_aggregates, q_graphs, q_matrix, q_models, q_relational, q_sources, q_statistics, q_views  # noqa: F401
+    from cellgrid.plans import q_aggregates, q_graphs, q_matrix, q_models, q_relational, q_sources, q_statistics, q_streams, q_views, q_workflow  # noqa: F401

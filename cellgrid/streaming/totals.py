@@ -28,8 +28,24 @@ def once(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there, and return the resulting table."""
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there into a table below ``path``, and return it.
+
+    Without ``keys`` rows are appended when they are final: windows and sessions once the watermark
+    has passed them, and their state is dropped. With ``keys`` every batch writes the rows that it
+    changed, into a folder of its number, so that a batch that is run again replaces itself; the
+    table has each key's latest row. Nothing is gathered on the driver.
+    """
+    if keys is None:
+        writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+    else:
+        writer = stream.writeStream.outputMode("update").foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}"))
+    running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if keys is None:
+        return spark.read.schema(stream.schema).parquet(path)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    values = [c for c in stream.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("row"))
+    return latest.select(*keys, *[F.col("row")[c].alias(c) for c in values]).select(*stream.columns)

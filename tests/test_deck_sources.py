@@ -117,7 +117,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [(k, f"2024-01-0{1 + k % 3} 0{k % 9}:00:00", k % 4, "ab"[k % 2], float(k), "{}") for k in range(40)]
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts"))
     events.write.parquet(str(tmp_path / "in"))
-    stream = totals.run_to_table(totals.windowed_totals(totals.read_events(spark, str(tmp_path / "in"))), "t_stream", str(tmp_path / "state"))
+    stream = totals.run_to_table(totals.windowed_totals(totals.read_events(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"), ["start", "user_id"])
     batch = totals.windowed_totals(events)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
 
