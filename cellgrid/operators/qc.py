@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from cellgrid.model import CellMatrix, div0, scalar
 
 HASH_RANGE = 2147483647
+#: Distinct cell totals up to which they are sent to every task (16 MB).
+MOST_LEVELS = 1_000_000
 
 
 def cell_totals(entries: DataFrame) -> DataFrame:
@@ -126,15 +128,34 @@ def deviance(m: CellMatrix, theta: float = 100.0) -> DataFrame:
     """Population variance of each gene's Pearson residuals over all cells, zeros included.
 
     A zero's residual depends only on its cell's and gene's totals. So the sum over all cells is
-    taken over the distinct cell totals, weighted by their cells, and corrected at the nonzero
-    entries; no grid of genes by cells is made. Cells without entries have residual 0.
+    taken over the distinct cell totals, weighted by their cells, once for each distinct gene total,
+    and corrected at the nonzero entries; no grid of genes by cells is made. Up to ``MOST_LEVELS``
+    distinct cell totals are sent to the tasks, more are joined. Cells without entries have residual 0.
     """
     zero = lambda e: -e / F.sqrt(e + e * e / theta)
     genes = m.entries.groupBy("gene").agg(F.sum("x").alias("gene_total"))
     levels = cell_totals(m.entries).groupBy("total").agg(F.count("*").alias("n_at"))
     grand = m.entries.agg(F.sum("x").alias("grand"))
-    grid = scalar(genes.crossJoin(levels), grand).withColumn("z", zero(F.col("total") * F.col("gene_total") / F.col("grand")))
-    at_zero = grid.groupBy("gene").agg(F.sum(F.col("z") * F.col("n_at")).alias("z1"), F.sum(F.col("z") * F.col("z") * F.col("n_at")).alias("z2"))
+    sums = genes.select("gene_total").distinct()
+    sent = levels.limit(MOST_LEVELS + 1).toPandas()
+    if len(sent) <= MOST_LEVELS:
+        total, n_at, all_ = sent["total"].to_numpy(float), sent["n_at"].to_numpy(float), float((sent["total"] * sent["n_at"]).sum())
+
+        def zeros(frames):
+            for frame in frames:
+                z1, z2 = np.zeros(len(frame)), np.zeros(len(frame))
+                for k, gene_total in enumerate(frame["gene_total"].to_numpy(float)):
+                    e = total * gene_total / all_
+                    z = np.divide(-e, np.sqrt(e + e * e / theta), out=np.zeros_like(e), where=e > 0)
+                    z1[k], z2[k] = (z * n_at).sum(), (z * z * n_at).sum()
+                yield frame.assign(z1=z1, z2=z2)
+
+        kind = sums.schema["gene_total"].dataType.simpleString()
+        at = sums.mapInPandas(zeros, f"gene_total {kind}, z1 double, z2 double")
+    else:
+        grid = scalar(sums.crossJoin(levels), grand).withColumn("z", zero(F.col("total") * F.col("gene_total") / F.col("grand")))
+        at = grid.groupBy("gene_total").agg(F.sum(F.col("z") * F.col("n_at")).alias("z1"), F.sum(F.col("z") * F.col("z") * F.col("n_at")).alias("z2"))
+    at_zero = genes.join(at, "gene_total").select("gene", "z1", "z2")
     r = residuals(m, theta).withColumn("z", zero(F.col("e")))
     found = r.groupBy("gene").agg(F.sum(F.col("r") - F.col("z")).alias("d1"), F.sum(F.col("r") * F.col("r") - F.col("z") * F.col("z")).alias("d2"))
     both = scalar(at_zero.join(found, "gene"), m.n_cells())

@@ -25,7 +25,7 @@ def rows(frame, columns):
     return sorted((tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False, name=None)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["cell_totals", "valid_genes", "sample_gate", "gene_mean_sd", "deviance_top", "enrichment", "top_markers", "ranksum_u", "tag_posterior", "first_match_subset", "pool_offset_union", "skeleton", "components", "combine_samples"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
