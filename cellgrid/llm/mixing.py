@@ -5,7 +5,8 @@
 2. The key's range is cut into as many equal slices as the source needs to hold about
    ``SLICE_ROWS`` documents each. A slice is a range partition of the source's sorted order, so a
    source with a third of all rows is spread over many tasks.
-3. Prefix sums of the sizes: slice totals are summed along each source, rows along each slice.
+3. Prefix sums of the sizes on three levels: rows along each slice, slices along each block of
+   ``SLICE_BLOCK`` slices, and blocks along each source.
 4. A source's target is its share by weight, but at most ``epochs`` times its size; what it
    cannot take goes to the others by weight. Whole epochs repeat every document; the rest of the
    budget takes the documents, in key order, up to the one whose middle passes the budget.
@@ -27,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = "mix-1"
 SLICE_ROWS = 2_000
+#: Slices whose totals are summed in one task.
+SLICE_BLOCK = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,10 +97,17 @@ def mix(
     position = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     keyed = keyed.withColumn("slice", F.floor(position * F.col("slices") / F.lit(2**32)).cast("long"))
     slices = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    # One row per slice, SLICE_ROWS times fewer than documents.
-    offsets = slices.select(
-        F.col("source").alias("slice_source"), F.col("slice").alias("slice_no"),
-        (F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")).alias("offset"),
+    # One row per slice, SLICE_ROWS times fewer than documents; they are summed in blocks, and blocks along the source.
+    slices = slices.withColumn("block", F.floor(F.col("slice") / SLICE_BLOCK).cast("long"))
+    blocks = slices.groupBy("source", "block").agg(F.sum("slice_size").alias("block_size"))
+    blocks = blocks.select(
+        F.col("source").alias("block_source"), F.col("block").alias("block_no"),
+        (F.sum("block_size").over(Window.partitionBy("source").orderBy("block")) - F.col("block_size")).alias("block_offset"),
+    )
+    inside = F.sum("slice_size").over(Window.partitionBy("source", "block").orderBy("slice")) - F.col("slice_size")
+    offsets = (
+        slices.withColumn("inside", inside).join(blocks, F.col("source").eqNullSafe(F.col("block_source")) & (F.col("block") == F.col("block_no")))
+        .select(F.col("source").alias("slice_source"), F.col("slice").alias("slice_no"), (F.col("block_offset") + F.col("inside")).alias("offset"))
     )
     within = Window.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
