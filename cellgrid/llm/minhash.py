@@ -137,18 +137,21 @@ def differing_bits(a: str, b: str) -> Column:
 
 
 def _with_sketches(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose bitmaps and sizes allow the threshold, with ``off``, the bits in which they differ."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("off", differing_bits("sa", "sb"))
+    """Pairs (a, b), given by the places (pa, pb) of their nodes, whose bitmaps and sizes allow the threshold, with ``off``, the bits in which they differ."""
+    side = lambda x: nodes.select(F.col("place").alias(f"p{x}"), F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+    met = pairs.join(side("a"), "pa").join(side("b"), "pb").filter("a <> b").withColumn("off", differing_bits("sa", "sb"))
     near = (F.col("off") <= most_bits(least)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     return met.filter(near).select("a", "b", "na", "nb", "off")
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """(no, band, node, n_shingles, lead) of every bucket with two nodes or more; lead is the least node by hash."""
-    order = F.xxhash64("node")
-    leaders = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), F.col("node"))).alias("lead")).filter("n > 1")
-    return bands.join(leaders.select("band", F.col("lead.node").alias("lead")), "band")
+    """(no, band, place, lead) of every bucket with two nodes or more; lead is the least of its places.
+
+    Rows are 64-bit numbers only, as each node has one for each of its bands. A place is a hash of
+    the node: should two nodes have one place, both stand for it from here on, which only adds candidates.
+    """
+    leaders = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("place").alias("lead")).filter("n > 1").select("band", "lead")
+    return bands.join(leaders, "band")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -169,7 +172,8 @@ def rest_blocks(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: f
     each block meets every block of the bucket (side 1). A row of side 0 has the places of the near
     nodes of side 1 in the same pair of blocks. A pair is looked at in the first bucket it shares.
     """
-    known = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = shared.join(nodes.select("place", "node", "n_shingles"), "place").drop("place", "lead")
+    known = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = known.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     several = per.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "comp")).alias("top")).filter("comps > 1")
     count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
@@ -259,10 +263,11 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
         ),
         "nodes",
     )
-    shared = staged(shared_buckets(nodes.select("node", "n_shingles", F.posexplode("bands").alias("no", "band"))), "buckets")
-    stars = shared.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    nodes = nodes.withColumn("place", F.xxhash64("node"))
+    shared = staged(shared_buckets(nodes.select("place", F.posexplode("bands").alias("no", "band"))), "buckets")
+    stars = shared.filter("place <> lead").select(F.col("place").alias("pa"), F.col("lead").alias("pb")).distinct()
     candidates = staged(_with_sketches(stars, nodes, least), "candidates")
-    sets = _sets_of(documents, nodes, shared.select("node").distinct(), width, id_col, text_col)
+    sets = _sets_of(documents, prints, nodes, shared.select("place").distinct(), width, id_col, text_col)
     edges = staged(confirmed(candidates, sets, percent), "links")
     labels = staged(connected_components(edges), "labels")
     more = staged(rest_links(rest_blocks(shared, labels, nodes, least), sets, percent), "links")
@@ -273,12 +278,16 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     return _labelled(short, of.join(least_of, "comp").select("node", "comp", "component_id"))
 
 
-def _sets_of(documents: DataFrame, nodes: DataFrame, ends: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Full sets of the given nodes, from the texts of their documents with the least id."""
-    wanted = staged(nodes.join(ends, "node", "left_semi").select("node", "least_id"), "wanted")
+def _sets_of(documents: DataFrame, prints: DataFrame, nodes: DataFrame, places: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Full sets of the nodes at the given places, from the texts of their documents with the least id."""
+    wanted = staged(nodes.join(places, "place", "left_semi").select("node", "least_id"), "wanted")
+    ids = wanted.select("least_id").distinct()
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    return staged(shingle_sets(texts, width, "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = shingle_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi"), width, "text")
+    rows = prints.select("doc_id").join(ids, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi").count()
+    if rows == wanted.count() and wanted.filter("least_id IS NULL").isEmpty() and ids.count() == rows:
+        return staged(sets, "sets")  # every wanted id is one row, that of its node
+    return staged(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _labelled(rows: DataFrame, ids: DataFrame) -> DataFrame:

@@ -121,3 +121,13 @@ def test_components(spark, edges):
             if a != b:
                 want[a] = want[b] = min(want[a], want[b])
     assert found == want
+
+
+def test_given_documents_equal_brute_force(spark):
+    """No link is lost on the given tables: components of all pairs, by full sets."""
+    from cellgrid.llm.common import table
+
+    documents = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    want = sorted(brute([(r.doc_id, r.text) for r in documents.collect()]))
+    found = got(documents)
+    assert found == want and len({c for *_, c in found}) < len(found)
