@@ -24,7 +24,7 @@ def by_label(m: CellMatrix, label: str, value: str = "x") -> DataFrame:
     grid = genes.crossJoin(F.broadcast(labels)).select("gene", "found", F.explode("labels").alias("cluster"))
     at = F.col("found")[F.col("cluster")]
     filled = grid.select("gene", "cluster", F.coalesce(at["s"], F.lit(0.0)).alias("s"), F.coalesce(at["nnz"], F.lit(0)).cast("long").alias("nnz"))
-    return filled.join(F.broadcast(sizes), "cluster")
+    return filled.join(sizes, "cluster")
 
 
 def label_means(m: CellMatrix, label: str) -> DataFrame:

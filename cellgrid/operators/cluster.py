@@ -51,6 +51,69 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution:
         member = np.unique(label, return_inverse=True)[1][member]
 
 
+def leiden(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0, most_levels: int = 20) -> np.ndarray:
+    """Communities by local moves, each then refined from single nodes inside it, so that what is aggregated, and every community at the end, is connected.
+
+    A level moves the nodes of the aggregate graph, refines every community by merging single nodes
+    with parts of the same community that they gain from, and aggregates the parts; the moves of the
+    next level start from the communities found.
+    """
+    member, label = np.arange(n), np.arange(n)  # the part of each node, and the community of each part
+    rng = np.random.default_rng(seed)
+    for _ in range(most_levels):
+        size = int(member.max()) + 1 if n else 0
+        near: list[dict[int, float]] = [{} for _ in range(size)]
+        for i, j, x in zip(member[src].tolist(), member[dst].tolist(), w.tolist(), strict=True):
+            near[i][j] = near[i].get(j, 0.0) + x
+            near[j][i] = near[j].get(i, 0.0) + x
+        degree = np.array([sum(d.values()) for d in near])
+        total = degree.sum()
+        if not total:
+            break
+
+        def moved(start: np.ndarray, inside: np.ndarray | None) -> np.ndarray:
+            """Local moves from ``start``; with ``inside``, single nodes only, and only to parts of their own community."""
+            at, mass, count = start.copy(), np.bincount(start, degree, size), np.bincount(start, minlength=size)  # noqa: B023
+            changed = True
+            while changed:
+                changed = False
+                for i in rng.permutation(size).tolist():  # noqa: B023
+                    if inside is not None and count[at[i]] > 1:
+                        continue
+                    to: dict[int, float] = {}
+                    for j, x in near[i].items():  # noqa: B023
+                        if j != i and (inside is None or inside[j] == inside[i]):
+                            to[at[j]] = to.get(at[j], 0.0) + x
+                    own = at[i]
+                    mass[own] -= degree[i]  # noqa: B023
+                    gain = lambda c: to.get(c, 0.0) - resolution * degree[i] * mass[c] / total  # noqa: B023, E731
+                    best = max(sorted(to), key=gain, default=own)
+                    if gain(best) <= gain(own) + 1e-12:
+                        best = own
+                    else:
+                        changed = True
+                        count[own] -= 1
+                        count[best] += 1
+                    mass[best] += degree[i]  # noqa: B023
+                    at[i] = best
+                if inside is not None:
+                    break
+            return at
+
+        label = np.unique(moved(label, None), return_inverse=True)[1]
+        parts = np.unique(moved(np.arange(size), label), return_inverse=True)[1]
+        if len(np.unique(label)) == size:
+            break
+        first = np.zeros(int(parts.max()) + 1, int)
+        first[parts] = label  # a part lies in one community
+        member = parts[member]
+        if int(parts.max()) + 1 == size:
+            label = first
+            break
+        label = first
+    return np.unique(label[member], return_inverse=True)[1] if n else member
+
+
 def modularity(labels: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> float:
     total = 2 * w.sum()
     degree = np.bincount(src, w, len(labels)) + np.bincount(dst, w, len(labels))
@@ -163,8 +226,8 @@ def communities(nodes: DataFrame, edges: DataFrame, weight: str = "w", resolutio
         ids, flat = np.unique(np.concatenate([frame["src"], frame["dst"]]), return_inverse=True)
         half = len(frame)
         ends = flat[:half], flat[half:], frame["w"].to_numpy()
-        label = surprise_communities(len(ids), *ends) if method == "surprise" else louvain(len(ids), *ends, resolution)
-        return pd.DataFrame({"label": ids, "to": ids[label if label.max(initial=0) < len(ids) else 0]})
+        label = surprise_communities(len(ids), *ends) if method == "surprise" else (leiden if method == "leiden" else louvain)(len(ids), *ends, resolution)
+        return pd.DataFrame({"label": ids, "to": ids[np.unique(label, return_inverse=True)[1]]})
 
     if size <= search_edges:  # one task, of a bounded graph
         found = level.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(search, "label long, to long")
@@ -251,7 +314,7 @@ def break_clusters(points: DataFrame, least: int = 10) -> DataFrame:
 
     parts = points.select("id", "label", "x", "y").groupBy("label").applyInPandas(one, "id long, label long, part long")
     names = parts.filter("label >= 0 AND part >= 0").select("label", "part").distinct().withColumn("new", F.row_number().over(_order("label", "part")) - 1)
-    return parts.join(F.broadcast(names), ["label", "part"], "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
+    return parts.join(names, ["label", "part"], "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
 
 
 def polish(labels: DataFrame, edges: DataFrame, min_cells: int, least_agree: float = 0.2, plane: DataFrame | None = None, folder: str = "") -> DataFrame:
@@ -278,11 +341,11 @@ def polish(labels: DataFrame, edges: DataFrame, min_cells: int, least_agree: flo
     voted = vote(edges, now.filter("label >= 0")).select(F.col("src").alias("id"), F.col("label").alias("voted"))
     now = now.join(voted, "id", "left").select("id", F.coalesce("voted", "label").alias("label"))
     sizes = now.groupBy("label").agg(F.count("*").alias("n"))
-    now = now.join(F.broadcast(sizes), "label").select("id", F.when(F.col("n") < min_cells, -1).otherwise(F.col("label")).alias("label"))
+    now = now.join(sizes, "label").select("id", F.when(F.col("n") < min_cells, -1).otherwise(F.col("label")).alias("label"))
     again = vote(edges, now.filter("label >= 0")).select(F.col("src").alias("id"), F.col("label").alias("voted"))
     now = now.join(again, "id", "left").select("id", F.when(F.col("label") < 0, F.coalesce("voted", F.lit(-1))).otherwise(F.col("label")).alias("label"))
     ids = now.filter("label >= 0").select("label").distinct().withColumn("new", F.row_number().over(_order("label")) - 1)
-    return now.join(F.broadcast(ids), "label", "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
+    return now.join(ids, "label", "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
 
 
 def linkage(distance: np.ndarray) -> np.ndarray:
@@ -419,7 +482,7 @@ def reassigned(labels: DataFrame, points: DataFrame, min_cells: int) -> DataFram
 
     sizes = labels.filter("label >= 0").groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= min_cells)
     names = sizes.withColumn("new", F.row_number().over(_order("label")) - 1).select("label", "new")
-    now = labels.join(F.broadcast(names), "label", "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
+    now = labels.join(names, "label", "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("label"))
     fixed, free = now.filter("label >= 0"), now.filter("label < 0")
     near = exact_knn(points.join(fixed, "id", "left_semi"), points.join(free, "id", "left_semi"), 1)
     taken = near.join(fixed.select(F.col("id").alias("dst"), F.col("label").alias("taken")), "dst").select(F.col("src").alias("id"), "taken")
@@ -462,7 +525,7 @@ def split(labels: DataFrame, edges: DataFrame, method: str, tree: tuple[list, np
 
     def parted(of: dict) -> DataFrame:
         table = labels.sparkSession.createDataFrame([(int(k), int(v)) for k, v in of.items()], "label long, part long")
-        return labels.filter("label >= 0").join(F.broadcast(table), "label").select("id", F.col("part").alias("label"))
+        return labels.filter("label >= 0").join(table, "label").select("id", F.col("part").alias("label"))
 
     if method == "cluster":
         return parted({c: c for c in names})
@@ -511,7 +574,7 @@ def merged(m, labels: DataFrame, plane: DataFrame, threshold: int = 1, **limits)
     now, to = labels.filter("label >= 0"), {}
     while True:
         table = labels.sparkSession.createDataFrame([(int(k), int(v)) for k, v in to.items()], "label long, new long")
-        own = now.join(F.broadcast(table), "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+        own = now.join(table, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
         cells = m.cells.drop("clusters").join(own.select(F.col("id").alias("cell"), F.col("label").alias("clusters")), "cell")
         found = next_merge(CellMatrix(cells, m.genes, m.entries), "clusters", own.join(plane, "id").withColumnRenamed("label", "cluster"), threshold, **limits)
         if found is None:
@@ -519,7 +582,7 @@ def merged(m, labels: DataFrame, plane: DataFrame, threshold: int = 1, **limits)
         weak, near, _ = found
         to = {k: near if v == weak else v for k, v in to.items()} | {weak: near}
     ids = own.select("label").distinct().withColumn("new", F.row_number().over(_order("label")) - 1)
-    return own.join(F.broadcast(ids), "label").select("id", F.col("new").cast("long").alias("label"))
+    return own.join(ids, "label").select("id", F.col("new").cast("long").alias("label"))
 
 
 def balance(candidates: np.ndarray, distances: np.ndarray, k: int, most: int, degree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -158,9 +158,11 @@ def residual_pca(entries: DataFrame, totals: DataFrame, k: int, theta: float = 1
 def project(values: DataFrame, cells: DataFrame, parts: Components, value: str = "v") -> DataFrame:
     """(cell, pca): coordinates of every cell, zeros included, by a join with the loadings."""
     k = parts.loadings.shape[1]
+    if not k:
+        return cells.select("cell", F.array().cast("array<double>").alias("pca"))
     table = cells.sparkSession.createDataFrame(pd.DataFrame({"gene": parts.genes, "w": parts.loadings.tolist()}), "gene long, w array<double>")
     shift = parts.mean @ parts.loadings
-    sums = values.join(F.broadcast(table), "gene").groupBy("cell").agg(*[F.sum(F.col(value) * F.col("w")[i]).alias(f"c{i}") for i in range(k)])
+    sums = values.join(table, "gene").groupBy("cell").agg(*[F.sum(F.col(value) * F.col("w")[i]).alias(f"c{i}") for i in range(k)])
     out = cells.select("cell").join(sums, "cell", "left").fillna(0.0)
     return out.select("cell", F.array(*[F.col(f"c{i}") - float(shift[i]) for i in range(k)]).alias("pca"))
 
@@ -178,6 +180,10 @@ def significant(projected: DataFrame, k: int, alpha: float = 0.1) -> list[int]:
     return kept if len(kept) > 1 else [0, 1]
 
 
+#: Entries times factors up to which the Poisson factors are fitted in one task (about 500 MB).
+FACTOR_VALUES = 10_000_000
+
+
 @dataclass
 class PoissonFactors:
     """Shapes and rates of the factors' gamma distributions, as tables (id, shape, rate) of arrays, and the log-likelihoods met."""
@@ -193,10 +199,10 @@ def _shape_rate(ids: DataFrame, k: int, seed: int, shape: float, rate: float) ->
     return ids.select("id", F.array(*[u(j, 1) * shape for j in range(k)]).alias("shape"), F.array(*[u(j, 2) * rate for j in range(k)]).alias("rate"), F.lit(None).cast("double").alias("cap"))
 
 
-def hpf(entries: DataFrame, k: int, folder: str, max_iter: int = 200, min_iter: int = 10, interval: int = 10, epsilon: float = 1e-3, a: float = 0.3, b: float = 0.3, c: float = 0.3, d: float = 0.3, seed: int = 1, beta: DataFrame | None = None) -> PoissonFactors:
+def hpf(entries: DataFrame, k: int, folder: str, max_iter: int = 200, min_iter: int = 10, interval: int = 10, epsilon: float = 1e-3, a: float = 0.3, b: float = 0.3, c: float = 0.3, d: float = 0.3, seed: int = 1, beta: DataFrame | None = None, one_task: int = FACTOR_VALUES) -> PoissonFactors:
     """Hierarchical Poisson factors of the nonzero entries (cell, gene, x) by coordinate ascent.
 
-    Each round joins the entries with the two parameter tables, splits every count over the
+    Up to ``one_task`` entries times factors all rounds run in numpy, in one task. Beyond, each round joins the entries with the two parameter tables, splits every count over the
     factors, and sums by cell and by gene; both tables are written to ``folder`` each round, which
     cuts the lineage. With ``beta`` given, only the cells' side is fitted.
     """
@@ -229,6 +235,8 @@ def hpf(entries: DataFrame, k: int, folder: str, max_iter: int = 200, min_iter:
         return t.withColumn("cap", F.lit(shape / shape) * prior_rate + mean(t, "m"))
 
     likelihood: list[float] = []
+    if entries.count() * k <= one_task:
+        return _hpf_in_one_task(entries, theta, items, kept, beta is None, (a, c, kappa, tau, b / bp, d / dp, bp, dp), (max_iter, min_iter, interval, epsilon))
     log_part = lambda t, n: F.transform(F.arrays_zip(t["shape"], t["rate"]), lambda z: digamma(z["shape"]) - F.log(z["rate"])).alias(n)
     rate_part = lambda t, n: F.transform(F.arrays_zip(t["shape"], t["rate"]), lambda z: z["shape"] / z["rate"]).alias(n)
     for step in range(1, max_iter + 1):
@@ -254,6 +262,54 @@ def hpf(entries: DataFrame, k: int, folder: str, max_iter: int = 200, min_iter:
     return PoissonFactors(theta, items, likelihood)
 
 
+def _np_digamma(x: np.ndarray) -> np.ndarray:
+    """The series of ``stats.digamma``."""
+    y = x + 8
+    return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) - sum(1 / (x + j) for j in range(8))
+
+
+def _hpf_in_one_task(entries: DataFrame, theta: DataFrame, items: DataFrame, kept, both: bool, prior: tuple, ends: tuple) -> PoissonFactors:
+    """The same rounds on a table of bounded size: it goes to one task together with the starting values."""
+    a, c, kappa, tau, cell_rate, gene_rate, cell_first, gene_first = prior
+    max_iter, min_iter, interval, epsilon = ends
+    start = lambda t, key: t.select(F.col("id").alias(key), F.struct("shape", "rate", F.coalesce("cap", F.lit(cell_first if key == "cell" else gene_first)).alias("cap")).alias(f"of_{key}"))
+    met = entries.select("cell", "gene", "x").join(start(theta, "cell"), "cell").join(start(items, "gene"), "gene").withColumn("all", F.lit(1))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame["x"].to_numpy(float)
+        sides = []
+        for key in ("cell", "gene"):
+            ids, first, at = np.unique(frame[key].to_numpy(), return_index=True, return_inverse=True)
+            own = frame[f"of_{key}"].iloc[first]
+            sides.append([ids, at, *(np.array([r[n] for r in own], float) for n in ("shape", "rate", "cap"))])
+        (cells, u, ts, tr, tc), (genes, i, bs, br, bc) = sides
+        k, constant, seen = ts.shape[1], sum(map(math.lgamma, x + 1)), []
+        summed = lambda at, y, n: np.column_stack([np.bincount(at, y[:, j], n) for j in range(k)])
+        for step in range(1, max_iter + 1):
+            phi = (_np_digamma(ts) - np.log(tr))[u] + (_np_digamma(bs) - np.log(br))[i]
+            phi = np.exp(phi - phi.max(1, keepdims=True))
+            y = x[:, None] * phi / phi.sum(1, keepdims=True)
+            ts, tr = a + summed(u, y, len(cells)), kappa / tc[:, None] + (bs / br).sum(0)
+            tc = cell_rate + (ts / tr).sum(1)
+            if both:
+                bs, br = c + summed(i, y, len(genes)), tau / bc[:, None] + (ts / tr).sum(0)
+                bc = gene_rate + (bs / br).sum(1)
+            if step % interval == 0 or step == max_iter:
+                s = ((ts / tr)[u] * (bs / br)[i]).sum(1)
+                seen.append(float((x * np.log(s) - s).sum() - constant))
+                if len(seen) > 1 and step >= min_iter and (seen[-1] - seen[-2]) / abs(seen[-2]) < epsilon:
+                    break
+        rows = [("cell", int(n), s.tolist(), r.tolist(), float(p)) for n, s, r, p in zip(cells, ts, tr, tc, strict=True)]
+        rows += [("gene", int(n), s.tolist(), r.tolist(), float(p)) for n, s, r, p in zip(genes, bs, br, bc, strict=True)]
+        return pd.DataFrame([*rows, ("likelihood", 0, seen, [], 0.0)], columns=["side", "id", "shape", "rate", "cap"])
+
+    found = kept(met.groupBy("all").applyInPandas(run, "side string, id long, shape array<double>, rate array<double>, cap double"))
+    side = lambda name: found.filter(F.col("side") == name).select("id", "shape", "rate", "cap")
+    seen = found.filter("side = 'likelihood'").select("shape").first()
+    # With given items, those that no entry has are kept too.
+    return PoissonFactors(side("cell"), side("gene") if both else items, list(seen["shape"]) if seen else [])
+
+
 def explained(found: PoissonFactors, k: int) -> list[int]:
     """Components by the share of all expected counts that they explain, the largest first."""
     sums = lambda t: np.array(t.agg(*[F.sum(F.col("shape")[j] / F.col("rate")[j]) for j in range(k)]).first(), float)
@@ -291,6 +347,11 @@ def component_correlations(factors: DataFrame, k: int, vector: str = "v") -> np.
 
 
 def redundant(beta: np.ndarray, theta: np.ndarray, most_r: float) -> list[int]:
+    """Components to drop, from the two factors as matrices of a column for each component."""
+    return redundant_by(np.corrcoef(beta.T), np.corrcoef(theta.T), most_r)
+
+
+def redundant_by(beta: np.ndarray, theta: np.ndarray, most_r: float) -> list[int]:
     """Components to drop: in each group linked by a correlation above ``most_r`` in both factors' correlation matrices, all but the first."""
 
     def later(correlation: np.ndarray) -> set[int]:
@@ -317,15 +378,16 @@ def permuted(values: DataFrame, seed: int = 1) -> DataFrame:
     return cells.join(dealt, ["gene", "k"]).select("cell", "gene", "v")
 
 
-def harmonized(points: DataFrame, clusters: int = 8, rounds: int = 5, sigma: float = 0.5, ridge: float = 1.0, seed: int = 1) -> DataFrame:
+def harmonized(points: DataFrame, clusters: int = 8, rounds: int = 10, sigma: float = 0.5, ridge: float = 1.0, seed: int = 1, settled: float = 1e-2) -> DataFrame:
     """(id, batch, v) with each batch's shift within soft clusters taken out.
 
     A round assigns points softly to a fixed number of centres, sums each batch's offsets from the
-    centres, weighted and shrunk by ``ridge``, and subtracts them. Only centres and offsets, clusters
-    by batches of them, reach the driver.
+    centres, weighted and shrunk by ``ridge``, and subtracts them; rounds end when the offsets have
+    become small beside the first ones (by ``settled``), or after ``rounds``. Only centres and
+    offsets, clusters by batches of them, reach the driver.
     """
     first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(clusters).collect()
-    centre, shifts = np.array([r["v"] for r in first], float), []
+    centre, shifts, first_move = np.array([r["v"] for r in first], float), [], 0.0
     k, width = centre.shape
 
     def soft(z: np.ndarray, middle: np.ndarray) -> np.ndarray:
@@ -361,6 +423,10 @@ def harmonized(points: DataFrame, clusters: int = 8, rounds: int = 5, sigma: flo
         for r in table.itertuples(index=False):
             offset.setdefault(r.batch, np.zeros((k, width)))[r.k] = (np.array(r[3:]) - r.n * centre[r.k]) / (r.n + ridge)
         shifts.append((middle, offset))
+        moved = math.sqrt(sum(float((o**2).sum()) for o in offset.values()))
+        first_move = moved if len(shifts) == 1 else first_move
+        if moved <= settled * first_move:
+            break
 
     final = list(shifts)
 

@@ -169,7 +169,7 @@ def skeleton(edges: DataFrame, labels: DataFrame, min_percent: float = 2.0) -> D
     size = labels.groupBy(F.col("label").alias("c")).agg(F.count("*").alias("size"))
     info = size.join(own, "c", "left").fillna(0, ["own"])
     side = lambda s: info.select(F.col("c").alias(s), F.col("own").alias(f"own_{s}"), F.col("size").alias(f"size_{s}"))
-    e = n.filter("a < b").join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
+    e = n.filter("a < b").join(side("a"), "a").join(side("b"), "b")
     observed = F.col("n") / (F.col("own_a") + F.col("own_b") + F.col("n"))
     f = F.col("size_a") / (F.col("size_a") + F.col("size_b"))
     return e.withColumn("observed", observed).filter(F.col("observed") * 100 > min_percent).select("a", "b", (F.col("observed") / (2 * f - 2 * f * f)).alias("w"))
@@ -264,7 +264,7 @@ def renumbered(labels: DataFrame) -> DataFrame:
     """Singletons become -1; others get compact numbers in order."""
     sized = labels.withColumn("n", F.count("*").over(Window.partitionBy("comp")))
     ids = sized.filter("n > 1").select("comp").distinct().withColumn("new", F.row_number().over(Window.orderBy("comp")) - 1)
-    return sized.join(F.broadcast(ids), "comp", "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("comp"))
+    return sized.join(ids, "comp", "left").select("id", F.coalesce("new", F.lit(-1)).cast("long").alias("comp"))
 
 
 # Distances between two array columns.
@@ -349,9 +349,9 @@ def distance(metric: str | Callable[[str, str], Column], p: str, q: str) -> Colu
 def mad_outliers(df: DataFrame, group: str, columns: list[str], threshold: float = 3.5) -> DataFrame:
     """Adds ``outlier``: 0.6745 * distance to the group's median point / median distance above the threshold."""
     mids = df.groupBy(group).agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    d = df.join(F.broadcast(mids), group).withColumn("_d", F.sqrt(sum((F.pow(F.col(c) - F.col(f"_m_{c}"), F.lit(2.0)) for c in columns), F.lit(0.0))))
+    d = df.join(mids, group).withColumn("_d", F.sqrt(sum((F.pow(F.col(c) - F.col(f"_m_{c}"), F.lit(2.0)) for c in columns), F.lit(0.0))))
     mad = d.groupBy(group).agg(F.median("_d").alias("_mad"))
-    out = d.join(F.broadcast(mad), group)
+    out = d.join(mad, group)
     score = F.when(F.col("_mad") == 0, 0.0).otherwise(0.6745 * F.col("_d") / F.col("_mad"))
     return out.withColumn("outlier", score > threshold).drop("_d", "_mad", *[f"_m_{c}" for c in columns])
 

@@ -194,7 +194,7 @@ def numbered(df: DataFrame, key: Column, tie: str, name: str, slice_rows: int =
     sizes = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = sizes.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_slice").orderBy("_key", tie))
-    return cut.withColumn("_own", own).join(F.broadcast(before), "_slice").withColumn(name, F.col("_before") + F.col("_own")).drop("_key", "_slice", "_before", "_own")
+    return cut.withColumn("_own", own).join(before, "_slice").withColumn(name, F.col("_before") + F.col("_own")).drop("_key", "_slice", "_before", "_own")
 
 
 def cap_select(df: DataFrame, label: str, key: str, n: int, seed: int = 1) -> DataFrame:

@@ -81,6 +81,14 @@ def covariates(m: CellMatrix, attributes: dict[str, str], genes: dict[str, int])
     return out.select("cell", *attributes, *genes)
 
 
+def volcano(tested: DataFrame, least_change: float = 1.0, most_p: float = 0.05) -> DataFrame:
+    """Adds ``height``, -log10 of the adjusted chance, a chance of 0 standing at the least one above it, and ``side``: up, down or none."""
+    least = tested.filter("padj > 0").agg(F.min("padj").alias("_least"))
+    shown = tested.crossJoin(F.broadcast(least)).withColumn("height", -F.log10(F.when(F.col("padj") == 0, F.coalesce("_least", F.lit(1.0))).otherwise(F.col("padj"))))
+    far = (F.abs("change") >= least_change) & (F.col("padj") < most_p)
+    return shown.drop("_least").withColumn("side", F.when(~far, "none").when(F.col("change") > 0, "up").otherwise("down"))
+
+
 def midpoint_scaled(value: Column, low: float, middle: float, high: float) -> Column:
     """A value on a scale from 0 to 1 that has its middle where it is wanted."""
     below = 0.5 * (value - low) / (middle - low) if middle > low else F.lit(0.5)

@@ -15,7 +15,7 @@ CHOICES = {
     "factorization": ("PCA", "HPF", "both"),
     "features": ("enrichment", "variance"),
     "nn_space": ("auto", "PCA", "HPF"),
-    "clusterer": ("louvain", "surprise", "unpolished", "sknetwork"),
+    "clusterer": ("louvain", "leiden", "surprise", "unpolished", "sknetwork"),
     "graph": ("RNN", "KNN", "MKNN"),
     "doublets_method": ("scrublet", "doublet-finder"),
     "doublets_action": ("remove", "score"),
@@ -199,8 +199,8 @@ class Analysis:
         elif how == "sknetwork":
             labels = cluster.communities(nodes, edges, min_cells=0, folder=self.folder)
         else:
-            raw = self.keep(cluster.communities(nodes, edges, min_cells=MIN_CELLS, folder=self.folder, method="surprise" if how == "surprise" else "louvain"), "raw-labels")
-            labels = cluster.polish(raw, self.knn, MIN_CELLS, plane=self.plane if how == "louvain" else None, folder=self.folder)
+            raw = self.keep(cluster.communities(nodes, edges, min_cells=MIN_CELLS, folder=self.folder, method=how), "raw-labels")
+            labels = cluster.polish(raw, self.knn, MIN_CELLS, plane=self.plane if how in ("louvain", "leiden") else None, folder=self.folder)
         labels = self.keep(labels, "labels")
         if labels.filter("label >= 0").isEmpty():  # too small or too uniform to divide: one cluster
             labels = self.keep(labels.withColumn("label", F.lit(0).cast("long")), "one-label")

@@ -61,7 +61,7 @@ def top_markers(spark, sf_dir):
     return ag.top_by(e, "cluster", F.round("enrichment", 9), 3, "gene").select("cluster", "gene", F.col("rank").cast("long").alias("rank"), r6(F.col("enrichment")).alias("enrichment"))
 
 
-@query("cluster_median", "A06 V01", "SELECT cluster, round(median(acctbal), 4) AS mid, round(quantile_cont(acctbal, 0.6), 4) AS p60 FROM cells GROUP BY cluster", matrix=True)
+@query("cluster_median", "A06", "SELECT cluster, round(median(acctbal), 4) AS mid, round(quantile_cont(acctbal, 0.6), 4) AS p60 FROM cells GROUP BY cluster", matrix=True)
 def cluster_median(spark, sf_dir):
     return order_matrix(spark, sf_dir).cells.groupBy("cluster").agg(r6(F.median("acctbal"), 4).alias("mid"), r6(F.percentile("acctbal", 0.6), 4).alias("p60"))
 
@@ -104,7 +104,7 @@ def composition(spark, sf_dir):
     return ag.composition(order_matrix(spark, sf_dir).cells, "sample", "cluster", 50).select(F.col("sample").cast("long").alias("sample"), "cluster", r6(F.col("share")).alias("share"))
 
 
-@query("donor_share", "A16 V03", "SELECT cluster, " + ", ".join(f"round((count(*) FILTER (region = {k}))::DOUBLE / count(*), 6) AS r{k}" for k in range(5)) + " FROM cells GROUP BY cluster", matrix=True)
+@query("donor_share", "A16", "SELECT cluster, " + ", ".join(f"round((count(*) FILTER (region = {k}))::DOUBLE / count(*), 6) AS r{k}" for k in range(5)) + " FROM cells GROUP BY cluster", matrix=True)
 def donor_share(spark, sf_dir):
     c = order_matrix(spark, sf_dir).cells
     return c.groupBy("cluster").agg(*[r6(F.count_if(F.col("region") == k) / F.count("*")).alias(f"r{k}") for k in range(5)])
@@ -163,7 +163,7 @@ def low_umi_samples(spark, sf_dir):
     return low.groupBy(F.col("sample").cast("long").alias("sample")).agg(F.avg("low").alias("share")).filter("share >= 0.06").withColumn("share", r6(F.col("share")))
 
 
-@query("genotype_depth", "A24 IO13", "SELECT cell, count(*) FILTER (x > 0)::BIGINT AS depth, count(*) FILTER (x > 0 AND ad / x <= 0.6e0)::BIGINT AS n_ref FROM entries GROUP BY cell", matrix=True)
+@query("genotype_depth", "A24", "SELECT cell, count(*) FILTER (x > 0)::BIGINT AS depth, count(*) FILTER (x > 0 AND ad / x <= 0.6e0)::BIGINT AS n_ref FROM entries GROUP BY cell", matrix=True)
 def genotype_depth(spark, sf_dir):
     return ag.genotype(order_matrix(spark, sf_dir).entries.select("cell", "ad", F.col("x").alias("dp")), 0.6)
 

@@ -53,7 +53,7 @@ EDGES = """el AS (SELECT src, dst, d, a.label AS c1, b.label AS c2 FROM knn JOIN
 
 
 @query(
-    "skeleton", "G07 G08",
+    "skeleton", "G07",
     f"""WITH {KNN}, {EDGES}, n AS (SELECT least(c1, c2) AS a, greatest(c1, c2) AS b, count(*) AS n FROM el GROUP BY ALL), sz AS (SELECT label, count(*) AS s FROM lb GROUP BY 1),
     o AS (SELECT n.a, n.b, n.n::DOUBLE / (coalesce(x.n, 0) + coalesce(y.n, 0) + n.n) AS obs, sa.s::DOUBLE / (sa.s + sb.s) AS f FROM n LEFT JOIN n x ON x.a = n.a AND x.b = n.a LEFT JOIN n y ON y.a = n.b AND y.b = n.b
       JOIN sz sa ON sa.label = n.a JOIN sz sb ON sb.label = n.b WHERE n.a < n.b)
@@ -86,7 +86,7 @@ def approximate_knn(spark, sf_dir):
     return per.crossJoin(hit).select("points", "k", "complete", (F.col("hits") >= 0.9 * F.col("points") * F.col("k")).alias("good"))
 
 
-@query("coverage", "G12 C10", f"WITH {KNN}, u AS (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS t FROM knn) SELECT round(avg((a.label = b.label)::INT), 6) AS coverage FROM u JOIN lb a ON a.id = s JOIN lb b ON b.id = t")
+@query("coverage", "G12", f"WITH {KNN}, u AS (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS t FROM knn) SELECT round(avg((a.label = b.label)::INT), 6) AS coverage FROM u JOIN lb a ON a.id = s JOIN lb b ON b.id = t")
 def coverage(spark, sf_dir):
     return g.coverage(knn(spark, sf_dir), vectors(spark, sf_dir).select("id", "label")).select(r6(F.col("coverage")).alias("coverage"))
 
@@ -107,7 +107,7 @@ def majority_vote(spark, sf_dir):
 
 
 @query(
-    "nearest_labelled", "J13 C06",
+    "nearest_labelled", "J13",
     f"WITH {KNN.split('knn AS')[0].rstrip().rstrip(',')}, nn AS (SELECT src, dst FROM pr JOIN embeddings e ON e.vec_id = dst AND e.label >= 3 JOIN embeddings q ON q.vec_id = src AND q.label < 3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) = 1) SELECT src, label::BIGINT AS label FROM nn JOIN embeddings ON vec_id = dst",
 )
 def nearest_labelled(spark, sf_dir):
@@ -124,7 +124,7 @@ def vector_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.filter("x > 0").select("cell", (F.col("p") + 1).cast("long").alias("gene"), "x")
 
 
-@query("pool_counts", "G06", f"WITH {KNN}, {ENTRIES_E}, nb AS (SELECT src, dst FROM knn UNION SELECT vec_id, vec_id FROM embeddings) SELECT src AS cell, gene, round(sum(x), 5) AS x FROM nb JOIN ee ON cell = dst GROUP BY ALL")
+@query("pool_counts", "G02", f"WITH {KNN}, {ENTRIES_E}, nb AS (SELECT src, dst FROM knn UNION SELECT vec_id, vec_id FROM embeddings) SELECT src AS cell, gene, round(sum(x), 5) AS x FROM nb JOIN ee ON cell = dst GROUP BY ALL")
 def pool_counts(spark, sf_dir):
     out = g.pool_counts(knn(spark, sf_dir), vector_entries(spark, sf_dir), vectors(spark, sf_dir).select(F.col("id").alias("cell")))
     return out.select("cell", "gene", r6(F.col("x"), 5).alias("x"))
@@ -226,10 +226,10 @@ def mad_outlier(spark, sf_dir):
     return g.mad_outliers(p, "label", ["x", "y"], 1.5).select("vec_id", "outlier")
 
 
-@query("factor_norm", "D09", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding, lambda y: abs(y::DOUBLE)))) [1:8]), 6) AS head FROM embeddings")
+@query("factor_norm", "D09", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding, lambda y: abs(y::DOUBLE))))), 6) AS total, round(list_sum(list_transform(range(1, 65), lambda i: i * abs(embedding[i]::DOUBLE))) / list_sum(list_transform(embedding, lambda y: abs(y::DOUBLE))), 5) AS middle FROM embeddings")
 def factor_norm(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumn("a", F.transform("v", F.abs)).withColumn("a", g.shares("a"))
-    return v.select(F.col("id").alias("vec_id"), r6(F.aggregate(F.slice("a", 1, 8), F.lit(0.0), lambda s, x: s + x)).alias("head"))
+    return v.select(F.col("id").alias("vec_id"), r6(F.aggregate("a", F.lit(0.0), lambda s, x: s + x)).alias("total"), r6(F.aggregate(F.zip_with("a", F.sequence(F.lit(1), F.lit(64)), lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x), 5).alias("middle"))
 
 
 @query(

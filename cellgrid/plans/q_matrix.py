@@ -168,7 +168,7 @@ def gene_cv(spark, sf_dir):
     return s.select("gene", r6(F.log2("mean"), 5).alias("log_mean"), r6(F.log2(F.col("sd") / F.col("mean")), 5).alias("log_cv"))
 
 
-@query("gene_mask", "F11 F13", "SELECT gene, category IN ('Brand#1', 'Brand#12') OR chromosome = 'PROMO' AS masked FROM genes", matrix=True)
+@query("gene_mask", "F11", "SELECT gene, category IN ('Brand#1', 'Brand#12') OR chromosome = 'PROMO' AS masked FROM genes", matrix=True)
 def gene_mask(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
     lists = spark.createDataFrame([("category", "Brand#1"), ("category", "Brand#12"), ("chromosome", "PROMO")], "kind string, value string")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.model import r6
 from cellgrid.operators import aggregate as ag
-from cellgrid.operators import cluster, doublets, embed, factor, graph, qc
+from cellgrid.operators import cluster, doublets, embed, factor, graph, qc, transfer
+from cellgrid.plans.analysis import predictive_power
 from cellgrid.plans.q_graphs import KNN, folder, knn, vectors
 from cellgrid.plans.registry import query
 from cellgrid.sources.tables import order_matrix, staged, table
@@ -87,7 +87,7 @@ def redundant_components(spark, sf_dir):
     """Vectors of half the labels and of the other half as the two factors of 64 components."""
     v = vectors(spark, sf_dir)
     near = {side: factor.component_correlations(v.filter(where).select("v"), 64) for side, where in (("beta", "label < 5"), ("theta", "label >= 5"))}
-    return spark.createDataFrame([(c,) for c in factor.redundant(near["beta"], near["theta"], 0.13)], "component long")
+    return spark.createDataFrame([(c,) for c in factor.redundant_by(near["beta"], near["theta"], 0.13)], "component long")
 
 
 @query("pca_significant", "D01 D02")
@@ -104,10 +104,11 @@ def permuted_pca(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(x / y), 6)) for k, (x, y) in enumerate(zip(a, b, strict=True))], "component int, ratio double")
 
 
-@query("hpf", "D05 D06 D07 D08")
+@query("hpf", "D05 D06 D07")
 def hpf(spark, sf_dir):
+    """Factors of brands, run until the likelihood settles, the component that explains most first."""
     e = brand_matrix(spark, sf_dir).select("cell", "gene", "x")
-    found = factor.hpf(e, 4, folder(spark), max_iter=10, interval=5)
+    found = factor.ordered(factor.hpf(staged(e, "hpf-entries"), 4, folder(spark)), 4)
     return found.beta.select(F.col("id").alias("gene"), *[r6(F.col("shape")[j] / F.col("rate")[j], 4).alias(f"f{j}") for j in range(4)])
 
 
@@ -126,11 +127,12 @@ def louvain(spark, sf_dir):
 
 @query("density_outliers", "C02")
 def density_outliers(spark, sf_dir):
-    p = vectors(spark, sf_dir).select("id", "label", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
-    return cluster.mark_outliers(p)
+    """On the plane of the first two principal components of all dimensions."""
+    v = vectors(spark, sf_dir)
+    return cluster.mark_outliers(v.select("id", "label").join(embed.principal_plane(v), "id"))
 
 
-@query("dendrogram_order", "C08 C12 V05")
+@query("dendrogram_order", "C08 C12")
 def dendrogram_order(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
     names, d, tree = cluster.correlation_tree(ag.label_means(m, "cluster"))
@@ -154,20 +156,22 @@ def multilevel_markers(spark, sf_dir):
     return out
 
 
+@query("leiden", "C01")
+def leiden(spark, sf_dir):
+    edges = knn(spark, sf_dir).withColumn("w", 1 / (1 + F.col("d")))
+    return cluster.communities(vectors(spark, sf_dir), edges, folder=folder(spark), method="leiden")
+
+
 @query("paris_split", "C09 C10")
 def paris_split(spark, sf_dir):
-    g = knn(spark, sf_dir).select("src", "dst").toPandas()  # the stated 500 to 2,000 vectors
-    ids = {i: k for k, i in enumerate(sorted(set(g["src"]) | set(g["dst"])))}
-    src, dst = g["src"].map(ids).to_numpy(), g["dst"].map(ids).to_numpy()
-    labels = cluster.louvain(len(ids), src, dst, np.ones(len(src)))
-    k = int(labels.max()) + 1
-    tree = cluster.paris(k, labels[src], labels[dst], np.ones(len(src)))
-    found = cluster.split_by_coverage(labels, src, dst, tree, 0.3)
-    found = np.zeros(k, int) if found is None else found
-    return spark.createDataFrame([(i, int(found[i])) for i in range(k)], "cluster int, part int")
-
-
-@query("doublets", "B01 B02 B03")
+    """Parts of the communities by the hierarchy of their induced graph; one part if none is separate enough."""
+    edges = staged(knn(spark, sf_dir), "knn")
+    labels = staged(cluster.communities(vectors(spark, sf_dir), edges.withColumn("w", F.lit(1.0)), folder=folder(spark)), "labels")
+    found = cluster.split(labels, edges, "paris", threshold=0.3)
+    return labels.filter("label >= 0").select("id", F.lit(0).cast("long").alias("label")) if found is None else found
+
+
+@query("doublets", "B01 B02")
 def doublet_query(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
     e = brand_matrix(spark, sf_dir).select("cell", "gene", "x")
@@ -181,6 +185,12 @@ def tsne(spark, sf_dir):
     return embed.embed(vectors(spark, sf_dir))
 
 
+@query("umap", "X02")
+def umap(spark, sf_dir):
+    found = embed.umap_embed(vectors(spark, sf_dir), 3)
+    return found.select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].alias("z"))
+
+
 @query("variance_selection", "E05")
 def variance_selection(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
@@ -202,27 +212,29 @@ def harmony(spark, sf_dir):
     return out.groupBy("batch").agg(*[r6(F.avg(F.col("v")[j]), 5).alias(f"m{j}") for j in range(64)])
 
 
-@query("rf_transfer", "N06 N08")
+@query("rf_transfer", "N06")
 def rf_transfer(spark, sf_dir):
-    """Labels from a random forest trained on four fifths of the vectors; uncertain where no class reaches .6."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = vectors(spark, sf_dir).select("id", "label", array_to_vector("v").alias("features"))
-    model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=40, maxDepth=8, seed=1).fit(v.filter("id % 5 <> 0"))
-    scored = model.transform(v.filter("id % 5 = 0")).withColumn("p", vector_to_array("probability"))
-    return scored.select("id", "label", F.col("prediction").cast("long").alias("predicted"), (F.array_max("p") < 0.6).alias("uncertain"))
+    """A label for every cell from forests that did not see it (five folds by hash), on counts that the training cells' figures normalize; uncertain where no class reaches .6."""
+    m = order_matrix(spark, sf_dir)
+    wide = brand_matrix(spark, sf_dir).groupBy("cell").pivot("gene", list(range(1, 26))).sum("x").fillna(0.0)
+    rows = wide.select("cell", F.array(*[F.col(str(k)).cast("double") for k in range(1, 26)]).alias("x"))
+    rows = staged(rows.join(m.cells.select("cell", F.col("region").cast("long").alias("label")), "cell").withColumn("fold", F.pmod(F.xxhash64("cell"), F.lit(5))), "transfer")
+    out = None
+    for fold in range(5):
+        found = transfer.transferred(rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("cluster_validation", "N08")
 def cluster_validation(spark, sf_dir):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = vectors(spark, sf_dir).select("id", "label", array_to_vector("v").alias("features"))
-    model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=40, maxDepth=10, seed=2).fit(v.filter("id % 5 <> 0"))
-    scored = model.transform(v.filter("id % 5 = 0")).withColumn("p", vector_to_array("probability"))
-    return scored.groupBy("label").agg(*[r6(F.avg(F.col("p")[k]), 4).alias(f"p{k}") for k in range(10)])
+    """Mean chance of each class for the held-out cells of every cluster, from their Poisson factors."""
+    m = order_matrix(spark, sf_dir)
+    e = staged(brand_matrix(spark, sf_dir).select("cell", "gene", "x"), "validation-entries")
+    found = factor.hpf(e, 4, folder(spark))
+    theta = found.theta.select("id", factor.expected(found.theta).alias("v")).select("id", graph.shares("v").alias("v"))
+    labels = m.cells.select(F.col("cell").alias("id"), F.col("region").cast("long").alias("label"))
+    return predictive_power(staged(theta, "theta"), labels).select("label", "class", r6(F.col("p"), 4).alias("p"))
 
 
 @query("lda_topics", "X04")
@@ -232,7 +244,7 @@ def lda_topics(spark, sf_dir):
 
     wide = brand_matrix(spark, sf_dir).groupBy("cell").pivot("gene", list(range(1, 26))).sum("x").fillna(0.0)
     rows = wide.select("cell", array_to_vector(F.array(*[F.col(str(k)).cast("double") for k in range(1, 26)])).alias("features"))
-    model = LDA(k=3, maxIter=5, seed=1, featuresCol="features").fit(rows)
+    model = LDA(k=3, maxIter=50, seed=1, featuresCol="features").fit(rows)
     return model.transform(rows).select("cell", F.transform(vector_to_array("topicDistribution"), lambda x: F.round(x, 4)).alias("topics"))
 
 

@@ -13,7 +13,7 @@ from cellgrid.sources.tables import order_matrix, table
 FOUR = """SELECT r_name, n_name, c_custkey, c_mktsegment FROM region, nation, customer WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_acctbal > 0 AND r_name <> 'ASIA'"""
 
 
-@query("sample_lane_join", "IO10 J10 IO08", f"SELECT r_name, n_name, count(*)::BIGINT AS n, min(c_custkey) AS first_key, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments FROM ({FOUR}) GROUP BY 1, 2")
+@query("sample_lane_join", "IO10 J10", f"SELECT r_name, n_name, count(*)::BIGINT AS n, min(c_custkey) AS first_key, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments FROM ({FOUR}) GROUP BY 1, 2")
 def sample_lane_join(spark, sf_dir):
     for t in ("region", "nation", "customer"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)

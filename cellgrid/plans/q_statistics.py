@@ -103,9 +103,9 @@ def binary_de(spark, sf_dir):
 
 
 @query(
-    "gsea_score", "E09 W02 IO14",
+    "gsea_score", "E09 W02",
     f"""WITH {ENRICH}, b AS (SELECT cluster, gene, round(e, 9) AS e, row_number() OVER (PARTITION BY cluster ORDER BY gene) AS pos, count(*) OVER (PARTITION BY cluster) AS n FROM en),
-    mm AS (SELECT DISTINCT category AS s, gene FROM genes WHERE category IN ('Brand#1', 'Brand#2', 'Brand#3') AND gene IN (SELECT gene FROM b)), sz0 AS (SELECT s, count(*) AS k FROM mm GROUP BY s),
+    mm AS (SELECT DISTINCT category AS s, gene FROM genes WHERE gene IN (SELECT gene FROM b)), sz0 AS (SELECT s, count(*) AS k FROM mm GROUP BY s),
     rk AS (SELECT r, gene, row_number() OVER (PARTITION BY r ORDER BY {qc.hash_sql('gene', '1000 + r')}, gene) AS rank FROM (SELECT DISTINCT gene FROM b), range(0, 1000) t(r)),
     hit AS (SELECT s, -1 AS r, gene FROM mm UNION ALL SELECT s, r, gene FROM rk JOIN sz0 ON rank <= k),
     ld AS (SELECT cluster, s, r, sum(e) OVER w / sum(e) OVER (PARTITION BY cluster, s, r) - (pos - row_number() OVER w)::DOUBLE / (n - k) AS gap FROM hit JOIN b USING (gene) JOIN sz0 USING (s) WINDOW w AS (PARTITION BY cluster, s, r ORDER BY pos)),
@@ -116,7 +116,7 @@ def binary_de(spark, sf_dir):
 def gsea_score(spark, sf_dir):
     m = order_matrix(spark, sf_dir)
     scores = ag.enrichment(m, "cluster").select("cluster", "gene", F.round("enrichment", 9).alias("score"))
-    members = m.genes.filter(F.col("category").isin("Brand#1", "Brand#2", "Brand#3")).select(F.col("category").alias("set"), "gene")
+    members = m.genes.select(F.col("category").alias("set"), "gene")
     return stats.gsea(scores, members).select("cluster", "set", r6(F.col("score")).alias("score"), r6(F.col("p")).alias("p"))
 
 
@@ -194,7 +194,7 @@ def special_functions(spark, sf_dir):
 
 
 @query(
-    "residual_clip", "F22 D04",
+    "residual_clip", "F22",
     """WITH t AS (SELECT cell, sum(x) AS total FROM entries GROUP BY cell), g AS (SELECT gene, sum(x) AS gt FROM entries GROUP BY gene), s AS (SELECT sum(x) AS grand FROM entries), n AS (SELECT sqrt(count(*)) AS lim FROM cells),
     e AS (SELECT gene, x, total * gt / grand AS e FROM entries JOIN t USING (cell) JOIN g USING (gene), s)
     SELECT gene, round(sum(greatest(-lim, least(lim, (x - e) / sqrt(e + e * e / 100)))), 4) AS r FROM e, n GROUP BY gene""",

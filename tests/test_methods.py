@@ -288,3 +288,60 @@ def test_queries_live_without_a_library(monkeypatch):
     monkeypatch.setitem(sys.modules, "tiktoken", None)
     rest = entry.queries()
     assert 150 < len(rest) <= whole and not any(n.startswith("op") and n[2].isdigit() for n in rest)
+
+
+def test_factors_in_one_task_equal_the_rounds(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.poisson(rng.gamma(1, 1, (25, 3)) @ rng.gamma(1, 1, (3, 14)))
+    entries = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "cell long, gene long, x double")
+    one, rounds = (factor.hpf(entries, 3, str(tmp_path), max_iter=4, min_iter=4, interval=2, one_task=n) for n in (10**6, 0))
+    assert np.allclose(one.likelihood, rounds.likelihood, rtol=1e-9)
+    rows = lambda t: {r.id: (*r["shape"], *r["rate"]) for r in t.collect()}
+    for a, b in ((one.theta, rounds.theta), (one.beta, rounds.beta)):
+        a, b = rows(a), rows(b)
+        assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], rtol=1e-8) for i in a)
+    fixed = factor.hpf(entries, 3, str(tmp_path), max_iter=2, min_iter=2, beta=one.beta)
+    assert rows(fixed.beta) == rows(one.beta)
+    order = factor.explained(one, 3)
+    assert sorted(order) == [0, 1, 2] and factor.explained(factor.ordered(one, 3), 3) == [0, 1, 2]
+
+
+def test_leiden_communities_are_connected():
+    rng = np.random.default_rng(1)
+    src, dst = [], []
+    for g in range(8):
+        for a in range(10):
+            for b in range(a):
+                if rng.random() < 0.7:
+                    src.append(g * 10 + a), dst.append(g * 10 + b)
+    src += list(rng.integers(0, 80, 25))
+    dst += list(rng.integers(0, 80, 25))
+    src, dst = np.array(src), np.array(dst)
+    keep = src != dst
+    src, dst, w = src[keep], dst[keep], np.ones(keep.sum())
+    label = cluster.leiden(80, src, dst, w)
+    assert cluster.modularity(label, src, dst, w) >= 0.98 * cluster.modularity(cluster.louvain(80, src, dst, w), src, dst, w)
+    for c in np.unique(label):
+        own = set(np.flatnonzero(label == c).tolist())
+        seen, todo = set(), [min(own)]
+        while todo:
+            k = todo.pop()
+            if k in seen:
+                continue
+            seen.add(k)
+            todo += [j for j in (*dst[src == k].tolist(), *src[dst == k].tolist()) if j in own]
+        assert seen == own
+
+
+def test_labels_are_transferred(spark):
+    from cellgrid.operators import transfer
+
+    rng = np.random.default_rng(3)
+    label = np.arange(200) % 4
+    rates = rng.gamma(1, 3, (4, 12))
+    x = rng.poisson(rates[label] * rng.uniform(0.5, 3, 200)[:, None])
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(label[i])) for i in range(200)], "cell long, x array<double>, label long")
+    found = transfer.transferred(rows.filter("cell < 150"), rows.filter("cell >= 150"), trees=20).toPandas()
+    assert len(found) == 50 and (found["label"] == found["predicted"]).mean() > 0.9
+    figures = transfer.normalizer(rows.filter("cell < 150")).first()
+    assert figures["level"] == np.median(x[:150].sum(1))

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,6 +18,7 @@ def duck():
 
 
 def plain(value):
+    value = None if value is pd.NA else value
     value = value.item() if hasattr(value, "item") else value
     return None if value is None or value != value else round(value, 4) if isinstance(value, float) else value
 
