@@ -257,6 +257,12 @@ def leaf_blocks(page: str) -> list[Block]:
     return Parser(page).parse()
 
 
+def word_count(text: str) -> int:
+    """Words by spaces, or by their bytes in scripts that set none: two characters of three bytes count as one."""
+    spaced = text.count(" ") + 1
+    return spaced if text.isascii() else max(spaced, (len(text.encode()) - len(text)) // 4)
+
+
 def block_features(blocks: list[Block], has_article: bool | None = None) -> np.ndarray:
     """Feature rows of a page's blocks, or of a stretch of them if ``has_article`` says what holds for the page."""
     out = np.zeros((len(blocks), len(FEATURES)))
@@ -279,11 +285,11 @@ def block_features(blocks: list[Block], has_article: bool | None = None) -> np.n
             on += [PLACE["article_clean"]] * (inside and clean) + [PLACE["outside"]] * (has_article and not inside)
             shared[key] = on
         row[shared[key]] = 1
-        n = b.text.count(" ") + 1
+        n = word_count(b.text)
         row[PLACE["hidden"]] = node.hidden
         row[PLACE["links"]] = b.linked / len(b.text)
         row[PLACE["all_linked"]] = b.linked >= len(b.text) - 2
-        row[PLACE["short"]] = len(b.text) < 20
+        row[PLACE["short"]] = len(b.text) < 20 and n < 8
         for least in (3, 10, 25, 60):
             row[PLACE[f"words_{least}"]] = n >= least
         row[PLACE["ends"]] = b.text.endswith(ENDS)

@@ -205,3 +205,21 @@ def test_forest_equals_a_walk_row_by_row():
                 k = left[k] + int(row[column[k]] > cut[k])
             shares.append(share[k])
         assert abs(np.mean(shares) - score) < 1e-12
+
+
+GERMAN = "Dieser Absatz erzählt in einigen Sätzen, was an jenem Tag geschah, und er ist lang genug, um gelesen zu werden."
+SPANISH = "Este párrafo cuenta con bastantes palabras lo que pasó aquel día, para que se pueda leer sin prisa alguna."
+JAPANESE = "この段落は、その日に起こったことをいくつかの文で語り、十分に長いので、ゆっくり読むことができます。"
+OLD = "An old page holds its text in a table, and this paragraph is part of that text, of course."
+
+
+def test_pages_of_other_hands_and_languages():
+    """Layouts and class names that the training generator does not write."""
+    pages = [
+        (f"<html><body><div class='kopfzeile'><a href='/'>Start</a> <a href='/b'>Wetter</a> <a href='/c'>Sport</a></div><div class='inhalt'><h1>Ein Tag am See</h1>{f'<p>{GERMAN}</p>' * 4}</div><div class='fußzeile'><a href='/i'>Impressum</a> <a href='/d'>Datenschutz</a></div></body></html>", " ".join(["Ein Tag am See", *[GERMAN] * 4])),
+        (f"<html><body><div id='menú-principal'><ul><li><a href='/'>Inicio</a></li><li><a href='/n'>Noticias</a></li></ul></div><div id='cuerpo'><h2>El río</h2>{f'<p>{SPANISH}</p>' * 3}<ul><li>Una cosa que se dice con algunas palabras.</li></ul></div><div id='pie'>© 2021 La Gaceta. <a href='/p'>Privacidad</a></div></body></html>", " ".join(["El río", *[SPANISH] * 3, "Una cosa que se dice con algunas palabras."])),
+        (f"<html><body><div class='ナビ'><a href='/'>ホーム</a><a href='/2'>天気</a></div><div class='本文'><h1>湖の一日</h1>{f'<p>{JAPANESE}</p>' * 4}</div><div class='フッター'><a href='/k'>会社概要</a></div></body></html>", " ".join(["湖の一日", *[JAPANESE] * 4])),
+        (f"<body><table><tr><td><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td><td><h3>A title of old</h3>{f'<p>{OLD}' * 3}</td></tr></table></body>", " ".join(["A title of old", *[OLD] * 3])),
+    ]
+    for page, want in pages:
+        assert H.main_text(page, H.trained()) == want
