@@ -100,3 +100,59 @@ def test_isolation_scores_rank_outliers():
     x = np.concatenate([rng.normal(size=(990, 3)), rng.normal(6, 1, size=(10, 3))])
     score = rules.grow(x).score(x)
     assert score[990:].min() > np.quantile(score[:990], 0.98)
+
+
+def walked(forest, row):
+    """Mean path length of one row, node by node."""
+    total = 0.0
+    for column, cut, left, length in zip(forest.column, forest.cut, forest.left, forest.length, strict=True):
+        k = 0
+        while left[k] != k:
+            k = int(left[k]) + int(row[int(column[k])] >= cut[k])
+        total += length[k]
+    return 2.0 ** (-total / len(forest.column) / rules.mean_path(forest.per_tree))
+
+
+def test_verdicts_equal_a_walk_over_brute_statistics(spark):
+    frame, labels, rows = documents(spark, 150)
+    forest = rules.fit(frame, labels)
+    texts = {(i, t): brute(t) for i, t, _ in rows if len(t or "") < 9000}
+    want = []
+    for (i, t), stats in texts.items():
+        failed = stats[0] < 20 or 100 * stats[4] > 30 * stats[0]
+        score = walked(forest, rules.ratios(np.array([stats]))[0])
+        want.append((repr(i), failed, not failed and score <= forest.threshold))
+    got = [(repr(r.doc_id), r.base_failed, r.kept) for r in rules.judge(frame.filter("text IS NULL OR length(text) < 9000").dropDuplicates(["doc_id", "text"]), forest).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_boosted_scores_equal_a_walk():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(600, 4)), rng.integers(0, 2, 600).astype(float)
+    model = quality.train(x, y)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        margin = model.start
+        for column, cut, value in zip(model.column, model.cut, model.value, strict=True):
+            k = 0
+            while k < len(column):
+                k = 2 * k + 1 + int(row[column[k]] > cut[k])
+            margin += value[k - len(column)]
+        assert abs(1 / (1 + np.exp(-margin)) - score) < 1e-12
+
+
+def test_splits_equal_an_exhaustive_search():
+    rng = np.random.default_rng(6)
+    n, bins = 300, 8
+    binned, node = rng.integers(0, bins, (n, 3)), rng.integers(0, 2, n)
+    slope, bend = rng.normal(size=n), rng.uniform(0.1, 0.25, n)
+    column, cut = quality.best_splits(binned, node, 2, slope, bend, bins)
+    value = lambda on: slope[on].sum() ** 2 / (bend[on].sum() + quality.SMOOTH)
+    for k in range(2):
+        own, best = node == k, (1e-9, 0, -1)
+        for c in range(3):
+            for b in range(bins):
+                left, right = own & (binned[:, c] <= b), own & (binned[:, c] > b)
+                if left.sum() >= quality.LEAST_ROWS and right.sum() >= quality.LEAST_ROWS:
+                    gain = value(left) + value(right) - value(own)
+                    best = (gain, c, b) if gain > best[0] + 1e-9 else best
+        assert (column[k], cut[k]) == best[1:]
