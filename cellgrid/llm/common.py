@@ -46,11 +46,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return _written(df, name)[0]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The same for an operator's own use: removed at the end of the innermost scratch scope, if there is one."""
+def staged(df: DataFrame, name: str, up: int = 0) -> DataFrame:
+    """The same for an operator's own use: removed at the end of the innermost scratch scope, or of one ``up`` levels further out, if there is one."""
     out, path = _written(df, name)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if len(_SCOPES) > up:
+        _SCOPES[-1 - up].append(path)
     return out
 
 

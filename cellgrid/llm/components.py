@@ -2,7 +2,8 @@
 
 Alternates the large-star and small-star steps of Kiveris et al. (2014): each round points every
 node's larger neighbours, then its smaller ones, at the least neighbour. Rounds end when the
-edges no longer change; their number grows with the logarithm of the longest path. Every step is
+edges no longer change; their number grows with the logarithm of the longest path, so the bound on
+them (200) is met by no graph that fits on disks: passing it is an error, not a result. Every step is
 an aggregation with partial results per task and an equi-join that Spark can split where a node
 has very many edges, so no node's neighbours are gathered in one place.
 """

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import arrow_map, staged, table, utf8_rows
+from cellgrid.llm.common import arrow_map, scratch, staged, table, utf8_rows
 from cellgrid.llm.components import connected_components
 from cellgrid.llm.shingles import mixed, shingle_set
 
@@ -264,15 +264,16 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
         "nodes",
     )
     nodes = nodes.withColumn("place", F.xxhash64("node"))
-    shared = staged(shared_buckets(nodes.select("place", F.posexplode("bands").alias("no", "band"))), "buckets")
-    stars = shared.filter("place <> lead").select(F.col("place").alias("pa"), F.col("lead").alias("pb")).distinct()
-    candidates = staged(_with_sketches(stars, nodes, least), "candidates")
-    sets = _sets_of(documents, prints, nodes, shared.select("place").distinct(), width, id_col, text_col)
-    edges = staged(confirmed(candidates, sets, percent), "links")
-    labels = staged(connected_components(edges), "labels")
-    more = staged(rest_links(rest_blocks(shared, labels, nodes, least), sets, percent), "links")
-    if not more.isEmpty():
-        labels = staged(connected_components(edges.unionByName(more)), "labels")
+    with scratch(documents.sparkSession):  # only fingerprints, nodes and labels are read by the result
+        shared = staged(shared_buckets(nodes.select("place", F.posexplode("bands").alias("no", "band"))), "buckets")
+        stars = shared.filter("place <> lead").select(F.col("place").alias("pa"), F.col("lead").alias("pb")).distinct()
+        candidates = staged(_with_sketches(stars, nodes, least), "candidates")
+        sets = _sets_of(documents, prints, nodes, shared.select("place").distinct(), width, id_col, text_col)
+        edges = staged(confirmed(candidates, sets, percent), "links")
+        labels = staged(connected_components(edges), "labels", up=1)
+        more = staged(rest_links(rest_blocks(shared, labels, nodes, least), sets, percent), "links")
+        if not more.isEmpty():
+            labels = staged(connected_components(edges.unionByName(more)), "labels", up=1)
     of = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_of = of.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     return _labelled(short, of.join(least_of, "comp").select("node", "comp", "component_id"))
