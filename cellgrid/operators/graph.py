@@ -238,7 +238,10 @@ def smooth(edges: DataFrame, entries: DataFrame, cells: DataFrame, only_increase
 
 
 def components(edges: DataFrame, nodes: DataFrame, folder: str, most_rounds: int = 100) -> DataFrame:
-    """(id, comp): least id reachable, by rounds of least neighbours and pointer jumping, each written to ``folder``."""
+    """(id, comp): least id reachable, by rounds of least neighbours and pointer jumping, each written to ``folder``.
+
+    Jumps double the distance in each round, so ``most_rounds`` bounds no real graph; passing it is an error.
+    """
     spark = nodes.sparkSession
     around = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

@@ -19,6 +19,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Build:
     """Runs a deck in one session. A task is complete when its ``cells`` table has been committed; complete tasks are skipped.
 
@@ -110,6 +115,7 @@ class Build:
         if "cluster-validation" in config["steps"] and not labels.filter("label > 0").isEmpty():
             self.write(predictive_power(chain.points, labels), task, "export/predictive_power")
         self.write(cells, task, "cells")
+        remove(self.spark, f"{self.out}/{task}/work")  # all that is kept has been written
 
     def run(self, dry: bool = False) -> list[str]:
         """The tasks still to do, in order; done one after another in this session, unless ``dry``."""
