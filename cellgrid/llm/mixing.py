@@ -142,17 +142,17 @@ def mixed_rows(documents: DataFrame, **options) -> DataFrame:
         ),
         "mix-cuts",
     )
-    rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("_row"), F.col(source_col).alias("_of"), mix_key(id_col, text_col, seed).alias("_key"), F.col(text_col).alias("_text"))
+    rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("_row"), F.col(source_col).alias("_of"), mix_key(id_col, text_col, seed).alias("_key"), words(text_col).alias("_words"))
     met = rows.join(cuts, F.col("_of").eqNullSafe(F.col("_source")))
     at = F.col("_key") == F.col("_cut.key")
     extra = F.when(F.col("_cut").isNull() | (F.col("_key") > F.col("_cut.key")), 0).when(F.col("_key") < F.col("_cut.key"), 1)
-    met = met.withColumn("_extra", extra.when(words("_text") <= F.col("_cut.size"), 1).otherwise(0))
-    tied = at & (F.col("_tied") > F.col("_fit")) & (words("_text") == F.col("_cut.size"))
+    met = met.withColumn("_extra", extra.when(F.col("_words") <= F.col("_cut.size"), 1).otherwise(0))
+    tied = at & (F.col("_tied") > F.col("_fit")) & (F.col("_words") == F.col("_cut.size"))
     if not cuts.filter(F.col("_tied") > F.col("_fit")).isEmpty():
         number = F.row_number().over(Window.partitionBy("_source").orderBy("_key"))
         some = met.filter(F.coalesce(tied, F.lit(False))).withColumn("_extra", F.when(number <= F.col("_fit"), 1).otherwise(0))
         met = met.filter(~F.coalesce(tied, F.lit(False))).unionByName(some)
-    times = F.when(words("_text") > 0, F.col("_full") + F.col("_extra")).otherwise(0)
+    times = F.when(F.col("_words") > 0, F.col("_full") + F.col("_extra")).otherwise(0)
     repeated = met.withColumn("_epoch", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
     return repeated.select(*[F.col("_row")[c].alias(c) for c in documents.columns])
 
