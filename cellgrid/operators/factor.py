@@ -195,7 +195,9 @@ class PoissonFactors:
 
 def _shape_rate(ids: DataFrame, k: int, seed: int, shape: float, rate: float) -> DataFrame:
     """Starting values: U(.5, 1.5) times the prior, from a hash of the id."""
-    u = lambda j, s: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j), F.lit(s)), F.lit(1_000_003)) / 1_000_003.0 + 0.5
+    from cellgrid.operators.qc import HASH_RANGE, hashed
+
+    u = lambda j, s: hashed(F.col("id") * 128 + (2 * j + s), seed) / HASH_RANGE + 0.5
     return ids.select("id", F.array(*[u(j, 1) * shape for j in range(k)]).alias("shape"), F.array(*[u(j, 2) * rate for j in range(k)]).alias("rate"), F.lit(None).cast("double").alias("cap"))
 
 
@@ -368,14 +370,17 @@ def redundant_by(beta: np.ndarray, theta: np.ndarray, most_r: float) -> list[int
     return sorted(later(beta) & later(theta))
 
 
-def permuted(values: DataFrame, seed: int = 1) -> DataFrame:
-    """Each gene's nonzero values dealt to random cells: two row numbers within the gene, joined."""
-    from pyspark.sql import Window
+def permuted(values: DataFrame, cells: DataFrame, seed: int = 31) -> DataFrame:
+    """Each gene's values, zeros too, moved to other cells: along one random order of the cells, by a step of the gene's own, round the end.
+
+    Steps of different genes are independent, so what genes had in common is lost, and every gene keeps its values.
+    """
+    from cellgrid.operators.qc import hashed, numbered
 
-    own = values.withColumn("k", F.row_number().over(Window.partitionBy("gene").orderBy("cell")))
-    dealt = values.select("gene", "v", F.row_number().over(Window.partitionBy("gene").orderBy(F.xxhash64("cell", F.lit(seed)), "cell")).alias("k"))
-    cells = own.select("gene", "cell", "k")
-    return cells.join(dealt, ["gene", "k"]).select("cell", "gene", "v")
+    places = numbered(cells.select("cell"), hashed(F.col("cell"), seed), "cell", "place")
+    n = cells.agg(F.count("*").alias("n"))
+    moved = values.join(places, "cell").crossJoin(F.broadcast(n)).select("gene", "v", (F.pmod(F.col("place") - 1 + hashed(F.col("gene"), seed + 1), F.col("n")) + 1).alias("place"))
+    return moved.join(places, "place").select("cell", "gene", "v")
 
 
 def harmonized(points: DataFrame, clusters: int = 8, rounds: int = 10, sigma: float = 0.5, ridge: float = 1.0, seed: int = 1, settled: float = 1e-2) -> DataFrame:

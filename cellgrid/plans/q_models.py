@@ -9,7 +9,7 @@ from cellgrid.model import r6
 from cellgrid.operators import aggregate as ag
 from cellgrid.operators import cluster, doublets, embed, factor, graph, qc, transfer
 from cellgrid.plans.analysis import predictive_power
-from cellgrid.plans.q_graphs import KNN, folder, knn, vectors
+from cellgrid.plans.q_graphs import KNN, digamma_sql, folder, knn, vectors
 from cellgrid.plans.registry import query
 from cellgrid.sources.tables import order_matrix, staged, table
 
@@ -99,11 +99,91 @@ def pca_significant(spark, sf_dir):
 
 @query("permuted_pca", "E16")
 def permuted_pca(spark, sf_dir):
-    values, n = brand_matrix(spark, sf_dir), table(spark, sf_dir, "customer").count()
-    a, b = factor.pca(values, n, 10).variance, factor.pca(factor.permuted(values), n, 10).variance
+    """Variances of the components over those of the permuted matrix."""
+    values, cells = brand_matrix(spark, sf_dir), order_matrix(spark, sf_dir).cells
+    n = cells.count()
+    a, b = factor.pca(values, n, 10).variance, factor.pca(factor.permuted(values, cells), n, 10).variance
     return spark.createDataFrame([(k, round(float(x / y), 6)) for k, (x, y) in enumerate(zip(a, b, strict=True))], "component int, ratio double")
 
 
+@query(
+    "permuted_lengths", "E16",
+    f"""WITH {BRAND_SQL}, v AS (SELECT cell, gene, log2(x + 1) AS v FROM bd), pl AS (SELECT cell, row_number() OVER (ORDER BY {qc.hash_sql('cell', 31)}, cell) AS place, count(*) OVER () AS n FROM cells),
+    mv AS (SELECT gene, v, (place - 1 + {qc.hash_sql('gene', 32)}) % n + 1 AS place FROM v JOIN pl USING (cell)), pv AS (SELECT cell, gene, v FROM mv JOIN pl USING (place)), m AS (SELECT gene, avg(v) AS m FROM pv GROUP BY gene)
+    SELECT cell, round(sum((v - m) * (v - m)), 5) AS square FROM pv JOIN m USING (gene) GROUP BY cell""", matrix=True,
+)
+def permuted_lengths(spark, sf_dir):
+    """Squared length of each cell's coordinates on all components of the permuted matrix."""
+    cells = order_matrix(spark, sf_dir).cells
+    values = staged(factor.permuted(brand_matrix(spark, sf_dir), cells), "permuted")
+    projected = factor.project(values, cells, factor.pca(values, cells.count(), 25))
+    return projected.select("cell", r6(F.aggregate("pca", F.lit(0.0), lambda s, x: s + x * x), 5).alias("square"))
+
+
+@query(
+    "significant_dimensions", "D02",
+    """WITH u AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) t(i)), n AS (SELECT count(*) AS n FROM embeddings),
+    e AS (SELECT p, x, count(*) FILTER (a) AS ca, count(*) FILTER (NOT a) AS cb FROM (SELECT i - 1 AS p, x, true AS a FROM u WHERE i < 64 UNION ALL SELECT i - 2, x, false FROM u WHERE i > 1) GROUP BY ALL),
+    g AS (SELECT p, max(abs(ua / n - ub / n)) AS d FROM (SELECT p, sum(ca) OVER w AS ua, sum(cb) OVER w AS ub FROM e WINDOW w AS (PARTITION BY p ORDER BY x)), n GROUP BY p),
+    s AS (SELECT p + 1 AS c, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * d * d * n / 2))) AS chance FROM g, n)
+    SELECT c::INT AS component FROM s WHERE chance < 0.1e0 UNION SELECT 0 UNION SELECT 1 WHERE (SELECT count(*) FROM s WHERE chance < 0.1e0) = 0""",
+)
+def significant_dimensions(spark, sf_dir):
+    """The filter of components by successive tests, on the vectors' dimensions."""
+    points = vectors(spark, sf_dir).select(F.col("id").alias("cell"), F.col("v").alias("pca"))
+    return spark.createDataFrame([(c,) for c in factor.significant(points, 64)], "component int")
+
+
+def hpf_round_sql() -> str:
+    """One round of two factors from the same starting values."""
+    u = lambda key, seed, j, s: f"({qc.hash_sql(f'{key} * 128 + {2 * j + s}', seed)} / {qc.HASH_RANGE}e0 + 0.5e0)"
+    start = lambda key, seed: ", ".join(f"{u(key, seed, j, 1)} * 0.3e0 AS s{j}, {u(key, seed, j, 2)} * 0.3e0 AS r{j}" for j in (0, 1))
+    logs = ", ".join(f"{digamma_sql(f't.s{j}')} - ln(t.r{j}) + {digamma_sql(f'b.s{j}')} - ln(b.r{j}) AS l{j}" for j in (0, 1))
+    rate = "0.9e0"  # b + k a, both of .3, two factors
+    return f"""{BRAND_SQL}, pr AS (SELECT (SELECT 0.3e0 * avg(s) / var_pop(s) FROM (SELECT sum(x) AS s FROM be GROUP BY cell)) AS bp, (SELECT 0.3e0 * avg(s) / var_pop(s) FROM (SELECT sum(x) AS s FROM be GROUP BY gene)) AS dp),
+    t0 AS (SELECT cell, {start('cell', 1)} FROM (SELECT DISTINCT cell FROM be)), b0 AS (SELECT gene, {start('gene', 2)} FROM (SELECT DISTINCT gene FROM be)),
+    l AS (SELECT be.cell, be.gene, x, {logs} FROM be JOIN t0 t ON t.cell = be.cell JOIN b0 b ON b.gene = be.gene),
+    y AS (SELECT cell, gene, x / (1 + exp(l1 - l0)) AS y0, x / (1 + exp(l0 - l1)) AS y1 FROM l),
+    ts AS (SELECT cell, 0.3e0 + sum(y0) AS s0, 0.3e0 + sum(y1) AS s1 FROM y GROUP BY cell), bs AS (SELECT gene, 0.3e0 + sum(y0) AS s0, 0.3e0 + sum(y1) AS s1 FROM y GROUP BY gene),
+    bm AS (SELECT sum(s0 / r0) AS m0, sum(s1 / r1) AS m1 FROM b0), t1 AS (SELECT cell, s0 / ({rate} / bp + m0) AS m0, s1 / ({rate} / bp + m1) AS m1 FROM ts, bm, pr),
+    tm AS (SELECT sum(m0) AS m0, sum(m1) AS m1 FROM t1), b1 AS (SELECT gene, s0 / ({rate} / dp + tm.m0) AS m0, s1 / ({rate} / dp + tm.m1) AS m1 FROM bs, tm, pr)
+    SELECT 'cell' AS side, cell AS id, round(m0, 6) AS m0, round(m1, 6) AS m1 FROM t1 UNION ALL SELECT 'gene', gene, round(m0, 6), round(m1, 6) FROM b1"""
+
+
+@query("hpf_round", "D05 D06 D07", f"WITH {hpf_round_sql()}", matrix=True)
+def hpf_round(spark, sf_dir):
+    """Expected factors of cells and genes after one round."""
+    found = factor.hpf(staged(brand_matrix(spark, sf_dir).select("cell", "gene", "x"), "hpf-entries"), 2, folder(spark), max_iter=1)
+    side = lambda t, name: t.select(F.lit(name).alias("side"), "id", *[r6(F.col("shape")[j] / F.col("rate")[j]).alias(f"m{j}") for j in (0, 1)])
+    return side(found.theta, "cell").unionByName(side(found.beta, "gene"))
+
+
+@query(
+    "artificial_doublets", "B01",
+    f"""WITH n AS (SELECT count(*) AS n FROM cells), p AS (SELECT cell AS p, row_number() OVER (ORDER BY {qc.hash_sql('cell', 3)}, cell) AS k FROM cells), q AS (SELECT cell AS q, row_number() OVER (ORDER BY {qc.hash_sql('cell', 4)}, cell) AS k FROM cells),
+    b AS (SELECT -k AS made, unnest([p, q]) AS cell FROM p JOIN q USING (k), n WHERE k <= floor(n / 0.75e0 - n)) SELECT made AS cell, gene, sum(x) AS x FROM b JOIN entries USING (cell) GROUP BY ALL""",
+    matrix=True,
+)
+def artificial_doublets(spark, sf_dir):
+    m = order_matrix(spark, sf_dir)
+    return doublets.artificial(m.entries.select("cell", "gene", "x"), m.cells, 0.25)
+
+
+@query(
+    "transfer_features", "N06",
+    f"""WITH {BRAND_SQL}, tr AS (SELECT DISTINCT cell FROM be WHERE cell % 5 <> 0), tt AS (SELECT cell, sum(x) AS total FROM be GROUP BY cell), lv AS (SELECT median(total) AS level FROM tt JOIN tr USING (cell)),
+    s AS (SELECT cell, gene, ln(x / total * level + 1) AS v FROM be JOIN tt USING (cell), lv), tp AS (SELECT gene, 0.9e0 * max(v) AS top FROM s JOIN tr USING (cell) GROUP BY gene)
+    SELECT cell, round(sum(v / top * gene), 5) AS weighed FROM s JOIN tp USING (gene) GROUP BY cell""", matrix=True,
+)
+def transfer_features(spark, sf_dir):
+    """The classifier's inputs, summed with the brands' numbers as weights; figures come from four fifths of the cells."""
+    wide = brand_matrix(spark, sf_dir).groupBy("cell").pivot("gene", list(range(1, 26))).sum("x").fillna(0.0)
+    rows = wide.select("cell", F.array(*[F.col(str(k)).cast("double") for k in range(1, 26)]).alias("x"))
+    found = transfer.features(rows, transfer.normalizer(rows.filter("cell % 5 <> 0")))
+    weighed = F.aggregate(F.zip_with("v", F.sequence(F.lit(1), F.lit(25)), lambda v, k: v * k), F.lit(0.0), lambda s, x: s + x)
+    return found.select("cell", r6(weighed, 5).alias("weighed"))
+
+
 @query("hpf", "D05 D06 D07")
 def hpf(spark, sf_dir):
     """Factors of brands, run until the likelihood settles, the component that explains most first."""
