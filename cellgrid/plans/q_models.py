@@ -9,6 +9,7 @@ from cellgrid.model import r6
 from cellgrid.operators import aggregate as ag
 from cellgrid.operators import cluster, doublets, embed, factor, graph, qc, transfer
 from cellgrid.plans.analysis import predictive_power
+from cellgrid.plans.q_aggregates import GRID
 from cellgrid.plans.q_graphs import KNN, digamma_sql, folder, knn, vectors
 from cellgrid.plans.registry import query
 from cellgrid.sources.tables import order_matrix, staged, table
@@ -220,6 +221,44 @@ def dendrogram_order(spark, sf_dir):
     return spark.createDataFrame([(names[i], k, int(cuts[i])) for k, i in enumerate(cluster.leaf_order(tree, d))], "cluster string, ord int, half int")
 
 
+def linkage_sql(steps: int) -> str:
+    """Complete linkage: in each step the two groups whose farthest members are nearest join, under the lesser name."""
+    out = ["m0 AS (SELECT cluster, cluster AS g FROM (SELECT DISTINCT cluster FROM cells))"]
+    for k in range(steps):
+        out.append(f"d{k} AS (SELECT x.g AS a, y.g AS b, max(d) AS d FROM ds JOIN m{k} x ON x.cluster = ds.a JOIN m{k} y ON y.cluster = ds.b WHERE x.g < y.g GROUP BY ALL ORDER BY d, 1, 2 LIMIT 1)")
+        out.append(f"m{k + 1} AS (SELECT cluster, CASE WHEN g = d{k}.b THEN d{k}.a ELSE g END AS g FROM m{k}, d{k})")
+    rows = " UNION ALL ".join(f"SELECT {k} AS step, round(d, 6) AS distance, (SELECT count(*) FROM m{k + 1} WHERE g = d{k}.a) AS size FROM d{k}" for k in range(steps))
+    return ", ".join(out) + f" SELECT step, distance, size::BIGINT AS size FROM ({rows})"
+
+
+@query(
+    "linkage_steps", "C08",
+    f"""WITH {GRID}, lm AS (SELECT gene, cluster, ln(s / n + 1) AS v FROM gr), ds AS (SELECT a.cluster AS a, b.cluster AS b, 1 - corr(a.v, b.v) AS d FROM lm a JOIN lm b ON a.gene = b.gene AND a.cluster <> b.cluster GROUP BY ALL), {linkage_sql(4)}""",
+    matrix=True,
+)
+def linkage_steps(spark, sf_dir):
+    _, _, tree = cluster.correlation_tree(ag.label_means(order_matrix(spark, sf_dir), "cluster"))
+    return spark.createDataFrame([(k, round(float(t[2]), 6), int(t[3])) for k, t in enumerate(tree)], "step int, distance double, size long")
+
+
+@query(
+    "doublet_threshold", "B02",
+    f"""WITH s AS (SELECT cell, {qc.hash_sql('cell', 61)} / {qc.HASH_RANGE}e0 * 0.3e0 AS score FROM cells), n AS (SELECT count(*) AS n FROM cells), k AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS k FROM s), ps AS (SELECT greatest(0, 100 - 5e-4 * n) / 100 * (n - 1) AS pos FROM n),
+    r AS (SELECT least(0.4e0, round(sum(score * greatest(0, 1 - abs(k - pos))), 3)) AS by_rate FROM k, ps)
+    SELECT CASE WHEN 0 > (SELECT count(*) FROM s WHERE score >= by_rate) THEN by_rate ELSE 0.4e0 END AS threshold, by_rate FROM r""",
+    matrix=True,
+)
+def doublet_threshold(spark, sf_dir):
+    """The threshold on scores without a second mode: artificial ones have a single peak, so only the rate and the limit count."""
+    cells = order_matrix(spark, sf_dir).cells
+    u = lambda seed: qc.hashed(F.col("cell"), seed) / qc.HASH_RANGE
+    scores = cells.select("cell", (u(61) * 0.3).alias("score"))
+    made = cells.select((-F.col("cell") - 1).alias("cell"), ((u(62) + u(63)) / 2).alias("score"))
+    n = cells.count()
+    rate = scores.agg(F.percentile("score", max(0.0, 100 - 5e-4 * n) / 100)).first()[0]
+    return spark.createDataFrame([(float(doublets.flag_threshold(scores, made, n)), min(0.4, round(rate, 3)))], "threshold double, by_rate double")
+
+
 @query("multilevel_markers", "E04")
 def multilevel_markers(spark, sf_dir):
     from cellgrid.operators.annotate import greedy_unique
