@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_events(spark: SparkSession, path: str, schema: str = "event_id long, ts timestamp, user_id long, event_type string, value double, props string") -> DataFrame:
@@ -45,7 +46,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
     spark = stream.sparkSession
     if keys is None:
         return spark.read.schema(stream.schema).parquet(path)
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
     values = [c for c in stream.columns if c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("row"))
     return latest.select(*keys, *[F.col("row")[c].alias(c) for c in values]).select(*stream.columns)
