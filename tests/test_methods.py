@@ -345,3 +345,15 @@ def test_labels_are_transferred(spark):
     assert len(found) == 50 and (found["label"] == found["predicted"]).mean() > 0.9
     figures = transfer.normalizer(rows.filter("cell < 150")).first()
     assert figures["level"] == np.median(x[:150].sum(1))
+
+
+def test_support_vectors_follow_a_curve():
+    x = np.linspace(-3, 3, 60)
+    y = np.sin(x) + np.where(np.arange(60) % 15 == 7, 4.0, 0.0)
+    beta = factor.support_vector_regression(x, y, np.ones(60), 0.5, cost=1.0, tube=0.05)
+    fit = (np.exp(-0.5 * (x[:, None] - x[None]) ** 2) + 1) @ beta
+    plain = np.arange(60) % 15 != 7
+    assert np.abs(fit - np.sin(x))[plain].mean() < 0.15 and np.abs(beta).max() <= 1 + 1e-9
+    # At the end no coefficient can be moved with gain: inside the tube it is 0, beyond it is at its limit.
+    off = y - fit
+    assert (np.abs(beta[np.abs(off) < 0.049]) < 1e-3).all() and (np.abs(beta[np.abs(off) > 0.051]) > 1 - 1e-3).all()
