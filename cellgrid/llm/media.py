@@ -250,8 +250,69 @@ def gzip_end(data: bytes, at: int, marks: Marks) -> int | None:
     return min(place, len(data)) - len(stream.unused_data) if stream.eof else None
 
 
+def crc_table(polynomial: int, width: int) -> list[int]:
+    """Remainders of all bytes, highest bit first."""
+    out, top, mask = [], 1 << (width - 1), (1 << width) - 1
+    for byte in range(256):
+        value = byte << (width - 8)
+        for _ in range(8):
+            value = (value << 1 ^ (polynomial if value & top else 0)) & mask
+        out.append(value)
+    return out
+
+
+CRC8, CRC16 = crc_table(0x07, 8), crc_table(0x8005, 16)
+
+
+def _flac_header(data: bytes, at: int) -> tuple[int, int, int] | None:
+    """Number of the frame (or of its first sample), number of the next, and length of a frame's header whose checksum is right."""
+    if at + 6 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8 or data[at + 3] & 1:
+        return None
+    size, rate, lead = data[at + 2] >> 4, data[at + 2] & 15, data[at + 4]
+    if size == 0 or rate == 15 or data[at + 3] >> 4 > 10 or 0x80 <= lead < 0xC0 or lead == 0xFF:
+        return None
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    number = lead if not more else lead & (0x3F >> more)
+    for byte in data[at + 5 : at + 5 + more]:
+        if byte & 0xC0 != 0x80:
+            return None
+        number = number << 6 | byte & 0x3F
+    place = at + 5 + more
+    wide = 1 if size == 6 else 2 if size == 7 else 0
+    samples = int.from_bytes(data[place : place + wide], "big") + 1 if wide else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    place += wide + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
+    check = 0
+    for byte in data[at:place]:
+        check = CRC8[check ^ byte]
+    if place >= len(data) or data[place] != check:
+        return None
+    return number, number + (samples if data[at + 1] & 1 else 1), place + 1 - at
+
+
+def _flac_frame(data: bytes, place: int, limit: int) -> tuple[int | None, bool]:
+    """A frame up to the next one of its stream, by both headers and its own checksum; the last one up to ``limit`` or the first place at which its checksum is right."""
+    head = _flac_header(data, place)
+    if head is None:
+        return None, True
+    check, last = 0, None
+    for k in range(place, limit):
+        # A checksum of all bytes, the stored checksum among them, is 0 at a frame's end.
+        if not check and k >= place + head[2] + 3:
+            after = _flac_header(data, k)
+            if after is not None and after[0] == head[1]:
+                return k, False
+            last = k if last is None else last
+        check = (check << 8 & 0xFFFF) ^ CRC16[check >> 8 ^ data[k]]
+    return (limit if not check else last), True
+
+
 def flac_end(data: bytes, at: int, marks: Marks) -> int | None:
-    """Metadata blocks by their lengths, a stream description first, then a frame; it runs to the end of the value."""
+    """Metadata blocks by their lengths, a stream description first, then frames one after another, up to the next stream's magic bytes."""
+
+    def frame(data: bytes, place: int) -> tuple[int | None, bool]:
+        after = marks.next(b"fLaC", place)
+        return _flac_frame(data, place, after if after >= 0 else len(data))
+
     place, first = at + 4, True
     while place + 4 <= len(data):
         kind, length = data[place] & 0x7F, int.from_bytes(data[place + 1 : place + 4], "big")
@@ -259,7 +320,7 @@ def flac_end(data: bytes, at: int, marks: Marks) -> int | None:
             return None
         done, place, first = data[place] & 0x80, place + 4 + length, False
         if done:
-            return len(data) if data[place : place + 1] == b"\xff" and data[place + 1 : place + 2] and data[place + 1] & 0xFC == 0xF8 else None
+            return marks.walk(marks.own("flac", frame), place)
     return None
 
 

@@ -110,3 +110,36 @@ def test_jpeg_needs_a_frame_before_its_scan():
     good = b"\xff\xd8" + segment(0xE0, 14) + segment(0xC0, 9) + segment(0xDA, 6) + b"ab\xff\0cd\xff\xd0ef" + segment(0xDA, 6) + b"gh\xff\xd9"
     assert media.sniff(b"--" + good + b"tail")["embedded"] == [(2, len(good), "image/jpeg")]
     assert media.sniff(good.replace(b"\xff\xc0", b"\xff\xe1"))["type"] == media.DECLARED
+
+
+def flac(frames, tail=0):
+    """A stream of frames of 16 equal samples, with metadata."""
+    def check(table, width, data):
+        value = 0
+        for byte in data:
+            value = (value << 8 & (1 << width) - 1) ^ table[value >> (width - 8) ^ byte] if width > 8 else table[value ^ byte]
+        return value
+
+    out = b"fLaC" + b"\x00" + (34).to_bytes(3, "big") + b"\0" * 34 + b"\x81" + (5).to_bytes(3, "big") + b"notes"
+    for k in range(frames):
+        number = bytes([k]) if k < 128 else bytes([0xC0 | k >> 6, 0x80 | k & 63])
+        head = b"\xff\xf8\x69\x08" + number + bytes([15])
+        head += bytes([check(media.CRC8, 8, head)])
+        body = head + b"\x00" + struct.pack(">h", 300 - k)
+        out += body + check(media.CRC16, 16, body).to_bytes(2, "big")
+    return out
+
+
+def test_flac_ends_with_its_last_frame():
+    for frames in (1, 3, 200):
+        whole = flac(frames)
+        assert media.sniff(whole) == {"type": "audio/flac", "corrected": False, "length": len(whole), "embedded": []}
+        assert media.sniff(b"--" + whole + b"--" + GIF)["embedded"][0] == (2, len(whole), "audio/flac")
+    broken = bytearray(flac(3))
+    broken[-1] ^= 1
+    assert media.sniff(bytes(broken))["length"] < len(broken) or media.sniff(bytes(broken))["type"] == media.DECLARED
+    assert media.sniff(b"fLaC" + b"\0" * 100)["type"] == media.DECLARED
+    one = flac(1)
+    for piece in (flac(0) + b"\xff\xf8", one, one[:-1] + b"\0", flac(3)):
+        assert timed(lambda: media.extents(piece * (300_000 // len(piece)))) < 5, piece  # noqa: B023
+    assert [n for _, n, _ in media.sniff(b"-" + one * 5)["embedded"]] == [len(one)] * 5
