@@ -47,10 +47,12 @@ def _closest(met: DataFrame, k: int) -> DataFrame:
                 square = np.maximum((qv**2).sum(1)[:, None] + (pv**2).sum(1)[None, :] - 2 * qv @ pv.T, 0)
                 square[qi[:, None] == pi[None, :]] = np.inf
                 near = np.argsort(square, axis=1, kind="stable")[:, : k + 8]
-                for row, own in enumerate(near):
-                    own = own[np.isfinite(square[row, own])]
-                    exact = np.sqrt(((pv[own] - qv[row]) ** 2).sum(1))
-                    out.append(pd.DataFrame({"src": qi[row], "dst": pi[own], "d": exact}))
+                for at in range(0, len(near), 128):
+                    own = near[at : at + 128]
+                    exact = np.sqrt(((pv[own] - qv[at : at + 128, None, :]) ** 2).sum(2))
+                    other = np.isfinite(np.take_along_axis(square[at : at + 128], own, 1))
+                    src = np.repeat(qi[at : at + 128], own.shape[1]).reshape(own.shape)
+                    out.append(pd.DataFrame({"src": src[other], "dst": pi[own][other], "d": exact[other]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
