@@ -92,6 +92,13 @@ def test_approximate_neighbours(spark):
     assert every == exact
 
 
+def test_neighbours_of_vectors_without_structure(spark):
+    df = frame(spark, np.random.default_rng(6).normal(size=(2000, 64)))
+    exact = {(r.src, r.dst) for r in graph.exact_knn(df, df, 10).collect()}
+    some = {(r.src, r.dst) for r in graph.approximate_knn(df, df, 10, cells=31).collect()}
+    assert len(some) == len(exact) == 20_000 and len(some & exact) >= 0.9 * len(exact)
+
+
 def test_divergence_neighbours(spark):
     rng = np.random.default_rng(3)
     shares = rng.dirichlet(np.ones(6) * 0.5, 60)
