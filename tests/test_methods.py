@@ -162,6 +162,21 @@ def test_two_modes_are_told_from_one():
     assert doublets.dip(np.r_[np.zeros(5), np.ones(5)]) == 0.25 and doublets.dip(np.ones(9)) <= 1 / 9
 
 
+def test_forest_judges_held_out_cells(spark):
+    from cellgrid.operators import forest
+
+    points, label = blobs(600, 3, 4)
+    rows = [(i, int(label[i]), [float(x) for x in v], i % 5 == 0) for i, v in enumerate(points)]
+    found = {(r.label, r["class"]): r.p for r in forest.held_out_chances(spark.createDataFrame(rows, "id long, label long, v array<double>, held boolean"), 3, 20, 30).collect()}
+    assert len(found) == 9 and all(found[c, c] > 0.9 for c in range(3)) and all(abs(sum(found[c, d] for d in range(3)) - 1) < 1e-9 for c in range(3))
+    rng = np.random.default_rng(2)
+    x, y, held = rng.normal(size=(400, 4)), rng.integers(0, 2, 400), np.arange(400) % 4 == 0
+    alone = forest.tree_chances(x, y, held, 2, 30, np.random.default_rng(1))
+    assert set(np.unique(alone)) == {0.0, 1.0}  # grown to the end, every leaf is of one class
+    stump = forest.tree_chances(x, (x[:, 0] > 0.3).astype(int), held, 2, 30, np.random.default_rng(1))
+    assert (stump.argmax(1) == (x[held, 0] > 0.3)).mean() > 0.9
+
+
 def test_doublets_are_found(spark):
     rng = np.random.default_rng(7)
     base = rng.gamma(0.5, 1, size=(3, 40))
