@@ -4,10 +4,11 @@ Two fixed rules come first: fewer than 20 words, or more than 30 % of the words
 8-word windows, fail a document (``base_failed``). The rest is left to an isolation forest over
 the rules' statistics: random splits isolate unusual documents on short paths.
 
-The forest is grown from at most ``SAMPLE`` labelled documents (the first in the order of a hash
-of their ids), ``TREES`` trees of ``PER_TREE`` rows each, a bound that does not depend on the
-corpus. The threshold on the anomaly score is calibrated on labelled rows that no tree has seen,
-one of ``CALIBRATE``: the least one that rejects at most ``MOST_WRONG`` of the good documents.
+Statistics are taken of all labelled documents. Each of the ``TREES`` trees is grown from its own
+``PER_TREE`` rows, as the method has it: a draw by hash from all rows that are not held out, so the
+forest does not grow with the corpus. The threshold on the anomaly score is calibrated on all
+labelled rows that are held out from the trees, one of ``CALIBRATE`` by hash: the least one that
+rejects at most ``MOST_WRONG`` of the good documents.
 
 All texts are then scored in one pass, the trees flattened into arrays that numpy traverses for
 whole batches. Null and empty texts have no words, so they fail the first rule. Without any
@@ -24,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import arrow_map, table, utf8_rows
+from cellgrid.llm.common import arrow_map, scratch, staged, table, utf8_rows
 from cellgrid.llm.textstats import base_stats
 
-SAMPLE = 20_000
 TREES = 200
 #: Small, so that junk of one kind stays rare in each tree and does not hide behind its own mass.
 PER_TREE = 64
@@ -89,7 +89,9 @@ def grow(rows: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, seed: i
     column, cut, left, length = (np.zeros((trees, nodes), t) for t in (np.int32, float, np.int32, float))
     left[:] = np.arange(nodes)
     for tree in range(trees):
-        todo, used = [(0, rng.choice(len(rows), size, replace=False), 0)], 1
+        # Enough rows are dealt out, so that every tree has its own; of fewer each tree draws.
+        own = np.arange(tree * size, (tree + 1) * size) if len(rows) >= trees * size else rng.choice(len(rows), size, replace=False)
+        todo, used = [(0, own, 0)], 1
         while todo:
             node, own, level = todo.pop()
             part = rows[own]
@@ -107,51 +109,73 @@ def grow(rows: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, seed: i
     return Forest(column, cut, left, length, depth, size, 1.0)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, most_wrong: float = MOST_WRONG) -> float:
-    """The least threshold above which at most ``most_wrong`` of the good documents lie."""
-    if not good.any():
-        return 1.0
-    own = np.sort(scores[good])
-    return float(own[max(int(np.ceil((1 - most_wrong) * len(own))) - 1, 0)])
+def threshold_place(n: int, most_wrong: float = MOST_WRONG) -> int:
+    """The place, among ``n`` scores of good documents in order, of the least threshold above which at most ``most_wrong`` of them lie."""
+    return max(int(np.ceil((1 - most_wrong) * n)) - 1, 0)
+
+
+def chosen_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality), one row for each labelled document."""
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"])
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """(doc_id, text, quality) of at most ``bound`` labelled documents, the first by a hash of their ids."""
-    chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    chosen = chosen_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def text_stats(rows: DataFrame) -> DataFrame:
-    """doc_id, quality and the five base statistics of ``text``."""
+def text_stats(documents: DataFrame) -> DataFrame:
+    """doc_id and the five base statistics of ``text``."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stats = np.array([base_stats(text)[0] for text in utf8_rows(batch.column(1))], np.int64)
+        return pa.record_batch([batch.column(0), *[pa.array(stats[:, k]) for k in range(len(NAMES))]], names=["doc_id", *NAMES])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return arrow_map(documents.select("doc_id", "text"), kernel, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in NAMES))
+
+
+def passed(rows: DataFrame) -> DataFrame:
+    """Rows of base statistics that the fixed rules accept."""
+    return rows.filter((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= REPEAT_PERCENT * F.col("n_words")))
+
+
+def scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """The anomaly scores of rows of base statistics."""
+    model = rows.sparkSession.sparkContext.broadcast(forest)  # a fixed number of nodes
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        stats = np.array([base_stats(text)[0] for text in utf8_rows(batch.column(2))], np.int64)
-        return pa.record_batch([*batch.columns[:2], *[pa.array(stats[:, k]) for k in range(len(NAMES))]], names=["doc_id", "quality", *NAMES])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows.select("doc_id", "quality", "text"), kernel, f"doc_id {kind}, quality int, " + ", ".join(f"{n} long" for n in NAMES))
-
-
-def fit(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Forest:
-    """Grow and calibrate the forest on labelled documents that pass the fixed rules."""
-    # Of rows that repeat an id the least counts, so the sample is the same in every run and holds at most ``bound`` rows.
-    stats = text_stats(labelled_texts(documents, labels, bound))
-    sample = stats.groupBy("doc_id").agg(F.min(F.struct("quality", *NAMES)).alias("row")).select("row.*").toPandas()
-    sample = sample.sort_values(list(sample.columns)).to_numpy(dtype=np.int64)  # rows arrive in any order
-    sample = sample[~base_failed(sample[:, 1:])]
-    if not len(sample):
-        none = np.empty((0, 1))
-        return Forest(none, none, none, none, 0, 0, 1.0)
-    rows, good = ratios(sample[:, 1:]), sample[:, 0] == 1
-    held = np.arange(len(rows)) % CALIBRATE == 1
-    if not good[held].any():  # too few rows to hold some out
-        held = np.ones(len(rows), bool)
-    forest = grow(rows[~held] if not held.all() else rows)
-    forest.threshold = calibrate(forest.score(rows[held]), good[held])
+        stats = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(NAMES))])
+        return pa.record_batch([pa.array(model.value.score(ratios(stats)))], names=["score"])
+
+    return arrow_map(rows.select(*NAMES), kernel, "score double")
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Forest:
+    """Grow and calibrate the forest on all labelled documents that pass the fixed rules."""
+    with scratch(documents.sparkSession):
+        # Statistics meet the labels, as texts are too large to be dealt out. Of rows that repeat an id the least counts.
+        stats = text_stats(documents).join(chosen_labels(labels), "doc_id").groupBy("doc_id").agg(F.min(F.struct("quality", *NAMES)).alias("row"))
+        rows = staged(passed(stats.select("doc_id", "row.*")).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)) == 1), "rule-stats")
+        good = rows.filter("held AND quality = 1")
+        n = good.count()
+        own = rows.filter("NOT held")
+        if not n:  # too few rows to hold some out
+            own, good = rows, rows.filter("quality = 1")
+            n = good.count()
+        drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TREES * PER_TREE).select(*NAMES).toPandas().to_numpy(dtype=np.int64)
+        if not len(drawn):
+            none = np.empty((0, 1))
+            return Forest(none, none, none, none, 0, 0, 1.0)
+        forest = grow(ratios(drawn))
+        if n:
+            # The scores from the threshold on, a fixed small share of all.
+            most = scored(good, forest).orderBy(F.desc("score")).limit(n - threshold_place(n)).agg(F.min("score"))
+            forest.threshold = float(most.first()[0])
     return forest
 
 
