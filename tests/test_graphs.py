@@ -197,6 +197,23 @@ def test_gridded_forces_equal_those_of_all_pairs(blobs):
     assert np.abs(a - b).max() < 0.05 * np.abs(a).max()
 
 
+@pytest.mark.parametrize(("spread", "reach"), [([60] * 2000, 8), ([20] * 2000, 2), ([4] * 1500 + [100] * 40, 0)])
+def test_wide_layouts_take_a_small_grid_and_lose_no_force(spread, reach):
+    y = np.random.default_rng(1).normal(size=(len(spread), 2)) * np.array(spread)[:, None]
+    gap = y[:, None] - y[None]
+    q = 1 / (1 + (gap**2).sum(2))
+    np.fill_diagonal(q, 0)
+    total, push = embed.repulsion(y)
+    want = (gap * (q**2)[:, :, None]).sum(1)
+    assert total == pytest.approx(q.sum(), rel=1e-3) and np.abs(push - want).max() < 0.01 * np.abs(want).max()
+    if reach:
+        i, j = embed.near_pairs(y, reach)
+        met = np.zeros(q.shape, int)
+        np.add.at(met, (i, j), 1)
+        inside = np.triu((gap**2).sum(2) < reach**2, 1)
+        assert ((met + met.T)[inside] == 1).all() and (met + met.T).max() == 1
+
+
 @pytest.mark.parametrize("most", [100_000, 100])
 def test_large_tables_are_embedded_by_tsne(spark, most, monkeypatch):
     monkeypatch.setattr(embed, "SHARE", 1)
