@@ -328,6 +328,28 @@ def test_factors_in_one_task_equal_the_rounds(spark, tmp_path):
     assert sorted(order) == [0, 1, 2] and factor.explained(factor.ordered(one, 3), 3) == [0, 1, 2]
 
 
+def test_factors_of_many_cells_go_by_blocks_without_joins(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(factor, "BLOCK_VALUES", 60)
+    rng = np.random.default_rng(9)
+    x = rng.poisson(rng.gamma(1, 1, (40, 3)) @ rng.gamma(1, 1, (3, 14)))
+    entries = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "cell long, gene long, x double")
+    rows = lambda t: {r.id: (*r["shape"], *r["rate"], r["cap"]) for r in t.collect()}
+
+    def same(how: dict) -> None:
+        one, blocks = (factor.hpf(entries, 3, str(tmp_path), interval=2, one_task=n, gene_values=g, **how) for n, g in ((10**6, 0), (0, other)))
+        assert len(one.likelihood) == len(blocks.likelihood) and np.allclose(one.likelihood, blocks.likelihood, rtol=1e-9)
+        for a, b in ((one.theta, blocks.theta), (one.beta, blocks.beta)):
+            a, b = rows(a), rows(b)
+            assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], rtol=1e-8) for i in a)
+
+    other = 0
+    same({"max_iter": 2, "min_iter": 1})
+    other = 10**6
+    same({"max_iter": 3, "min_iter": 1})
+    same({"max_iter": 40, "min_iter": 4, "epsilon": 0.05})  # ends by the likelihood
+    same({"max_iter": 2, "min_iter": 2, "beta": factor.hpf(entries, 3, str(tmp_path), max_iter=1).beta.filter("id < 9")})
+
+
 def test_leiden_communities_are_connected():
     rng = np.random.default_rng(1)
     src, dst = [], []
