@@ -177,6 +177,17 @@ def test_forest_judges_held_out_cells(spark):
     assert (stump.argmax(1) == (x[held, 0] > 0.3)).mean() > 0.9
 
 
+def test_the_ranged_search_is_exact_with_many_equal_points(spark, monkeypatch):
+    monkeypatch.setattr(graph, "RANGE_BLOCK", 100)
+    monkeypatch.setattr(graph, "GROUP_VALUES", 2_000)
+    v = np.random.default_rng(5).normal(size=(900, 4))
+    v[500:700], v[700:] = v[:200], 0.25
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").persist()
+    rows = lambda found: {(r.src, r.dst, r.rank, round(r.d, 8)) for r in found.collect()}
+    for points, queries, k in ((df, df, 12), (df, df.filter("id % 3 = 0"), 5), (df.filter("id < 4"), df, 5)):
+        assert rows(graph.ranged_knn(points, queries, k)) == rows(graph.exact_knn(points, queries, k))
+
+
 def test_doublets_are_found(spark):
     rng = np.random.default_rng(7)
     base = rng.gamma(0.5, 1, size=(3, 40))
