@@ -260,3 +260,27 @@ def test_gamma_divergence_equals_the_integral(spark):
     want = np.trapezoid(p * np.log2(p / q), t)
     got = spark.range(1).select(graph.gamma_divergence(F.lit(2.5), F.lit(1.2), F.lit(3.0), F.lit(0.7))).first()[0]
     assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_equal_points_are_laid_out_once():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(50, 3))
+    points = base[np.r_[np.arange(50), rng.integers(0, 50, 400), np.zeros(150, int)]]
+    each, of, many = np.unique(points, axis=0, return_inverse=True, return_counts=True)
+    y = rng.normal(size=(len(each), 2))
+    one, all_pairs = embed.Counted(each, many, 20.0), embed.Exact(points, 20.0)
+    assert np.allclose(one.slope(y, 3)[of.ravel()], all_pairs.slope(y[of.ravel()], 3), atol=1e-12)
+    index, square = embed.nearest(points, points, 12, itself=True)
+    table = ((points[:, None] - points[None]) ** 2).sum(2)
+    assert np.allclose(np.take_along_axis(table, index, 1), square) and not (index == np.arange(600)[:, None]).any()
+    np.fill_diagonal(table, np.inf)
+    assert np.allclose(np.sort(square, 1), np.sort(table, 1)[:, :12]) and all(len(set(r)) == 12 for r in index.tolist())
+    assert np.bincount(index.ravel()).max() < 100  # no equal point is the neighbour of all
+
+
+def test_clusters_that_do_not_vary_have_a_tree(spark):
+    rows = [(c, g, 0.0 if c == 2 else float((c + 1) * g % 5)) for c in range(4) for g in range(1, 8)]
+    names, distance, tree = cluster.correlation_tree(spark.createDataFrame(rows, "cluster long, gene long, mean double"))
+    v = {c: np.log1p([x for k, _, x in rows if k == c]) for c in range(4)}
+    assert names == [0, 1, 2, 3] and (distance[2][[0, 1, 3]] == 1).all() and len(tree) == 3
+    assert np.isclose(distance[0, 1], 1 - np.corrcoef(v[0], v[1])[0, 1])
